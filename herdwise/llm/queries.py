@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import secrets
+from . import decontaminate, secrets
 
 
 def queries() -> dict:
-    return {"op1_secret_scan": secrets.op1_secret_scan}
+    return {"op1_secret_scan": secrets.op1_secret_scan, "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_benchmark_decontamination": decontaminate.OP2_SQL}
