@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, secrets
+from . import decontaminate, language, secrets, simhash
 
 
 def queries() -> dict:
-    return {"op1_secret_scan": secrets.op1_secret_scan, "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination}
+    return {
+        "op1_secret_scan": secrets.op1_secret_scan,
+        "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+        "op4_language_id": language.op4_language_id,
+        "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
