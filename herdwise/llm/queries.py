@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, secrets, simhash
+from . import decontaminate, language, mixing, secrets, simhash
 
 
 def queries() -> dict:
@@ -11,8 +11,9 @@ def queries() -> dict:
         "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
         "op4_language_id": language.op4_language_id,
         "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+        "op10_mix_sources": mixing.op10_mix_sources,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": decontaminate.OP2_SQL}
+    return {"op2_benchmark_decontamination": decontaminate.OP2_SQL, "op10_mix_sources": mixing.OP10_SQL}
