@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, mixing, secrets, simhash
+from . import chat, decontaminate, language, mixing, secrets, simhash, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_secret_scan": secrets.op1_secret_scan,
         "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
+        "op3_chat_format": chat.op3_chat_format,
         "op4_language_id": language.op4_language_id,
         "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+        "op9_token_counts": token_counts.op9_token_counts,
         "op10_mix_sources": mixing.op10_mix_sources,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": decontaminate.OP2_SQL, "op10_mix_sources": mixing.OP10_SQL}
+    return {"op2_benchmark_decontamination": decontaminate.OP2_SQL, "op3_chat_format": chat.OP3_SQL, "op10_mix_sources": mixing.OP10_SQL}
