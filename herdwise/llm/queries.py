@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, mixing, secrets, simhash, token_counts
+from . import chat, decontaminate, fingerprints, language, mixing, secrets, simhash, token_counts
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_benchmark_decontamination": decontaminate.op2_benchmark_decontamination,
         "op3_chat_format": chat.op3_chat_format,
         "op4_language_id": language.op4_language_id,
+        "op5_fingerprints": fingerprints.op5_fingerprints,
         "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_mix_sources": mixing.op10_mix_sources,
