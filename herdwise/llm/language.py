@@ -26,6 +26,8 @@ MAX_ROWS_PER_LANG = 5_000
 #: More languages than this are refused: the matrix has 2 ** BITS numbers for each.
 MAX_LANGS = 1_000
 UNDETERMINED = "und"
+#: Bytes of text whose n-grams a task holds at a time.
+CHUNK_BYTES = 1 << 20
 
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
@@ -35,31 +37,26 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("long").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(buckets, where each text's buckets begin, whether each text has a letter). Texts are lower-cased; n-grams don't cross texts."""
+def _ngrams(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """For each order (buckets, where each text's begin), and whether each text has a letter. Texts are lower-cased; n-grams don't cross texts."""
     texts = [t.lower() for t in texts]
     sizes = np.array([len(t) for t in texts], np.int64)
     # surrogates can't be in Spark's strings, but a fixture may have them
     code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = np.array([any(map(str.isalpha, t)) for t in texts], bool)
-    doc = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
-    buckets, owners = [], []
-    mixed = np.zeros(len(code), np.uint32)
+    ends = np.cumsum(sizes)
+    mixed, out = np.zeros(len(code), np.uint32), []
     for k in range(max(ORDERS)):
-        n = len(code) - k
-        if n <= 0:
-            break
+        n = max(0, len(code) - k)
         mixed = (mixed[:n] ^ code[k:]) * _MULTIPLIERS[k % 3]
         mixed ^= mixed >> np.uint32(15)
         if k + 1 in ORDERS:
-            inside = doc[:n] == doc[k:]
-            buckets.append((mixed >> np.uint32(32 - BITS))[inside])
-            owners.append(doc[:n][inside])
-    if not buckets:
-        return np.empty(0, np.uint32), np.zeros(len(texts) + 1, np.int64), letter
-    bucket, owner = np.concatenate(buckets), np.concatenate(owners)
-    order = np.argsort(owner, kind="stable")
-    return bucket[order], np.searchsorted(owner[order], np.arange(len(texts) + 1)), letter
+            inside = np.ones(n, bool)
+            for back in range(1, k + 1):  # the last k positions of a text begin n-grams that leave it
+                at = (ends - back)[sizes >= back]
+                inside[at[at < n]] = False
+            out.append(((mixed >> np.uint32(32 - BITS))[inside], np.concatenate([[0], np.cumsum(np.maximum(0, sizes - k))])))
+    return out, letter
 
 
 class Model:
@@ -73,12 +70,15 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """The likeliest language and its posterior probability; ``und`` and 0 for null, for texts without a letter, and without languages to choose from."""
-        bucket, starts, letter = _ngrams([t or "" for t in texts])
-        empty = ~letter | (starts[1:] == starts[:-1])
-        if not self.langs or not len(bucket):
+        grams, letter = _ngrams([t or "" for t in texts])
+        if not self.langs or not letter.any():
             return [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        # reduceat gives an element, not 0, for empty segments; those texts are undetermined anyway
-        total = np.stack([np.add.reduceat(np.append(p[bucket], 0).astype(np.float64), starts[:-1]) for p in self.log_p], 1) + self.prior
+        empty = ~letter
+        total = np.tile(self.prior, (len(texts), 1))
+        for bucket, starts in grams:
+            some = np.flatnonzero(starts[1:] > starts[:-1])  # reduceat needs segments that aren't empty
+            if len(some):
+                total[some] += np.stack([np.add.reduceat(p[bucket], starts[:-1][some], dtype=np.float64) for p in self.log_p], 1)
         best = total.argmax(1)
         share = np.exp(total - total.max(1, keepdims=True))
         score = np.where(empty, 0.0, 1.0 / share.sum(1))
@@ -106,10 +106,10 @@ def train(docs: DataFrame, max_rows_per_lang: int = MAX_ROWS_PER_LANG) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(langs), 1 << BITS), np.int64)
         for batch in batches:
-            for part in common.chunks(batch, "text"):
-                bucket, starts, _ = _ngrams(part.column("text").to_pylist())
+            for part in common.chunks(batch, "text", CHUNK_BYTES):
                 which = np.array([number[x] for x in part.column("lang").to_pylist()], np.int64)
-                total += np.bincount(np.repeat(which, np.diff(starts)) * (1 << BITS) + bucket, minlength=total.size).reshape(total.shape)
+                for bucket, starts in _ngrams(part.column("text").to_pylist())[0]:
+                    total += np.bincount(np.repeat(which, np.diff(starts)) * (1 << BITS) + bucket, minlength=total.size).reshape(total.shape)
         lang, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[lang, bucket])], names=["lang", "bucket", "n"])
 
@@ -126,7 +126,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in common.chunks(batch, "text", 2 << 20):
+            for part in common.chunks(batch, "text", CHUNK_BYTES):
                 lang, score = shared.value.predict(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score)], names=[*part.schema.names, "lang_pred", "lang_score"])
 
