@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fingerprints, language, mixing, secrets, simhash, token_counts, toxicity
+from . import chat, decontaminate, fingerprints, language, mixing, repeats, secrets, simhash, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_language_id": language.op4_language_id,
         "op5_fingerprints": fingerprints.op5_fingerprints,
         "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
+        "op7_substring_dedup": repeats.op7_substring_dedup,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_mix_sources": mixing.op10_mix_sources,
