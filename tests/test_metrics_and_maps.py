@@ -1,0 +1,101 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from herdwise.operators import maps, metrics
+
+
+def frame(spark, score, label):
+    return spark.createDataFrame([("g", float(s), int(x)) for s, x in zip(score, label, strict=True)], "grp string, score double, label int")
+
+
+def ranked(spark, score, label):
+    return metrics.ranking_metrics(frame(spark, score, label), ["grp"]).first()
+
+
+@pytest.mark.parametrize(("score", "label", "area", "ap"), [([1, 1, 1, 1], [1, 0, 0, 1], 0.5, 0.5), ([4, 3, 2, 1], [1, 1, 0, 0], 1.0, 1.0), ([1, 2, 3, 4], [1, 1, 0, 0], 0.0, 5 / 12)])
+def test_area_and_precision(spark, score, label, area, ap):
+    r = ranked(spark, score, label)
+    assert (r["auroc"], r["ap"]) == pytest.approx((area, ap))
+
+
+def test_one_label_only_gives_zeros_for_images(spark):
+    for label in (0, 1):
+        f = frame(spark, [1, 2], [label, label]).withColumnRenamed("label", "is_anomaly")
+        assert tuple(metrics.image_metrics(f, ["grp"]).first())[1:] == (0.0, 0.0, 0.0)
+
+
+def test_metrics_equal_brute_force_over_many_ranges(spark):
+    rng = np.random.default_rng(0)
+    s, y = rng.integers(0, 400, 3000), rng.integers(0, 2, 3000)
+    r = ranked(spark, s, y)
+    pos, neg = s[y == 1], s[y == 0]
+    wins = (pos[:, None] > neg[None, :]).mean() + 0.5 * (pos[:, None] == neg[None, :]).mean()
+    best, ap, last = 0.0, 0.0, 0.0
+    for t in sorted(set(s), reverse=True):
+        tp, n = (pos >= t).sum(), (s >= t).sum()
+        p, rc = tp / n, tp / len(pos)
+        best, ap, last = max(best, 2 * p * rc / (p + rc) if tp else 0), ap + (rc - last) * p, rc
+    assert (r["auroc"], r["ap"], r["f1"]) == pytest.approx((wins, ap, best))
+    flipped = ranked(spark, -s, y)
+    assert flipped["auroc"] == pytest.approx(1 - r["auroc"])
+
+
+def pixels(spark, score, mask, image=1):
+    h, w = mask.shape
+    return spark.createDataFrame([("a", image, y, x, float(score[y, x]), int(mask[y, x])) for y in range(h) for x in range(w)], "category string, image_id long, y int, x int, score double, mask int")
+
+
+@pytest.mark.parametrize(("mask", "n"), [([[1, 0], [0, 1]], 1), ([[1, 0, 1], [0, 0, 0], [1, 0, 0]], 3), ([[0, 0], [0, 0]], 0), ([[1, 1], [1, 1]], 1), ([[1, 0, 0, 1], [1, 0, 0, 1], [0, 1, 1, 0]], 1)])
+def test_regions_touch_at_corners(spark, mask, n):
+    m = np.array(mask)
+    assert metrics.label_regions(pixels(spark, m, m), ["image_id"]).select("region").distinct().count() == n
+
+
+def region_area(px):
+    curve = metrics.region_overlap_curve(px, metrics.label_regions(px, ["category", "image_id"]), ["category"], ["image_id"])
+    return curve, metrics.aupro(curve, ["category"])
+
+
+def test_degenerate_maps_have_no_region_area(spark):
+    m = np.array([[1, 0], [0, 0]])
+    for score in (m, m * 0):
+        rows = region_area(pixels(spark, score, m))[1].collect()
+        assert not rows or rows[0]["aupro"] is None
+
+
+def test_the_overlap_curve_equals_brute_force(spark):
+    rng = np.random.default_rng(1)
+    score, mask = rng.random((6, 6)), np.zeros((6, 6), int)
+    mask[0:2, 0:2] = 1
+    mask[4:, 3:] = 1
+    curve, area = region_area(pixels(spark, score, mask))
+    lo, hi = score.min(), score.max()
+    regions = [(slice(0, 2), slice(0, 2)), (slice(4, 6), slice(3, 6))]
+    steps = range(int(np.ceil((hi - lo) / ((hi - lo) / 200))))
+    want = [(np.mean([(score[r] > lo + i * ((hi - lo) / 200)).mean() for r in regions]), (score[mask == 0] > lo + i * ((hi - lo) / 200)).mean()) for i in steps]
+    got = [(r["overlap"], r["fpr"]) for r in curve.orderBy("step").collect()]
+    assert np.array(got) == pytest.approx(np.array(want))
+    kept = np.array([w for w in want if w[1] < 0.3])[::-1]
+    x = (kept[:, 1] - kept[:, 1].min()) / (kept[:, 1].max() - kept[:, 1].min())
+    assert area.first()["aupro"] == pytest.approx(((x[1:] - x[:-1]) * (kept[1:, 0] + kept[:-1, 0]) / 2).sum())
+
+
+def test_pixel_metrics_without_anomalies_are_zero(spark):
+    r = metrics.pixel_metrics(pixels(spark, np.arange(4).reshape(2, 2), np.zeros((2, 2), int)), ["category"], ["image_id"]).first()
+    assert tuple(r)[1:] == (0.0, 0.0, 0.0, 0.0)
+
+
+def test_the_report_weighs_categories_equally(spark):
+    names = ["auroc_px", "f1_px", "ap_px", "aupro", "auroc_sp", "f1_sp", "ap_sp"]
+    m = spark.createDataFrame([("a", *[0.5] * 7), ("b", *[1.0] * 7)], "category string, " + ", ".join(f"{n} double" for n in names))
+    assert metrics.category_report(m).where("category = 'mean'").first()["aupro"] == pytest.approx(75.0)
+
+
+def test_masks_and_levels(spark):
+    px = pixels(spark, np.arange(20).reshape(4, 5), np.zeros((4, 5), int))
+    assert maps.binary_mask(px, ["image_id"]).where("binary = 255").count() == 10
+    assert maps.percentile_mask(px, ["image_id"]).where("binary = 255").agg(F.min("score")).first()[0] == 19
+    levels = maps.heat_levels(px, ["image_id"]).agg(F.min("level"), F.max("level")).first()
+    assert tuple(levels) == (0, 255)
+    assert maps.heat_levels(px, ["image_id"], "whole_norm").agg(F.max("level")).first()[0] == 255
