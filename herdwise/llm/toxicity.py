@@ -31,7 +31,7 @@ AFFIXES = (3, 4, 5, 6)
 #: Bounds of the training sample: about this many labelled rows of either label, chosen by a hash of the id.
 MAX_ROWS_PER_LABEL = 3_000
 #: ... and about this many bytes of text in all: the driver holds them.
-MAX_SAMPLE_BYTES = 24 << 20
+MAX_SAMPLE_BYTES = 16 << 20
 #: A token's marginal from here on is part of a toxic span.
 SPAN_MARGINAL = 0.5
 
@@ -236,7 +236,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows_per_label: int = MAX_ROWS
     # the sampled ids are few, so the texts need not be shuffled to meet them
     ids = known.where(chosen)
     sample = rows.join(F.broadcast(ids), F.col("id") == F.col("doc_id")).select("id", "text", "toxic").orderBy("id")
-    return fit([(bytes(r["text"]), int(r["toxic"] > 0)) for r in sample.toLocalIterator()])
+    return fit([(bytes(r["text"]), int(r["toxic"] > 0)) for r in sample.collect()])
 
 
 def score_toxicity(docs: DataFrame, tagger: Tagger) -> DataFrame:
