@@ -167,8 +167,9 @@ def recurring_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     stands once gets all its recurring windows.
     """
     found = common.stored(candidate_blocks(docs), "blocks")
-    twice = found.groupBy("seed").count().where("count > 1").select("seed")
-    # a seed with a third of all rows is a skewed key, which adaptive execution splits on the blocks' side
+    # written first, so that either side of the join is a plain shuffle: a seed with a third of all
+    # rows is then a skewed key that adaptive execution splits on the blocks' side
+    twice = common.stored(found.groupBy("seed").count().where("count > 1").select("seed"), "seeds")
     found = common.stored(found.join(twice, "seed"), "recurring-seeds")
     kinds = common.stored(found.groupBy("seed", "block").agg(F.count("*").alias("times"), F.min(F.struct("key", "start", "n")).alias("one")), "kinds")
     whole = found.join(kinds.where("times > 1").select("seed", "block"), ["seed", "block"])
