@@ -233,7 +233,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, covering: Covering = EXACT_
     nodes = common.stored(prints.withColumn("node", node).groupBy("node").agg(F.min("doc_id").alias("first_id"), *(F.first(x).alias(x) for x in names)), "nodes")
     roots = connected_components(links(nodes, covering))
     owned = nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lowest = owned.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # written first, so that a component with many nodes is a skewed key that adaptive execution splits
+    lowest = common.stored(owned.groupBy("root").agg(F.min("first_id").alias("component_id")), "components")
     labels = owned.select("node", "root").join(lowest, "root").select("node", "component_id")
     # a fingerprint that a third of all documents share is a skewed key, which adaptive execution splits on the documents' side
     return prints.withColumn("node", node).join(labels, "node", "left").select("doc_id", *names, "component_id")
