@@ -3,8 +3,9 @@
 Every shingle is hashed once. The high part of a hash names one of ``BINS`` bins, and a
 bin keeps its smallest hash. Empty bins are filled by optimal densification: an empty
 bin asks other bins, in an order hashed from its own number, until one holds a value,
-and borrows that. Of each bin's value the lowest four bits are kept, packed as one
-hexadecimal digit. Two fingerprints agree in a bin with probability J + (1 - J) / 16,
+and borrows that, hashed with its own number (else a text of one shingle would have one
+digit many times, and agree with another by luck everywhere at once). Of each bin's value
+the lowest four bits are kept, packed as one hexadecimal digit. Two fingerprints agree in a bin with probability J + (1 - J) / 16,
 which the likeness corrects for.
 """
 
@@ -51,26 +52,27 @@ def fingerprint(text: Column, words: int = WORDS, bins: int = BINS) -> Column:
         # sorted, the first hash of each bin is its smallest
         return F.filter(h, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(h, F.greatest(i - 1, F.lit(0))))))
 
-    def laid_out(low: Column) -> Column:
-        # a digit for each filled bin, a dash for each empty one
-        digits = F.transform(low, lambda x, i: F.concat(F.repeat(F.lit("-"), bin_of(x) - F.when(i == 0, -1).otherwise(bin_of(F.get(low, F.greatest(i - 1, F.lit(0))))) - 1), F.lower(F.hex(x.bitwiseAND(F.lit((1 << BITS) - 1))))))
-        return F.concat(F.array_join(digits, ""), F.repeat(F.lit("-"), bins - 1 - bin_of(F.element_at(low, -1))))
-
+    digit = lambda x: F.lower(F.hex(x.bitwiseAND(F.lit((1 << BITS) - 1))))
+    empties = lambda n: F.array_repeat(F.lit(None).cast("long"), n)
     # where each bin begins to ask and the odd step that takes it past all others
     start = F.lit([(0x9E3779B1 * (b + 1) >> 7) % bins for b in range(bins)])
     step = F.lit([(0x85EBCA77 * (b + 1) >> 9) % bins | 1 for b in range(bins)])
 
-    def densified(dense: Column) -> Column:
-        def filled(digit: Column) -> Column:
-            def asked(b: Column, first: int, last: int) -> Column:
-                place = lambda a: (F.get(start, b) + a * F.get(step, b)).bitwiseAND(F.lit(bins - 1))
-                return F.get(F.filter(F.transform(F.sequence(F.lit(first), F.lit(last)), lambda a: F.get(digit, place(a))), lambda c: c != "-"), F.lit(0))
-
-            # few bins ask often: the stages are only as long as they need be
-            stages = [(0, 7), (8, 31), (32, 127), (128, bins - 1)]
-            return F.array_join(F.transform(digit, lambda d, b: F.when(d != "-", d).otherwise(F.coalesce(*(asked(b, x, y) for x, y in stages)))), "")
-
-        return F.when(F.instr(dense, "-") == 0, dense).otherwise(_bound(F.split(dense, "", bins), filled))
+    def laid_out(low: Column) -> Column:
+        # a value for each filled bin, a null for each empty one
+        gap = lambda x, i: bin_of(x) - F.when(i == 0, -1).otherwise(bin_of(F.get(low, F.greatest(i - 1, F.lit(0))))) - 1
+        filled = F.transform(low, lambda x, i: F.concat(empties(gap(x, i)), F.array(x)))
+        return F.flatten(F.concat(filled, F.array(empties(bins - 1 - bin_of(F.element_at(low, -1))))))
+
+    def densified(value: Column) -> Column:
+        def asked(b: Column, first: int, last: int) -> Column:
+            place = lambda a: (F.get(start, b) + a * F.get(step, b)).bitwiseAND(F.lit(bins - 1))
+            return F.get(F.filter(F.transform(F.sequence(F.lit(first), F.lit(last)), lambda a: F.get(value, place(a))), lambda v: v.isNotNull()), F.lit(0))
+
+        # few bins ask often: the stages are only as long as they need be
+        stages = [(0, 7), (8, 31), (32, 127), (128, bins - 1)]
+        borrowed = lambda b: F.xxhash64(F.coalesce(*(asked(b, x, y) for x, y in stages)), b)
+        return F.array_join(F.transform(value, lambda v, b: digit(F.when(v.isNotNull(), v).otherwise(borrowed(b)))), "")
 
     return _bound(_bound(_bound(shingle_hashes(text, words), minima), laid_out), densified)
 
