@@ -136,7 +136,15 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The documents whose language is known with a posterior of ``least`` or more; all columns kept. Null, empty and letterless texts go."""
-    return identify(docs, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= least)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.chunks(batch, "text", CHUNK_BYTES):
+                lang, score = shared.value.predict(part.column("text").to_pylist())
+                yield part.filter(pa.array([x != UNDETERMINED and s >= least for x, s in zip(lang, score, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:

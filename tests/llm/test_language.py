@@ -60,5 +60,6 @@ def test_awkward_rows(spark):
     assert got.count() == awkward(spark).count() and L.identify(empty(spark), model).count() == 0
     kept = L.keep_identified(awkward(spark), model)
     assert kept.columns == awkward(spark).columns and kept.where("text is null or trim(text) = ''").count() == 0
+    assert {r["lang_pred"] for r in kept.collect()} == {"clash"}
     none = L.train(empty(spark))
     assert {r["lang_pred"] for r in L.identify(awkward(spark), none).collect()} == {"und"}
