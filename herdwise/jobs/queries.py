@@ -286,16 +286,18 @@ def q_label_regions(spark, sf):
     return metrics.label_regions(fx.pixels(spark, sf), ["category", "image_id"])
 
 
-def q_region_overlap_curve(spark, sf):
+def overlap_curve(spark: SparkSession, sf: str) -> DataFrame:
     px = fx.pixels(spark, sf)
-    curve = metrics.region_overlap_curve(px, metrics.label_regions(px, ["category", "image_id"]), ["category"], ["image_id"])
-    return r6(curve, "threshold", "overlap", "fpr")
+    regions = scratch.stored(metrics.label_regions(px, ["category", "image_id"]), "regions")
+    return metrics.region_overlap_curve(px, regions, ["category"], ["image_id"])
+
+
+def q_region_overlap_curve(spark, sf):
+    return r6(overlap_curve(spark, sf), "threshold", "overlap", "fpr")
 
 
 def q_aupro(spark, sf):
-    px = fx.pixels(spark, sf)
-    curve = metrics.region_overlap_curve(px, metrics.label_regions(px, ["category", "image_id"]), ["category"], ["image_id"])
-    return r6(metrics.aupro(curve, ["category"]), "aupro")
+    return r6(metrics.aupro(overlap_curve(spark, sf), ["category"]), "aupro")
 
 
 def q_pixel_metrics(spark, sf):

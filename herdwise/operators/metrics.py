@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 #: Ranges of scores per key whose sums are added up first.
 RANGES = 256
 
@@ -20,9 +22,14 @@ def cumulative_counts(df: DataFrame, keys: list[str], score: str = "score", labe
     (a few hundred rows per key) give each range its offset; the running sums are then local
     to a range. No task sorts a whole key.
     """
-    counts = df.groupBy(*keys, F.col(score).alias("score")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("n"))
+    # written once, as the ranges, their totals and the running sums all start from it
+    counts = stored(df.groupBy(*keys, F.col(score).alias("score")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("n")), "score-counts")
     cuts = counts.groupBy(*keys).agg(F.percentile_approx("score", F.lit([i / RANGES for i in range(1, RANGES)]), F.lit(10_000)).alias("__cuts"))
-    met = counts.join(cuts, keys).withColumn("__r", F.size(F.filter("__cuts", lambda c: c >= F.col("score")))).drop("__cuts")
+    # the number of cuts that a score reaches: blocks of 16 first, then the cuts of one block
+    block = F.size(F.filter("__every", lambda c: c >= F.col("score")))
+    within = F.size(F.filter(F.slice("__desc", block * 16 + 1, F.lit(16)), lambda c: c >= F.col("score")))
+    cuts = cuts.withColumn("__desc", F.sort_array("__cuts", asc=False)).withColumn("__every", F.filter("__desc", lambda c, i: i % 16 == 15))
+    met = counts.join(cuts, keys).withColumn("__r", block * 16 + within).drop("__cuts", "__desc", "__every")
     totals = met.groupBy(*keys, "__r").agg(F.sum("p").alias("__p"), F.sum("n").alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "__r", F.coalesce(F.sum("__p").over(before), F.lit(0)).alias("__tp"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__fp"))
@@ -31,14 +38,14 @@ def cumulative_counts(df: DataFrame, keys: list[str], score: str = "score", labe
     return out.select(*keys, "score", "p", "n", (F.sum("p").over(running) + F.col("__tp")).alias("tp"), (F.sum("n").over(running) + F.col("__fp")).alias("fp"))
 
 
-def _totals(curve: DataFrame, keys: list[str]) -> DataFrame:
-    return curve.groupBy(*keys).agg(F.sum("p").alias("n1"), F.sum("n").alias("n0"))
+def _totals(df: DataFrame, keys: list[str], label: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("n1"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("n0"))
 
 
 def confusion_curve(df: DataFrame, keys: list[str], score: str = "score", label: str = "label") -> DataFrame:
     """``keys..., score, tp, fp, precision, recall, fpr`` at every distinct score; recall or fpr is NULL without positives or negatives."""
     curve = cumulative_counts(df, keys, score, label)
-    met = curve.join(_totals(curve, keys), keys)
+    met = curve.join(_totals(df, keys, label), keys)
     return met.select(*keys, "score", "tp", "fp", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide("tp", "n1").alias("recall"), F.try_divide("fp", "n0").alias("fpr"))
 
 
@@ -54,7 +61,7 @@ def _precision_sum() -> Column:
 def ranking_metrics(df: DataFrame, keys: list[str], score: str = "score", label: str = "label") -> DataFrame:
     """``keys..., n1, n0, auroc, ap, f1`` from one curve. ``auroc`` is NULL without both labels, ``ap`` and ``f1`` without positives."""
     curve = cumulative_counts(df, keys, score, label)
-    met = curve.join(_totals(curve, keys), keys)
+    met = curve.join(_totals(df, keys, label), keys)
     # 2PR / (P + R) = 2 TP / (TP + FP + n1), finite where TP > 0
     f1 = F.max(F.when(F.col("tp") > 0, 2.0 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("n1"))))
     return met.groupBy(*keys).agg(F.max("n1").alias("n1"), F.max("n0").alias("n0"), _area().alias("auroc"), _precision_sum().alias("ap"), f1.alias("f1"))
@@ -156,7 +163,7 @@ def aupro(curve: DataFrame, keys: list[str], expect_fpr: float = 0.3) -> DataFra
 def pixel_metrics(pixels: DataFrame, keys: list[str], image: list[str]) -> DataFrame:
     """``auroc_px, f1_px, ap_px, aupro`` per key; all 0 where no pixel is anomalous, ``auroc_px`` NULL where all are."""
     m = ranking_metrics(pixels, keys, "score", "mask")
-    regions = label_regions(pixels, [*keys, *image])
+    regions = stored(label_regions(pixels, [*keys, *image]), "regions")
     area = aupro(region_overlap_curve(pixels, regions, keys, image), keys)
     some = F.col("n1") > 0
     return m.join(area, keys, "left").select(*keys, *(F.when(some, F.col(a)).otherwise(0.0).alias(b) for a, b in (("auroc", "auroc_px"), ("f1", "f1_px"), ("ap", "ap_px"), ("aupro", "aupro"))))
