@@ -91,7 +91,8 @@ def train(docs: DataFrame, max_rows_per_lang: int = MAX_ROWS_PER_LANG) -> Model:
     A language with more than ``max_rows_per_lang`` rows is sampled by a hash of the id
     down to about that many; smaller ones are used in full.
     """
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    # null texts count for the prior only: asking for them would read all texts to count languages
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGS + 1).collect()}
     if len(sizes) > MAX_LANGS:
         raise ValueError(f"over {MAX_LANGS} languages")
@@ -108,7 +109,7 @@ def train(docs: DataFrame, max_rows_per_lang: int = MAX_ROWS_PER_LANG) -> Model:
         for batch in batches:
             for part in common.chunks(batch, "text", CHUNK_BYTES):
                 which = np.array([number[x] for x in part.column("lang").to_pylist()], np.int64)
-                for bucket, starts in _ngrams(part.column("text").to_pylist())[0]:
+                for bucket, starts in _ngrams([t or "" for t in part.column("text").to_pylist()])[0]:
                     total += np.bincount(np.repeat(which, np.diff(starts)) * (1 << BITS) + bucket, minlength=total.size).reshape(total.shape)
         lang, bucket = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[lang, bucket])], names=["lang", "bucket", "n"])
