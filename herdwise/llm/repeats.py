@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -160,24 +160,26 @@ def _windows_of(docs: DataFrame, kinds: DataFrame) -> DataFrame:
     return met.select("key", "text", "b").mapInArrow(run, "seed long, window long, key long, start int")
 
 
-def recurring_passages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Whole blocks that recur, ``key, start, n_words, seed, block`` at all their places, and windows of other blocks that do, ``key, start, n_words``.
+def recurring_passages(docs: DataFrame, shard: Column) -> tuple[DataFrame, DataFrame]:
+    """``shard, key, start, n_words`` twice: blocks that recur as a whole, each once in every shard that has it, and windows of other blocks that recur.
 
-    Together they are exactly the words that some recurring window covers: a block that
-    stands once gets all its recurring windows.
+    ``shard`` is an expression of ``key``. The words that a document's own windows cover and
+    those that its shard's blocks match are exactly the ones that some recurring window covers:
+    a block that stands once gets all its recurring windows.
     """
     found = common.stored(candidate_blocks(docs), "blocks")
-    # written first, so that either side of the join is a plain shuffle: a seed with a third of all
-    # rows is then a skewed key that adaptive execution splits on the blocks' side
+    # tables that a hot key is joined with are written first, so that either side of the join is a plain
+    # shuffle: a seed with a third of all rows is then a skewed key that adaptive execution splits
     twice = common.stored(found.groupBy("seed").count().where("count > 1").select("seed"), "seeds")
     found = common.stored(found.join(twice, "seed"), "recurring-seeds")
     kinds = common.stored(found.groupBy("seed", "block").agg(F.count("*").alias("times"), F.min(F.struct("key", "start", "n")).alias("one")), "kinds")
-    whole = found.join(kinds.where("times > 1").select("seed", "block"), ["seed", "block"])
-    whole = whole.select("key", "start", (F.col("n") + (WINDOW - 1)).alias("n_words"), "seed", "block")
+    # a block with many copies shrinks to one place per shard before it meets its count
+    places = found.groupBy(shard.alias("shard"), "seed", "block").agg(F.min(F.struct("key", "start", "n")).alias("p"))
+    whole = places.join(kinds.where("times > 1").select("seed", "block"), ["seed", "block"]).select("shard", "p.key", "p.start", (F.col("p.n") + (WINDOW - 1)).alias("n_words"))
     several = kinds.groupBy("seed").agg(F.count("*").alias("k"), F.min("times").alias("least")).where("k > 1 and least = 1").select("seed")
     windows = common.stored(_windows_of(docs, kinds.join(several, "seed").select("seed", "one.key", "one.start", "one.n")), "windows")
-    again = windows.groupBy("seed", "window").count().where("count > 1").select("seed", "window")
-    return whole, windows.join(again, ["seed", "window"]).select("key", "start", F.lit(WINDOW).alias("n_words"))
+    again = common.stored(windows.groupBy("seed", "window").count().where("count > 1").select("seed", "window"), "recurring-windows")
+    return whole, windows.join(again, ["seed", "window"]).select(shard.alias("shard"), "key", "start", F.lit(WINDOW).alias("n_words"))
 
 
 def _covered(words: list[int], first: np.ndarray, phrases: set[tuple[int, ...]]) -> np.ndarray:
@@ -229,11 +231,10 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
-    shard = F.pmod(F.col("key"), F.lit(shards)).alias("shard")
-    whole, windows = recurring_passages(docs)
-    # each kind of block once in a shard; its automaton finds the others
-    passages = whole.groupBy(shard, "seed", "block").agg(F.min(F.struct("key", "start", "n_words")).alias("p")).select("shard", "p.*", F.lit(False).alias("single")).unionByName(windows.select(shard, "key", "start", "n_words", F.lit(True).alias("single")))
-    texts = docs.select("doc_id", F.xxhash64(F.col("doc_id"), F.col("text")).alias("key"), common.text_bytes().alias("text")).select(shard, "doc_id", "key", "text")
+    shard = F.pmod(F.col("key"), F.lit(shards))
+    whole, windows = recurring_passages(docs, shard)
+    passages = whole.withColumn("single", F.lit(False)).unionByName(windows.withColumn("single", F.lit(True)))
+    texts = docs.select("doc_id", F.xxhash64(F.col("doc_id"), F.col("text")).alias("key"), common.text_bytes().alias("text")).select(shard.alias("shard"), "doc_id", "key", "text")
 
     def dedup(left: pa.Table, right: pa.Table) -> pa.Table:
         own = [t for t in left.column("text").to_pylist()]
