@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from . import common
 
 SEED = 20
-#: A rate above this is refused: one document would be repeated too often to be of use, and the distribution's first term gets close to the smallest double.
+#: A ``total`` that asks for more repetitions than this of the whole table is refused as a mistake; the rate of a single source has no bound.
 MAX_RATE = 500.0
-#: Up to so many sources, of at most 7 KB each, are broadcast.
+#: A rate above this is the sum of several equal ones: the distribution's first term, exp(-rate), would get close to the smallest double.
+PART_RATE = 700.0
+#: Up to so many sources, of at most 9 KB each, are broadcast.
 BROADCAST_SOURCES = 2_000
 
 
@@ -27,6 +29,11 @@ def uniform(key: Column, seed: int) -> Column:
     return F.conv(digits, 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
 
 
+def draws(key: Column, seed: int, parts: Column) -> Column:
+    """``parts`` such numbers; the first is ``uniform``'s own."""
+    return F.transform(F.sequence(F.lit(1), parts), lambda i: F.when(i == 1, uniform(key, seed)).otherwise(uniform(F.concat_ws(":", key, i), seed)))
+
+
 def poisson_cdf(rate: Column, n: Column) -> Column:
     """The first ``n`` values of the distribution function, term by term. After rate + 12 sqrt(rate) + 20 of them, what is left lies below the grid of ``uniform``."""
     start = F.struct(F.exp(-rate).alias("term"), F.array(F.exp(-rate)).alias("cdf"))
@@ -34,7 +41,7 @@ def poisson_cdf(rate: Column, n: Column) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None, total: float | None, source: str = "source") -> DataFrame:
-    """``source, rate, cdf``: one row per source, its mean number of repetitions and the distribution function.
+    """``source, rate, parts, cdf``: one row per source, its mean number of repetitions, as the sum of how many equal means it is drawn, and the distribution function of one of those.
 
     ``weights`` are relative; a source that isn't named gets 0, and without weights all
     sources weigh the same. ``total`` is the number of rows to aim at, as many as there are by
@@ -50,8 +57,11 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, total: float | None
     weight_sum, n_sum = weighed.agg(F.sum("weight"), F.sum("n").cast("double")).first()
     share = F.col("weight") / F.lit(weight_sum) if weight_sum else F.lit(0.0)
     rated = weighed.select("source", (share * F.lit(float(total if total is not None else n_sum or 0)) / F.col("n")).alias("rate"))
-    rated = rated.withColumn("rate", F.when(F.col("rate") <= MAX_RATE, F.col("rate")).otherwise(F.raise_error(F.concat(F.lit("source would be repeated too often: "), "source")).cast("double")))
-    return rated.withColumn("cdf", poisson_cdf(F.col("rate"), F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 20).cast("int")))
+    if total is not None and n_sum and total > MAX_RATE * n_sum:
+        raise ValueError(f"documents would be repeated too often: {total} rows of {int(n_sum)}")
+    rated = rated.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART_RATE)).cast("int"))
+    part = F.col("rate") / F.col("parts")
+    return rated.withColumn("cdf", poisson_cdf(part, F.ceil(part + 12 * F.sqrt(part) + 20).cast("int")))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float | None = None, seed: int = SEED, source: str = "source", key: str = "doc_id") -> DataFrame:
@@ -63,13 +73,14 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float |
     """
     docs = docs.drop("copy", "position")
     names = [F.col(f"`{c}`") for c in docs.columns]
-    by_source = common.stored(rates(docs.select(source), weights, total, source), "rates").select(F.col("source").alias("__source"), F.col("cdf").alias("__cdf"))
+    by_source = common.stored(rates(docs.select(source), weights, total, source), "rates").select(F.col("source").alias("__source"), F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
     if by_source.count() <= BROADCAST_SOURCES:  # beyond that a shuffled join, whose skewed sources adaptive execution splits
         by_source = F.broadcast(by_source)
     identity = F.coalesce(F.col(key).cast("string"), F.sha2(F.col("text"), 256), F.lit(""))
     drawn = docs.withColumn("__source", F.coalesce(F.col(source), F.lit(""))).join(by_source, "__source")
-    count = F.size(F.filter("__cdf", lambda c: F.col("__u") >= c))
-    repeated = drawn.withColumn("__u", uniform(identity, seed)).withColumn("__n", count).where("__n > 0").select(*names, identity.alias("__id"), F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
+    # a sum of independent Poisson variables is one of the summed mean
+    count = F.aggregate("__u", F.lit(0), lambda n, u: n + F.size(F.filter("__cdf", lambda c: u >= c)))
+    repeated = drawn.withColumn("__u", draws(identity, seed, F.col("__parts"))).withColumn("__n", count).where("__n > 0").select(*names, identity.alias("__id"), F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
     position = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("__id"), F.col("copy"), F.lit(f"{seed} order"))), 1, 13), 16, 10).cast("long")
     return repeated.select(*names, "copy", position.alias("position")).orderBy("position", key, "copy")
 

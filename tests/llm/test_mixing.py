@@ -44,3 +44,18 @@ def test_awkward_rows(spark):
     assert M.mix(awkward(spark), {"nobody": 1.0}).count() == 0
     with pytest.raises(Exception, match="too often"):
         M.mix(docs(spark, [(1, "a")]), total=10_000).count()
+
+
+def test_a_source_of_few_rows_among_many_is_repeated_in_full(spark):
+    df = docs(spark, [(i, "x", "en", None if i == 7 else "big") for i in range(4000)])
+    n = Counter(r["source"] for r in M.mix(df).select("source").collect())
+    assert n[None] == pytest.approx(2000, abs=5 * 2000**0.5) and n["big"] == pytest.approx(2000, abs=5 * 2000**0.5)
+
+
+def test_large_rates_are_poisson_too(spark):
+    df = docs(spark, [(i, "x", "en", "few" if i < 60 else "big") for i in range(10_060)])
+    n = Counter(r["doc_id"] for r in M.mix(df, {"few": 1}, total=90_000).select("doc_id").collect())
+    times = [n[i] for i in range(60)]
+    mean = sum(times) / 60
+    assert set(n) == set(range(60)) and mean == pytest.approx(1500, abs=5 * (1500 / 60) ** 0.5)
+    assert sum((t - mean) ** 2 for t in times) / 59 == pytest.approx(1500, rel=0.8)
