@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import common
 from .components import connected_components
@@ -77,19 +78,29 @@ def _sum_bits(h: np.ndarray, width: int) -> np.ndarray:
     return total
 
 
-def fingerprint(text: bytes, words: int = 3, width: int = 1) -> np.ndarray:
-    """``width`` 64-bit words. Shingles of ``words`` words, repeats included; a shorter text is one shingle, one without words gives zero."""
+def shingles(text: bytes, words: int) -> np.ndarray:
+    """Hashes of the shingles of ``words`` words, repeats included; a shorter text is one shingle, one without words has none."""
     own = text.translate(common.LOWER).split()
     if not own:
-        return np.zeros(width, np.uint64)
+        return np.empty(0, np.uint64)
     k = min(words, len(own))
     joined = b" ".join(own)
     ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    h = np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[: len(own) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64)
+    return np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[: len(own) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def _majority(h: np.ndarray, width: int) -> np.ndarray:
+    if not len(h):
+        return np.zeros(width, np.uint64)
     return np.packbits(_sum_bits(h, width) * 2 > len(h), bitorder="little").view(np.uint64)
 
 
+def fingerprint(text: bytes, words: int = 3, width: int = 1) -> np.ndarray:
+    """``width`` 64-bit words over the ``shingles``; a text without words gives zero."""
+    return _majority(shingles(text, words), width)
+
+
 def _words(width: int) -> list[str]:
     return [f"w{i}" for i in range(width)]
 
@@ -240,17 +251,100 @@ def near_duplicates(docs: DataFrame, words: int = 3, covering: Covering = EXACT_
     return prints.withColumn("node", node).join(labels, "node", "left").select("doc_id", *names, "component_id")
 
 
+#: Exact similarity is worked out in groups of two blocks of about so many bytes of shingles.
+BLOCK_BYTES = 8 << 20
+def _marked(docs: DataFrame, words: int, width: int) -> DataFrame:
+    """``docs`` with ``__node`` (a hash of the set of shingles), the fingerprint's words."""
+    names = [f"__{w}" for w in _words(width)]
+    schema = StructType([*docs.schema.fields, *(StructField(x, LongType()) for x in ["__node", *names])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.chunks(batch, "text"):
+                node, prints = [], []
+                for t in part.column("text").to_pylist():
+                    h = shingles((t or "").encode("utf-8", "surrogatepass"), words)
+                    own = np.unique(h)
+                    node.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                    prints.append(_majority(h, width))
+                words_of = np.stack(prints).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.array(node, np.uint64).view(np.int64)), *(pa.array(np.ascontiguousarray(c)) for c in words_of.T)], names=[*part.schema.names, "__node", *names])
+
+    return docs.mapInArrow(run, schema)
+
+
+def _similar_roots(sets: list[np.ndarray]) -> np.ndarray:
+    """Like ``_local_roots``, where two sets link at a Jaccard similarity of 0.8 or more, counted exactly."""
+    root = np.arange(len(sets))
+    sizes = np.array([len(x) for x in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    each = np.split(ids, np.cumsum(sizes)[:-1])
+    mark = np.zeros(len(ids), bool)
+    left = np.arange(len(sets))
+    rows, flat = left, ids  # what is compared with: rows already reached are dropped from it once they are half
+    while len(left):
+        first, frontier, left = left[0], left[:1], left[1:]
+        while len(frontier) and len(left):
+            at, frontier = frontier[0], frontier[1:]
+            if 2 * len(left) <= len(rows):
+                rows, flat = left, np.concatenate([each[i] for i in left])
+            mark[each[at]] = True
+            common_ = np.add.reduceat(mark[flat].astype(np.int64), np.cumsum(sizes[rows]) - sizes[rows])[np.searchsorted(rows, left)]
+            mark[each[at]] = False
+            near = 9 * common_ >= 4 * (sizes[at] + sizes[left])  # common / (a + b - common) >= 0.8
+            root[left[near]] = first
+            frontier = np.concatenate([frontier, left[near]])
+            left = left[~near]
+    return root
+
+
+def verified_links(texts: DataFrame, words: int) -> DataFrame:
+    """Edges ``a, b`` that connect what all pairs of a similarity of 0.8 or more would, from ``group, node, text``: one row per node, pairs within a group only.
+
+    Groups are cut into blocks and every two blocks are compared as one piece of bounded size, so a large group is many tasks.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.chunks(batch, "text"):
+                own = [np.unique(shingles((t or "").encode("utf-8", "surrogatepass"), words)).tobytes() for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("group"), part.column("node"), pa.array(own, pa.binary())], names=["group", "node", "own"])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
+        node = table.column("node").to_numpy()
+        root = _similar_roots([np.frombuffer(x, np.uint64) for x in table.column("own").to_pylist()])
+        other = np.flatnonzero(root != np.arange(len(node)))
+        return pa.table({"a": pa.array(node[other]), "b": pa.array(node[root[other]])})
+
+    found = common.stored(texts.select("group", "node", "text").mapInArrow(sets, "group long, node long, own binary").where("length(own) > 0"), "shingles")
+    blocks = found.groupBy("group").agg(F.ceil(F.sum(F.length("own")) / BLOCK_BYTES).cast("int").alias("n"))
+    dealt = found.join(blocks, "group").withColumn("mine", F.pmod(F.xxhash64("node", F.lit(1)), F.col("n")).cast("int"))
+    others = F.when(F.col("n") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: i != F.col("mine")))
+    paired = dealt.withColumn("other", F.explode(others)).select("group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "own")
+    return paired.groupBy("group", "i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
 def drop_near_duplicates(docs: DataFrame, words: int = 5, covering: Covering | None = None) -> DataFrame:
-    """The documents that are the first of their group, all columns kept: five-word shingles, 256 bits, a similarity of about 0.8 or more.
+    """The documents that are the first of their group, all columns kept. Documents link at a similarity of 0.8 or more of their sets of five-word shingles.
 
-    Rows that repeat an id keep one row; rows without an id stay (nothing tells them apart).
+    Fingerprints only nominate; every link is counted exactly. Rows that repeat an id and a set of
+    shingles keep one row; rows without an id stay (nothing tells them apart). Texts without words are one group.
     """
-    found = near_duplicates(docs, words, covering or wide_covering())
-    gone = found.where("doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_id"), "left_anti")
-    columns = [kept[f"`{c}`"] for c in docs.columns]
-    again = F.row_number().over(Window.partitionBy(kept["doc_id"]).orderBy(kept["doc_id"]))
-    return kept.select(*columns, again.alias("__copy")).where(kept["doc_id"].isNull() | (F.col("__copy") == 1)).drop("__copy")
+    c = covering or wide_covering()
+    names = _words(c.width)
+    marked = common.stored(_marked(docs, words, c.width), "marked")
+    nodes = common.stored(marked.groupBy(F.col("__node").alias("node")).agg(F.min(F.col("doc_id").cast("long")).alias("first_id"), *(F.first(f"__{x}").alias(x) for x in names)), "nodes")
+    groups = common.stored(connected_components(links(nodes, c)).select("node", F.col("root").alias("group")), "nominated")
+    texts = marked.select(F.col("__node").alias("node"), "text").join(groups, "node").dropDuplicates(["node"])
+    roots = connected_components(verified_links(texts, words))
+    owned = common.stored(nodes.select("node", "first_id").join(roots, "node"), "owned")
+    lowest = common.stored(owned.groupBy("root").agg(F.min("first_id").alias("lowest")), "components")
+    linked = owned.join(lowest, "root").select(F.col("node").alias("__node"), F.col("lowest").alias("__lowest"))
+    alone = nodes.select(F.col("node").alias("__node"), F.col("first_id").alias("__lowest")).join(linked.select("__node"), "__node", "left_anti")
+    kept = marked.join(linked.unionByName(alone), "__node").where("doc_id is null or cast(doc_id as long) = __lowest")
+    again = F.row_number().over(Window.partitionBy("doc_id", "__node").orderBy("doc_id"))
+    return kept.withColumn("__copy", again).where("doc_id is null or __copy = 1").select(*(F.col(f"`{x}`") for x in docs.columns))
 
 
 def hex64(column):

@@ -114,3 +114,31 @@ def test_the_query_equals_brute_force(spark, tmp_path):
     want = brute(prints, 2)
     for i, p in enumerate(prints):
         assert got[i]["fingerprint"] == f"{p:016x}" and got[i]["component_id"] == want[i]
+
+
+def jaccard(a, b):
+    x, y = ({tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def pair_at(rng, n, shared):
+    """Two texts of n shingles each of which ``shared`` are in both: the second goes on with other words."""
+    a = [f"w{rng.randrange(10**6)}" for _ in range(n + 4)]
+    return " ".join(a), " ".join(a[: shared + 4] + [f"v{rng.randrange(10**6)}" for _ in range(n - shared)])
+
+
+def test_a_group_over_many_blocks_links_as_all_pairs_do(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK_BYTES", 2000)
+    rng = random.Random(8)
+    rows = [(i, t) for i, t in enumerate(t for _ in range(12) for t in pair_at(rng, 45, 40))]
+    table = spark.createDataFrame([(0, i, t) for i, t in rows], "group long, node long, text string")
+    got = {tuple(sorted(map(int, r))) for r in S.verified_links(table, 5).collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(12)}
+
+
+def test_a_repeated_id_loses_only_its_near_copy(spark):
+    rng = random.Random(3)
+    a, b = pair_at(rng, 45, 44)
+    c, _ = pair_at(rng, 45, 40)
+    got = S.drop_near_duplicates(docs(spark, [(1, a), (2, b), (2, c)])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(1, a), (2, c)]
