@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from . import common
 from .components import connected_components
@@ -251,24 +251,43 @@ def near_duplicates(docs: DataFrame, words: int = 3, covering: Covering = EXACT_
     return prints.withColumn("node", node).join(labels, "node", "left").select("doc_id", *names, "component_id")
 
 
+#: Nomination only, so well above the 39 bits by which a similarity of 0.8 differs on average.
+NOMINATE = wide_covering(threshold=60)
+#: A second nomination, which needs no long text: bands of so many minima each. A pair at a similarity of 0.8 shares one with probability 0.9999, one at 0.5 with 0.4.
+BANDS, ROWS = 32, 6
 #: Exact similarity is worked out in groups of two blocks of about so many bytes of shingles.
 BLOCK_BYTES = 8 << 20
+_RNG = np.random.default_rng(SEED)
+_MUL, _ADD, _MIX = (_RNG.integers(0, 1 << 64, n, dtype=np.uint64) | np.uint64(1) for n in (BANDS * ROWS, BANDS * ROWS, ROWS))
+
+
+def bands(own: np.ndarray) -> np.ndarray:
+    """One key per band from the minima of a set of hashes under ``BANDS * ROWS`` random maps."""
+    low = np.full(BANDS * ROWS, _MASK, np.uint64)
+    for i in range(0, len(own), 512):
+        low = np.minimum(low, (own[i : i + 512, None] * _MUL + _ADD).min(0))
+    return (low.reshape(BANDS, ROWS) * _MIX).sum(1, dtype=np.uint64)
+
+
 def _marked(docs: DataFrame, words: int, width: int) -> DataFrame:
-    """``docs`` with ``__node`` (a hash of the set of shingles), the fingerprint's words."""
+    """``docs`` with ``__node`` (a hash of the set of shingles), the fingerprint's words and ``__bands``."""
     names = [f"__{w}" for w in _words(width)]
-    schema = StructType([*docs.schema.fields, *(StructField(x, LongType()) for x in ["__node", *names])])
+    schema = StructType([*docs.schema.fields, *(StructField(x, LongType()) for x in ["__node", *names]), StructField("__bands", ArrayType(LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.chunks(batch, "text"):
-                node, prints = [], []
+                node, prints, keys = [], [], []
                 for t in part.column("text").to_pylist():
                     h = shingles((t or "").encode("utf-8", "surrogatepass"), words)
                     own = np.unique(h)
                     node.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                     prints.append(_majority(h, width))
+                    keys.append(bands(own))
+                flat = pa.array(np.concatenate(keys).view(np.int64))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), flat)
                 words_of = np.stack(prints).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.array(node, np.uint64).view(np.int64)), *(pa.array(np.ascontiguousarray(c)) for c in words_of.T)], names=[*part.schema.names, "__node", *names])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.array(node, np.uint64).view(np.int64)), *(pa.array(np.ascontiguousarray(c)) for c in words_of.T), lists], names=[*part.schema.names, "__node", *names, "__bands"])
 
     return docs.mapInArrow(run, schema)
 
@@ -328,14 +347,16 @@ def verified_links(texts: DataFrame, words: int) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, words: int = 5, covering: Covering | None = None) -> DataFrame:
     """The documents that are the first of their group, all columns kept. Documents link at a similarity of 0.8 or more of their sets of five-word shingles.
 
-    Fingerprints only nominate; every link is counted exactly. Rows that repeat an id and a set of
+    Fingerprints and bands only nominate; every link is counted exactly. Rows that repeat an id and a set of
     shingles keep one row; rows without an id stay (nothing tells them apart). Texts without words are one group.
     """
-    c = covering or wide_covering()
+    c = covering or NOMINATE
     names = _words(c.width)
     marked = common.stored(_marked(docs, words, c.width), "marked")
-    nodes = common.stored(marked.groupBy(F.col("__node").alias("node")).agg(F.min(F.col("doc_id").cast("long")).alias("first_id"), *(F.first(f"__{x}").alias(x) for x in names)), "nodes")
-    groups = common.stored(connected_components(links(nodes, c)).select("node", F.col("root").alias("group")), "nominated")
+    nodes = common.stored(marked.groupBy(F.col("__node").alias("node")).agg(F.min(F.col("doc_id").cast("long")).alias("first_id"), *(F.first(f"__{x}").alias(x) for x in names), F.first("__bands").alias("bands")), "nodes")
+    met = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    shared = met.withColumn("first", F.first("node").over(Window.partitionBy("band", "key").orderBy("node"))).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    groups = common.stored(connected_components(links(nodes, c).unionByName(shared)).select("node", F.col("root").alias("group")), "nominated")
     texts = marked.select(F.col("__node").alias("node"), "text").join(groups, "node").dropDuplicates(["node"])
     roots = connected_components(verified_links(texts, words))
     owned = common.stored(nodes.select("node", "first_id").join(roots, "node"), "owned")

@@ -127,6 +127,20 @@ def pair_at(rng, n, shared):
     return " ".join(a), " ".join(a[: shared + 4] + [f"v{rng.randrange(10**6)}" for _ in range(n - shared)])
 
 
+def test_pairs_at_the_limit_are_dropped_and_pairs_below_stay_whatever_their_length(spark):
+    rng, rows, want = random.Random(7), [], set()
+    for i in range(240):
+        n = rng.choice([9, 18, 45, 180, 360])
+        a, b = pair_at(rng, n, 8 * n // 9 if i % 2 else 8 * n // 9 - max(1, n // 90))
+        assert (jaccard(a, b) >= 0.8) == bool(i % 2)
+        rows += [(2 * i, a), (2 * i + 1, b)]
+        want |= {2 * i} if i % 2 else {2 * i, 2 * i + 1}
+    short = [f"s{j}" for j in range(9)]
+    rows += [(1000, " ".join(short)), (1001, " ".join(short[:8]))]  # four of five shingles
+    got = {r["doc_id"] for r in S.drop_near_duplicates(docs(spark, rows)).collect()}
+    assert got == want | {1000}
+
+
 def test_a_group_over_many_blocks_links_as_all_pairs_do(spark, monkeypatch):
     monkeypatch.setattr(S, "BLOCK_BYTES", 2000)
     rng = random.Random(8)
