@@ -17,7 +17,9 @@ import hashlib
 import lzma
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
@@ -38,11 +40,16 @@ UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2
 #: Escapes of escapes many times over: cut to eight levels in one step, as each level would be a layer of its own.
 CHAIN = re.compile(r"%(?:25){9,}|\\(?:u005[cC]){9,}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: A shorter run of printable characters holds no secret.
+PRINTABLE = re.compile(rb"[\x20-\x7e]{12,}")
 GZIP, ZSTD, BZIP, XZ = b"\x1f\x8b", b"\x28\xb5\x2f\xfd", b"BZh", b"\xfd7zXZ\x00"
 ZLIB = (b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
 
-#: Guard against decompression bombs: a layer of more bytes than this isn't unpacked further.
+#: Contents of more bytes than this are scanned in windows of it, each of which begins with the last ``OVERLAP`` bytes of the one before.
 MAX_LAYER_BYTES = 64 << 20
+OVERLAP = 1 << 20
+#: Bytes that a decompressor takes in at a time; zstd, whose output can't be bounded, gets a few.
+PIECE, ZSTD_PIECE = 64 << 10, 256
 
 SCHEMA = "doc_id long, base array<struct<kind:string,start:int,end:int>>, spans array<struct<kind:string,start:int,end:int>>, n_layers int"
 
@@ -59,27 +66,111 @@ def in_order(spans) -> list[tuple[str, int, int]]:
     return sorted(set(spans), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
-def decompressed(data: bytes, limit: int = MAX_LAYER_BYTES) -> bytes | None:
-    """The contents of gzip, zlib, zstd, bzip2 or xz bytes; None for anything else, damaged or larger than ``limit``."""
-    try:
+def packed(data: bytes) -> bool:
+    """Whether the bytes begin as gzip, zlib, zstd, bzip2 or xz do."""
+    return data[:2] == GZIP or data[:2] in ZLIB or data[:4] == ZSTD or data[:3] == BZIP or data[:6] == XZ
+
+
+class Inflated:
+    """The contents of compressed pieces of bytes, member after member, in pieces; ends at damage or at other bytes. ``used`` are the bytes taken in, ``whole`` says if the last member was complete."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.used, self.whole = iter(pieces), 0, False
+
+    def _member(self, data: bytes):
         if data[:2] == GZIP or data[:2] in ZLIB:
-            d = zlib.decompressobj(31 if data[:2] == GZIP else 15)
-            out = d.decompress(data, limit)
-            return out if d.eof else None
+            return zlib.decompressobj(31 if data[:2] == GZIP else 15)
         if data[:4] == ZSTD:
             import zstandard
 
-            out = zstandard.ZstdDecompressor().decompressobj().decompress(data)
-            return out if len(out) <= limit else None
-        if data[:3] == BZIP:
-            d = bz2.BZ2Decompressor()
-            out = d.decompress(data, limit)
-            return out if d.eof else None
-        if data[:6] == XZ:
-            return lzma.LZMADecompressor().decompress(data, limit)
-    except Exception:  # damaged bytes raise many kinds of error; they're no layer
-        return None
-    return None
+            return zstandard.ZstdDecompressor().decompressobj()
+        return bz2.BZ2Decompressor() if data[:3] == BZIP else lzma.LZMADecompressor()
+
+    def __iter__(self) -> Iterator[bytes]:
+        data = b""
+        while True:
+            while len(data) < 6 and (more := next(self.pieces, None)) is not None:
+                data += more
+            start = data.lstrip(b"\0")  # members may be padded
+            if not packed(start):
+                return
+            self.used += len(data) - len(start)
+            data, d, self.whole = start, self._member(start), False
+            step = ZSTD_PIECE if data[:4] == ZSTD else PIECE
+            is_zlib = data[:2] == GZIP or data[:2] in ZLIB
+            while not d.eof:
+                if not data and getattr(d, "needs_input", True):
+                    data = next(self.pieces, b"")
+                head, data = data[:step], data[step:]
+                try:
+                    if is_zlib:
+                        out = d.decompress(head, 1 << 20)
+                        rest = d.unconsumed_tail
+                    elif step == ZSTD_PIECE:
+                        out, rest = d.decompress(head), b""
+                    else:
+                        if not d.needs_input:
+                            head, data = b"", head + data
+                        out, rest = d.decompress(head, 1 << 20), b""
+                except Exception:  # damaged bytes raise many kinds of error; they're no layer
+                    return
+                self.used += len(head) - len(rest)
+                data = rest + data
+                if out:
+                    yield out
+                elif not head and not d.eof:  # nothing more comes in or out
+                    return
+            self.used -= len(d.unused_data)
+            data = d.unused_data + data
+            self.whole = True
+
+
+def _pieces(data: bytes) -> Iterator[bytes]:
+    return (data[i : i + PIECE] for i in range(0, len(data), PIECE))
+
+
+def _head(parts: Iterator[bytes], size: int) -> bytes:
+    """At least ``size`` bytes of ``parts``, or all that are left."""
+    out, n = [], 0
+    while n < size and (part := next(parts, None)) is not None:
+        out.append(part)
+        n += len(part)
+    return b"".join(out)
+
+
+def contents(data: bytes) -> Iterator[bytes]:
+    """Windows of what is inside of compressed bytes, with all compressed layers undone; nothing if there is no such layer."""
+    seen = {hashlib.blake2b(data, digest_size=16).digest()}
+    parts = iter(Inflated(_pieces(data)))
+    head = _head(parts, MAX_LAYER_BYTES)
+    while head:
+        if len(head) < MAX_LAYER_BYTES:  # all of it: as deep as it goes, until it repeats
+            key = hashlib.blake2b(head, digest_size=16).digest()
+            if key in seen:
+                return
+            seen.add(key)
+            inner = iter(Inflated(_pieces(head)))
+        else:
+            inner = iter(Inflated(_pieces(head)))
+        first = _head(inner, 1)
+        if not first:
+            break
+        if len(head) < MAX_LAYER_BYTES:
+            parts = chain([first], inner)
+        else:
+            parts = iter(Inflated(chain([head], parts)))
+        head = _head(parts, MAX_LAYER_BYTES)
+    while head:
+        yield head
+        more = _head(parts, MAX_LAYER_BYTES)
+        head = head[-OVERLAP:] + more if more else b""
+
+
+def decompressed(data: bytes, limit: int = MAX_LAYER_BYTES) -> bytes | None:
+    """The contents of gzip, zlib, zstd, bzip2 or xz bytes, one layer; None for anything else, damaged or larger than ``limit``."""
+    inside = Inflated(_pieces(data))
+    out = _head(iter(inside), limit + 1)
+    return out if inside.whole and len(out) <= limit else None
 
 
 def as_text(data: bytes) -> str | None:
@@ -91,45 +182,60 @@ def as_text(data: bytes) -> str | None:
     return s if s and not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", s) else None
 
 
+def readable(data: bytes) -> str | None:
+    """Bytes as text if they are UTF-8, else character for byte if anything in them is long enough for a secret, else None."""
+    if (s := as_text(data)) is not None:
+        return s
+    return data.decode("latin-1") if PRINTABLE.search(data) else None
+
+
 class Layer:
-    """A text and, for each of its characters, the span of the original it stands for (None: itself)."""
+    """A text and, for each of its characters, the span of the original it stands for (None: itself; a number each: one span for all)."""
 
     __slots__ = ("ends", "starts", "text")
 
-    def __init__(self, text: str, starts: list[int] | None = None, ends: list[int] | None = None):
+    def __init__(self, text: str, starts: array | int | None = None, ends: array | int | None = None):
         self.text, self.starts, self.ends = text, starts, ends
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
         if self.starts is None:
             return start, end
+        if isinstance(self.starts, int):
+            return self.starts, self.ends
         return min(self.starts[start:end]), max(self.ends[start:end])
 
+    def place(self) -> tuple[int, int]:
+        if not self.text:
+            return 0, 0
+        return self.origin(0, 1)[0], self.origin(len(self.text) - 1, len(self.text))[1]
+
 
 def _rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
     """The layer with each match of ``pattern`` replaced by ``decode(match)``: pairs (text, its span within the match)."""
-    parts, starts, ends, at = [], [], [], 0
+    parts, starts, ends, at, one = [], array("i"), array("i"), 0, isinstance(layer.starts, int)
+
+    def keep(a: int, b: int) -> None:
+        parts.append(layer.text[a:b])
+        if not one:
+            starts.extend(range(a, b) if layer.starts is None else layer.starts[a:b])
+            ends.extend(range(a + 1, b + 1) if layer.starts is None else layer.ends[a:b])
+
     for m in pattern.finditer(layer.text):
         pieces = decode(m)
         if pieces is None:
             continue
-        for i in range(at, m.start()):
-            s, e = layer.origin(i, i + 1)
-            starts.append(s)
-            ends.append(e)
-        parts.append(layer.text[at : m.start()])
+        keep(at, m.start())
         for chars, a, b in pieces:
-            s, e = layer.origin(m.start() + a, m.start() + b)
             parts.append(chars)
-            starts += [s] * len(chars)
-            ends += [e] * len(chars)
+            if not one:
+                s, e = layer.origin(m.start() + a, m.start() + b)
+                starts.extend([s] * len(chars))
+                ends.extend([e] * len(chars))
         at = m.end()
     if not parts:
         return None
-    for i in range(at, len(layer.text)):
-        s, e = layer.origin(i, i + 1)
-        starts.append(s)
-        ends.append(e)
-    return Layer("".join(parts) + layer.text[at:], starts, ends)
+    keep(at, len(layer.text))
+    return Layer("".join(parts), layer.starts, layer.ends) if one else Layer("".join(parts), starts, ends)
 
 
 def _url(m: re.Match) -> list[tuple[str, int, int]] | None:
@@ -161,19 +267,20 @@ def _base64(layer: Layer) -> Iterator[Layer]:
             data = base64.b64decode(run + "=" * (-len(run) % 4))
         except binascii.Error:
             continue
-        packed, depth = decompressed(data), 0
-        while packed is not None and (inner := decompressed(packed)) is not None and inner != packed and depth < 64:
-            packed, depth = inner, depth + 1
-        text = as_text(data if packed is None else packed)
+        whole, inside = layer.origin(m.start(), m.end()), False
+        for window in contents(data):
+            inside = True
+            if (text := readable(window)) is not None:
+                yield Layer(text, *whole)
+        text = None if inside else as_text(data)
         if text is None:
             continue
-        if packed is not None or not text.isascii():  # characters can't be told apart: the run as a whole
-            s, e = layer.origin(m.start(), m.end())
-            yield Layer(text, [s] * len(text), [e] * len(text))
+        if not text.isascii():  # characters can't be told apart: the run as a whole
+            yield Layer(text, *whole)
         else:
             at = [layer.origin(m.start() + i * 4 // 3, min(m.end(), m.start() + -(-(i + 1) * 4 // 3))) for i in range(len(text))]
             at[-1] = (at[-1][0], layer.origin(m.end() - 1, m.end())[1])  # the last character takes the padding along
-            yield Layer(text, [a for a, _ in at], [b for _, b in at])
+            yield Layer(text, array("i", [a for a, _ in at]), array("i", [b for _, b in at]))
 
 
 def unwrapped(layer: Layer) -> Iterator[Layer]:
@@ -197,9 +304,8 @@ def scan_layers(text: str) -> tuple[list, list, int]:
         n += 1
         for below in unwrapped(layer):
             # the same text from another place is another layer: its spans differ
-            place = (0, 0) if below.starts is None or len(below.text) == 0 else (below.starts[0], below.ends[-1])
-            key = hashlib.blake2b(below.text.encode("utf-8", "surrogatepass") + repr(place).encode(), digest_size=16).digest()
-            if key in seen or len(below.text) > MAX_LAYER_BYTES:
+            key = hashlib.blake2b(below.text.encode("utf-8", "surrogatepass") + repr(below.place()).encode(), digest_size=16).digest()
+            if key in seen:
                 continue
             seen.add(key)
             spans |= {(kind, *below.origin(s, e)) for kind, s, e in scan(below.text)}

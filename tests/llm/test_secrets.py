@@ -1,6 +1,7 @@
 import base64
 import bz2
 import gzip
+import lzma
 import urllib.parse
 import zlib
 
@@ -92,3 +93,30 @@ def test_redaction_keeps_rows_and_columns(spark):
     assert got[1]["text"] == "a [REDACTED] b" and got[1]["n_chars"] == 14
     assert got[2]["text"] is None and got[3]["text"] == "clean" and got[4]["text"] == "[REDACTED]"
     assert S.redact(awkward(spark)).count() == awkward(spark).count()
+
+
+PACKERS = {"gzip": gzip.compress, "zlib": zlib.compress, "bz2": bz2.compress, "zstd": zstandard.compress, "xz": lzma.compress}
+
+
+def deep(text):
+    base, spans, _ = S.scan_layers(text)
+    return [s for s in spans if s not in base]
+
+
+@pytest.mark.parametrize("name", PACKERS)
+def test_every_member_is_read_in_windows_of_any_number(name, monkeypatch):
+    monkeypatch.setattr(S, "MAX_LAYER_BYTES", 5000)
+    monkeypatch.setattr(S, "OVERLAP", 100)
+    pack = PACKERS[name]
+    many = pack(b"first line ") + pack(b"x " * 20_000 + b"password=hunter22secret9" + b" y" * 20_000)
+    for data in (many, pack(many)):
+        assert deep(base64.b64encode(data).decode())
+    data = b"token=abcdef12345"
+    for _ in range(70):
+        data = pack(data)
+    assert deep(base64.b64encode(data).decode())
+
+
+def test_a_large_text_is_rewritten_too(monkeypatch):
+    monkeypatch.setattr(S, "MAX_LAYER_BYTES", 1000)
+    assert deep("a " * 2000 + "pass%77ord%3Dhunter22") == [("assign", 4000, 4021)]
