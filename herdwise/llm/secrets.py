@@ -240,10 +240,6 @@ def _rewritten(layer: Layer, pattern: re.Pattern, decode) -> Layer | None:
 
 def _url(m: re.Match) -> list[tuple[str, int, int]] | None:
     raw = unquote_to_bytes(m[0])
-    inner = decompressed(raw)
-    text = as_text(inner) if inner is not None else None
-    if text is not None:
-        return [(text, 0, len(m[0]))]
     out, at = [], 0
     for c in raw.decode("utf-8", "replace"):
         n = len(c.encode()) if c != "�" else 1
@@ -252,6 +248,68 @@ def _url(m: re.Match) -> list[tuple[str, int, int]] | None:
     return out
 
 
+def _magics(escape) -> re.Pattern:
+    """Where compressed bytes may begin, each byte as it is or as one of ``escape(byte)``."""
+    byte = lambda b: "(?:" + "|".join([re.escape(chr(b)), *escape(b)]) + ")"
+    return re.compile("|".join("".join(map(byte, magic)) for magic in (GZIP, ZSTD, BZIP, XZ, *ZLIB)))
+
+
+def _hex(b: int) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in f"{b:02x}")
+
+
+#: How bytes are written in texts: where compressed ones may begin, and one byte (hexadecimal or octal digits, a letter after a backslash, or the byte as a character).
+ESCAPES = [
+    (_magics(lambda b: [f"%{_hex(b)}"]), re.compile(r"%([0-9A-Fa-f]{2})|()()([\x00-\xff])")),
+    (_magics(lambda b: [rf"\\x{_hex(b)}", rf"\\u00{_hex(b)}", rf"\\{b:03o}"]), re.compile(r"\\(?:x|u00)([0-9A-Fa-f]{2})|\\([0-7]{1,3})|\\([abfnrtv\\'\"/])|([\x00-\xff])")),
+]
+LETTERS = {"a": 7, "b": 8, "f": 12, "n": 10, "r": 13, "t": 9, "v": 11}
+
+
+def _escaped(layer: Layer) -> Iterator[Layer]:
+    """A layer for each stretch of compressed bytes that are written as escapes, or as characters, other bytes among them standing for themselves.
+
+    Bytes are taken as the decompressor asks for them, so a false start costs little.
+    """
+    for kind, (magics, token) in enumerate(ESCAPES):
+        if not kind and "%" not in layer.text:
+            continue
+        done = 0
+        for m in magics.finditer(layer.text):
+            if m.start() < done:
+                continue
+            for plus in (" ", "+") if not kind else ("+",):  # quote_plus() writes blanks as +, quote() leaves no + at all
+                ends, taken = array("i"), bytearray()
+
+                def pieces(at: int = m.start(), plus: str = plus, ends: array = ends, taken: bytearray = taken, token: re.Pattern = token) -> Iterator[bytes]:
+                    size = 64
+                    while True:
+                        out = bytearray()
+                        while len(out) < size and (t := token.match(layer.text, at)):
+                            h, octal, letter, c = t.groups()
+                            out.append(int(h, 16) if h else int(octal, 8) & 255 if octal else LETTERS.get(letter, ord(letter)) if letter else ord(plus if c == "+" else c))
+                            at = t.end()
+                            ends.append(at)
+                        if not out:
+                            return
+                        taken += out
+                        yield bytes(out)
+                        size = min(2 * size, PIECE)
+
+                # read once for its length; what it holds is then read in windows
+                inside = Inflated(pieces())
+                n = sum(map(len, inside))
+                if not n or not (inside.whole or n >= 12):
+                    continue
+                done = max(done, ends[inside.used - 1])
+                whole = layer.origin(m.start(), ends[inside.used - 1])
+                for window in contents(bytes(taken[: inside.used])):
+                    if (text := readable(window)) is not None:
+                        yield Layer(text, *whole)
+                if inside.whole:
+                    break
+
+
 def _unicode(m: re.Match) -> list[tuple[str, int, int]] | None:
     code = int(m[1] or m[2] or m[3], 16)
     return [(chr(code), 0, len(m[0]))] if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
@@ -292,6 +350,7 @@ def unwrapped(layer: Layer) -> Iterator[Layer]:
         yield found
     if "\\" in layer.text and (found := _rewritten(layer, UNICODE, _unicode)):
         yield found
+    yield from _escaped(layer)
     yield from _base64(layer)
 
 

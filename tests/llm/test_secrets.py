@@ -1,6 +1,7 @@
 import base64
 import bz2
 import gzip
+import json
 import lzma
 import urllib.parse
 import zlib
@@ -120,3 +121,13 @@ def test_every_member_is_read_in_windows_of_any_number(name, monkeypatch):
 def test_a_large_text_is_rewritten_too(monkeypatch):
     monkeypatch.setattr(S, "MAX_LAYER_BYTES", 1000)
     assert deep("a " * 2000 + "pass%77ord%3Dhunter22") == [("assign", 4000, 4021)]
+
+
+@pytest.mark.parametrize("name", PACKERS)
+def test_compressed_bytes_in_escapes(name):
+    for n in range(6):
+        data = PACKERS[name](f"{'lorem ipsum ' * n}password=hunter22secret{n} and {n * 977}".encode())
+        written = [urllib.parse.quote(data), urllib.parse.quote(data, safe=""), urllib.parse.quote_plus(data), repr(data)[2:-1], json.dumps(data.decode("latin-1"))[1:-1], "".join(f"\\x{b:02x}" for b in data), "".join(f"\\{b:03o}" for b in data)]
+        for inner in written:
+            found = deep(f"before '{inner}' and what follows")
+            assert ("assign", 8, 8 + len(inner)) in found, (n, inner)
