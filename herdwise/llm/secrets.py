@@ -11,7 +11,6 @@ is reported as a span of the original.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
@@ -40,10 +39,15 @@ UNICODE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2
 #: Escapes of escapes many times over: cut to eight levels in one step, as each level would be a layer of its own.
 CHAIN = re.compile(r"%(?:25){9,}|\\(?:u005[cC]){9,}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+#: The same, going on over line breaks and indentation.
+LINES64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}")
+#: Printable characters as UTF-16, either byte first.
+UTF16 = re.compile(rb"(?:[\x20-\x7e]\x00){12,}|(?:\x00[\x20-\x7e]){12,}")
 #: A shorter run of printable characters holds no secret.
 PRINTABLE = re.compile(rb"[\x20-\x7e]{12,}")
 GZIP, ZSTD, BZIP, XZ = b"\x1f\x8b", b"\x28\xb5\x2f\xfd", b"BZh", b"\xfd7zXZ\x00"
 ZLIB = (b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda")
+MAGIC = re.compile(b"|".join(map(re.escape, (GZIP, ZSTD, BZIP, XZ, *ZLIB))))
 
 #: Contents of more bytes than this are scanned in windows of it, each of which begins with the last ``OVERLAP`` bytes of the one before.
 MAX_LAYER_BYTES = 64 << 20
@@ -186,6 +190,8 @@ def readable(data: bytes) -> str | None:
     """Bytes as text if they are UTF-8, else character for byte if anything in them is long enough for a secret, else None."""
     if (s := as_text(data)) is not None:
         return s
+    if UTF16.search(data):
+        return data.replace(b"\0", b"").decode("latin-1")
     return data.decode("latin-1") if PRINTABLE.search(data) else None
 
 
@@ -316,29 +322,51 @@ def _unicode(m: re.Match) -> list[tuple[str, int, int]] | None:
 
 
 def _base64(layer: Layer) -> Iterator[Layer]:
-    """A layer for each run of base64 that holds text or compressed text."""
-    for m in BASE64.finditer(layer.text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
+    """Layers for each run of base64 that holds text or compressed text, at each of the four places where its groups of four may begin: what stands before it may belong to the alphabet too."""
+    for pattern in (BASE64, LINES64):
+        for m in pattern.finditer(layer.text):
+            if pattern is BASE64:
+                run, places = m[0].rstrip("="), range(m.start(), m.end())
+            else:
+                places = array("l", [m.start() + t.start() for t in re.finditer(r"[^\s=]", m[0])])
+                run = "".join(m[0].split()).rstrip("=")
+            run = run.replace("-", "+").replace("_", "/")
+            for shift in range(4):
+                yield from _decoded(layer, run[shift:], places[shift:], m.end(), shift)
+
+
+def _decoded(layer: Layer, run: str, places, end: int, shift: int) -> Iterator[Layer]:
+    if len(run) % 4 == 1:
+        run = run[:-1]
+    data = base64.b64decode(run + "=" * (-len(run) % 4))
+    span = lambda a, b: (places[a * 4 // 3], end if b == len(data) else places[-(-b * 4 // 3) - 1] + 1)
+    done = 0
+    for m in MAGIC.finditer(data):
+        if m.start() < done:
             continue
-        try:
-            data = base64.b64decode(run + "=" * (-len(run) % 4))
-        except binascii.Error:
+        rest = data[m.start() :]
+        inside = Inflated(_pieces(rest))
+        n = sum(map(len, inside))
+        if not n or not (inside.whole or n >= 12):
             continue
-        whole, inside = layer.origin(m.start(), m.end()), False
-        for window in contents(data):
-            inside = True
+        done = m.start() + inside.used
+        whole = layer.origin(*span(m.start(), done))
+        for window in contents(rest[: inside.used]):
             if (text := readable(window)) is not None:
                 yield Layer(text, *whole)
-        text = None if inside else as_text(data)
-        if text is None:
-            continue
-        if not text.isascii():  # characters can't be told apart: the run as a whole
-            yield Layer(text, *whole)
-        else:
-            at = [layer.origin(m.start() + i * 4 // 3, min(m.end(), m.start() + -(-(i + 1) * 4 // 3))) for i in range(len(text))]
-            at[-1] = (at[-1][0], layer.origin(m.end() - 1, m.end())[1])  # the last character takes the padding along
-            yield Layer(text, array("i", [a for a, _ in at]), array("i", [b for _, b in at]))
+    text = as_text(data)
+    if text is not None and not text.isascii():  # characters can't be told apart: the run as a whole
+        if not shift:
+            yield Layer(text, *layer.origin(places[0], end))
+        return
+    views = []
+    if text is not None or PRINTABLE.search(data):
+        views.append((data, 0, 1))
+    if UTF16.search(data):
+        views += [(data[k::2], k, 2) for k in (0, 1)]
+    for view, first, step in views:
+        at = [layer.origin(*span(first + step * i, min(len(data), first + step * i + step))) for i in range(len(view))]
+        yield Layer(view.decode("latin-1"), array("i", [a for a, _ in at]), array("i", [b for _, b in at]))
 
 
 def unwrapped(layer: Layer) -> Iterator[Layer]:

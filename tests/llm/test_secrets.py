@@ -131,3 +131,24 @@ def test_compressed_bytes_in_escapes(name):
         for inner in written:
             found = deep(f"before '{inner}' and what follows")
             assert ("assign", 8, 8 + len(inner)) in found, (n, inner)
+
+
+@pytest.mark.parametrize("name", [None, *PACKERS])
+def test_base64_over_lines(name):
+    data = "".join(f"{i * 7919} " for i in range(40)).encode() + b"password=hunter22secret9 " + b"and more " * 20
+    inner = base64.encodebytes(PACKERS[name](data) if name else data).decode()
+    for text in (inner, inner.replace("\n", "\r\n    "), f"-----BEGIN-----\n{inner}-----END-----\n"):
+        assert deep(text)
+
+
+@pytest.mark.parametrize("before", ["/v1/abc/", "/v1/ab/", "id_", "key-", "a/", "ab/", "abc/", "x_y_z-"])
+@pytest.mark.parametrize("pack", [bytes, gzip.compress])
+def test_base64_after_other_characters_of_its_alphabet(before, pack):
+    inner = base64.b64encode(pack(b"password=hunter22secret9")).decode()
+    spans = deep(f"see {before}{inner} there")
+    assert any(kind == "assign" and s >= 4 + len(before) - 1 and e <= 4 + len(before) + len(inner) for kind, s, e in spans)
+
+
+@pytest.mark.parametrize("payload", [b"\xff\x00 password=hunter22secret9", b"\x1b[0m password=hunter22secret9", "caf\xe9 password=hunter22secret9".encode("latin-1"), "password=hunter22secret9".encode("utf-16"), "password=hunter22secret9".encode("utf-16-be")])
+def test_payloads_that_are_no_utf8(payload):
+    assert deep(base64.b64encode(payload).decode()) and deep(base64.b64encode(gzip.compress(payload)).decode())
