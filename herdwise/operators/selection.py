@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.images import is_normal
+from .ranking import ranked
 
 
 def select_categories(df: DataFrame, class_name: str | list[str]) -> DataFrame:
@@ -20,11 +21,17 @@ def assign_subsets(images: DataFrame, divide_num: int = 1, seed: int = 0) -> Dat
     """``subset`` from 0 to ``divide_num`` - 1: equal parts of each category in an order hashed from id and seed.
 
     Changes what is scored against what; it is the caller's choice and never made implicitly.
+    A category's images are ranked in ranges, so none is sorted in one task.
     """
     if divide_num == 1:
         return images.withColumn("subset", F.lit(0))
-    order = Window.partitionBy("category").orderBy(F.md5(F.concat_ws(":", "image_id", F.lit(seed))), "image_id")
-    return images.withColumn("subset", F.ntile(divide_num).over(order) - 1)
+    hashed = images.drop("subset").withColumn("__md5", F.md5(F.concat_ws(":", "image_id", F.lit(seed))))
+    out = ranked(hashed, ["category"], [F.col("__md5"), F.col("image_id")], "subsets")
+    # the first size % divide_num parts have one image more
+    at, part, longer = F.col("__rank") - 1, F.floor(F.col("__size") / divide_num), F.col("__size") % divide_num
+    inside = at < longer * (part + 1)
+    subset = F.when(inside, F.floor(at / (part + 1))).otherwise(longer + F.floor((at - longer * (part + 1)) / F.greatest(part, F.lit(1))))
+    return out.withColumn("subset", subset.cast("int")).drop("__md5", "__rank", "__size")
 
 
 def select_layers(patches: DataFrame, layers: list[int]) -> DataFrame:
@@ -51,12 +58,14 @@ def drop_normal_types(images: DataFrame) -> DataFrame:
 
 
 def select_pseudo_normal(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """The lowest-scoring share of each key's images: a quarter up to 50 images, a fifth up to 100, else 15 %, rounded down; ties by id."""
-    everyone = Window.partitionBy(*keys)
-    n = F.count("*").over(everyone)
+    """The lowest-scoring share of each key's images: a quarter up to 50 images, a fifth up to 100, else 15 %, rounded down; ties by id.
+
+    Ranked in ranges of the scores, so that no task sorts a whole key.
+    """
+    out = ranked(scores, keys, [F.col("score"), F.col("image_id")], "pseudo-normal-ranks")
+    n = F.col("__size")
     share = F.when(n <= 50, F.lit(0.25)).when(n <= 100, F.lit(0.20)).otherwise(F.lit(0.15)).cast("double")
-    ranked = scores.withColumn("__n", F.floor(share * n)).withColumn("__rk", F.row_number().over(everyone.orderBy("score", "image_id")))
-    return ranked.where("__rk <= __n").drop("__n", "__rk")
+    return out.where(F.col("__rank") <= F.floor(share * n)).drop("__rank", "__size")
 
 
 def semi_join_reference(patches: DataFrame, selected: DataFrame, on: list[str]) -> DataFrame:
