@@ -70,8 +70,27 @@ def _pool(x: np.ndarray, m: int) -> np.ndarray:
     return (sums[..., high] - sums[..., low]) / (high - low)
 
 
-def aggregate_grid(x: np.ndarray, r: int, out_dim: int, normalize: bool) -> np.ndarray:
-    """Layer norm, r x r neighbourhoods, pooling to ``out_dim`` and (optionally) unit length, of one image [patches, channels]."""
+def half_pixel_sources(side: int, size: int) -> list[tuple[int, float]]:
+    """Where the centres of ``size`` output cells fall between the centres of ``side`` cells."""
+    src = [max(0.0, (i + 0.5) * side / size - 0.5) for i in range(size)]
+    return [(int(s), s - int(s)) for s in src]
+
+
+def _weights(side: int, sources: list[tuple[int, float]]) -> np.ndarray:
+    """The matrix [output cells, cells] of a linear resampling."""
+    a = np.zeros((len(sources), side))
+    for y, (low, f) in enumerate(sources):
+        a[y, low] += 1 - f
+        a[y, min(low + 1, side - 1)] += f
+    return a
+
+
+def aggregate_grid(x: np.ndarray, r: int, out_dim: int, normalize: bool, side_out: int | None = None) -> np.ndarray:
+    """Layer norm, r x r neighbourhoods, pooling to ``out_dim`` and (optionally) unit length, of one image [patches, channels].
+
+    With ``side_out`` a grid of another side is resampled to what that side would give, before the
+    lengths are made one (bilinear, half-pixel centres; pooling and resampling don't mind their order).
+    """
     n, c = x.shape
     side = int(np.sqrt(n))
     z = ((x - x.mean()) / np.sqrt(x.var() + EPS)).reshape(side, side, c)
@@ -87,13 +106,18 @@ def aggregate_grid(x: np.ndarray, r: int, out_dim: int, normalize: bool) -> np.n
         else:  # the window laid out channel by channel
             windows = np.lib.stride_tricks.sliding_window_view(padded, (r, r), (0, 1)).reshape(size * size, c * r * r)
             out = _pool(windows, out_dim)
+    if side_out is not None and side_out != side:
+        have = int(np.sqrt(len(out)))
+        a = _weights(have, half_pixel_sources(have, have + side_out - side))
+        out = np.einsum("yg,gkc,xk->yxc", a, out.reshape(have, have, -1), a, optimize=True).reshape(-1, out.shape[1])
     return out / np.linalg.norm(out, axis=1, keepdims=True) if normalize else out
 
 
-def local_aggregate_multi(patches: DataFrame, r_list: list[int], keys: list[str], out_dim: int | None = None, normalize: bool = True) -> DataFrame:
+def local_aggregate_multi(patches: DataFrame, r_list: list[int], keys: list[str], out_dim: int | None = None, normalize: bool = True, side: int | None = None) -> DataFrame:
     """Aggregated vectors at every degree of ``r_list`` in one job: ``keys..., degree, patch_id, gy, gx, feat``.
 
-    ``keys`` name an image and layer. A zero vector normalises to NaN. One shuffle, to bring an image's patches together.
+    ``keys`` name an image and layer. ``side`` is the grid of the first layer, to which layers of
+    another grid are resampled. A zero vector normalises to NaN. One shuffle, to bring an image's patches together.
     """
     packed = pack_images(patches, keys)
     schema = ", ".join([*(f"`{k}` {patches.schema[k].dataType.simpleString()}" for k in keys), "degree int", "patch_ids array<int>", "flat array<double>"])
@@ -106,15 +130,15 @@ def local_aggregate_multi(patches: DataFrame, r_list: list[int], keys: list[str]
                 x = np.asarray(row.column("flat").flatten()).reshape(n, -1)
                 for r in r_list:
                     with np.errstate(invalid="ignore", divide="ignore"):
-                        z = aggregate_grid(x, r, out_dim or x.shape[1], normalize)
+                        z = aggregate_grid(x, r, out_dim or x.shape[1], normalize, side)
                     yield pa.RecordBatch.from_arrays([*(row.column(k) for k in keys), pa.array([r], pa.int32()), pa.array([np.arange(len(z), dtype=np.int32)], pa.list_(pa.int32())), pa.array([z.ravel()], pa.list_(pa.float64()))], names=[*keys, "degree", "patch_ids", "flat"])
 
     return unpack_images(packed.mapInArrow(run, schema), [*keys, "degree"])
 
 
-def local_aggregate(patches: DataFrame, r: int, keys: list[str], out_dim: int | None = None, normalize: bool = True) -> DataFrame:
+def local_aggregate(patches: DataFrame, r: int, keys: list[str], out_dim: int | None = None, normalize: bool = True, side: int | None = None) -> DataFrame:
     """``local_aggregate_multi`` at one degree."""
-    return local_aggregate_multi(patches, [r], keys, out_dim, normalize)
+    return local_aggregate_multi(patches, [r], keys, out_dim, normalize, side)
 
 
 def _taps(spark, sources: list[tuple[int, float]], side: int, name: str, grid: str) -> DataFrame:
@@ -135,14 +159,13 @@ def _resized(df: DataFrame, keys: list[str], side: int, sources: list[tuple[int,
 
 def resample_grid(patches: DataFrame, in_side: int, out_side: int, keys: list[str]) -> DataFrame:
     """Bilinear resampling of vectors onto another grid, half-pixel centres: ``keys..., y, x, feat``."""
-    src = [max(0.0, (i + 0.5) * in_side / out_side - 0.5) for i in range(out_side)]
 
     def weighted(met: DataFrame, by: list[str]) -> DataFrame:
         each = met.select(*by, (F.col("wy") * F.col("wx")).alias("w"), F.posexplode("feat").alias("c", "v"))
         sums = each.groupBy(*by, "c").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
         return sums.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "v"))), lambda s: s["v"]).alias("feat"))
 
-    return _resized(patches, keys, in_side, [(int(s), s - int(s)) for s in src], weighted)
+    return _resized(patches, keys, in_side, half_pixel_sources(in_side, out_side), weighted)
 
 
 def corner_sources(side: int, size: int) -> list[tuple[int, float]]:
@@ -172,10 +195,7 @@ def upsample_packed(scores: DataFrame, size: int, keys: list[str]) -> DataFrame:
                 row = batch.slice(i, 1)
                 s = np.asarray(row.column("grid").flatten())
                 side = int(np.sqrt(len(s)))
-                a = np.zeros((size, side))
-                for y, (low, f) in enumerate(corner_sources(side, size)):
-                    a[y, low] += 1 - f
-                    a[y, min(low + 1, side - 1)] += f
+                a = _weights(side, corner_sources(side, size))
                 yield pa.RecordBatch.from_arrays([*(row.column(k) for k in keys), pa.array([(a @ s.reshape(side, side) @ a.T).ravel()], pa.list_(pa.float64()))], names=[*keys, "map"])
 
     return packed.mapInArrow(run, schema)

@@ -5,47 +5,34 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
+from .ranking import in_ranges, running_sums
 
-#: Ranges of scores per key whose sums are added up first.
-RANGES = 256
+
+def _curve(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
+    """``keys..., score, p, n, tp, fp, n1, n0``: the counts at each distinct score, down to it, and in all."""
+    hit = F.when(F.col(label) == 1, 1).otherwise(0)
+    counts = df.groupBy(*keys, F.col(score).alias("score")).agg(F.sum(hit).alias("p"), F.sum(1 - hit).alias("n"))
+    down = [F.col("score").desc()]
+    return running_sums(in_ranges(counts, keys, down, "score-counts"), keys, down, {"p": ("tp", "n1"), "n": ("fp", "n0")})
 
 
 def cumulative_counts(df: DataFrame, keys: list[str], score: str = "score", label: str = "label") -> DataFrame:
     """``keys..., score, p, n, tp, fp``: labels 1 and 0 at each distinct score, and at that score or above.
 
-    Two levels: scores are counted, dealt into ranges by percentile, and the ranges' totals
-    (a few hundred rows per key) give each range its offset; the running sums are then local
-    to a range. No task sorts a whole key.
+    Equal scores are counted first (combined before the shuffle, so a hot score is one row);
+    distinct ones are dealt into ranges, whose totals give each range its offset. No task sorts a whole key.
     """
-    # written once, as the ranges, their totals and the running sums all start from it
-    counts = stored(df.groupBy(*keys, F.col(score).alias("score")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("n")), "score-counts")
-    cuts = counts.groupBy(*keys).agg(F.percentile_approx("score", F.lit([i / RANGES for i in range(1, RANGES)]), F.lit(10_000)).alias("__cuts"))
-    # the number of cuts that a score reaches: blocks of 16 first, then the cuts of one block
-    block = F.size(F.filter("__every", lambda c: c >= F.col("score")))
-    within = F.size(F.filter(F.slice("__desc", block * 16 + 1, F.lit(16)), lambda c: c >= F.col("score")))
-    cuts = cuts.withColumn("__desc", F.sort_array("__cuts", asc=False)).withColumn("__every", F.filter("__desc", lambda c, i: i % 16 == 15))
-    met = counts.join(cuts, keys).withColumn("__r", block * 16 + within).drop("__cuts", "__desc", "__every")
-    totals = met.groupBy(*keys, "__r").agg(F.sum("p").alias("__p"), F.sum("n").alias("__n"))
-    before = Window.partitionBy(*keys).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "__r", F.coalesce(F.sum("__p").over(before), F.lit(0)).alias("__tp"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__fp"))
-    running = Window.partitionBy(*keys, "__r").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    out = met.join(offsets, [*keys, "__r"])
-    return out.select(*keys, "score", "p", "n", (F.sum("p").over(running) + F.col("__tp")).alias("tp"), (F.sum("n").over(running) + F.col("__fp")).alias("fp"))
-
-
-def _totals(df: DataFrame, keys: list[str], label: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("n1"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("n0"))
+    return _curve(df, keys, score, label).select(*keys, "score", "p", "n", "tp", "fp")
 
 
 def confusion_curve(df: DataFrame, keys: list[str], score: str = "score", label: str = "label") -> DataFrame:
     """``keys..., score, tp, fp, precision, recall, fpr`` at every distinct score; recall or fpr is NULL without positives or negatives."""
-    curve = cumulative_counts(df, keys, score, label)
-    met = curve.join(_totals(df, keys, label), keys)
+    met = _curve(df, keys, score, label)
     return met.select(*keys, "score", "tp", "fp", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide("tp", "n1").alias("recall"), F.try_divide("fp", "n0").alias("fpr"))
 
 
@@ -60,11 +47,9 @@ def _precision_sum() -> Column:
 
 def ranking_metrics(df: DataFrame, keys: list[str], score: str = "score", label: str = "label") -> DataFrame:
     """``keys..., n1, n0, auroc, ap, f1`` from one curve. ``auroc`` is NULL without both labels, ``ap`` and ``f1`` without positives."""
-    curve = cumulative_counts(df, keys, score, label)
-    met = curve.join(_totals(df, keys, label), keys)
     # 2PR / (P + R) = 2 TP / (TP + FP + n1), finite where TP > 0
     f1 = F.max(F.when(F.col("tp") > 0, 2.0 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("n1"))))
-    return met.groupBy(*keys).agg(F.max("n1").alias("n1"), F.max("n0").alias("n0"), _area().alias("auroc"), _precision_sum().alias("ap"), f1.alias("f1"))
+    return _curve(df, keys, score, label).groupBy(*keys).agg(F.max("n1").alias("n1"), F.max("n0").alias("n0"), _area().alias("auroc"), _precision_sum().alias("ap"), f1.alias("f1"))
 
 
 def auroc(df: DataFrame, keys: list[str], score: str = "score", label: str = "label") -> DataFrame:
@@ -104,48 +89,85 @@ def _regions(mask: np.ndarray) -> np.ndarray:
         label = new
 
 
-def label_regions(pixels: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys..., y, x, region`` of every masked pixel: 8-connected regions within an image (``keys`` name it)."""
-    schema = ", ".join([*(f"`{k}` {pixels.schema[k].dataType.simpleString()}" for k in keys), "y int, x int, region int"])
-    # masked pixels only, and the image's width with them; one image is a bounded group
-    packed = pixels.groupBy(*keys).agg((F.max("x") + 1).alias("w"), F.collect_list(F.when(F.col("mask") == 1, F.struct("y", "x"))).alias("set"))
-    packed = packed.where(F.size("set") > 0).select(*keys, "w", F.col("set.y").alias("ys"), F.col("set.x").alias("xs"))
+def _packed(pixels: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """One row per image (``keys`` name it), its pixels as arrays; an image is a bounded group."""
+    rows = F.collect_list(F.struct("y", "x", *columns))
+    return pixels.groupBy(*keys).agg(rows.alias("__p")).select(*keys, *(F.col(f"__p.{c}").alias(c) for c in ("y", "x", *columns)))
+
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for i in range(len(frame)):
-                row = frame.iloc[[i]]
-                ys, xs, w = np.asarray(row["ys"].iloc[0]), np.asarray(row["xs"].iloc[0]), int(row["w"].iloc[0])
-                mask = np.zeros((ys.max() + 1, w), bool)
-                mask[ys, xs] = True
-                ids = row[keys].loc[row.index.repeat(len(ys))].reset_index(drop=True)
-                yield ids.assign(y=ys, x=xs, region=_regions(mask)[ys, xs])
+def _arrays(batch: pa.RecordBatch, columns: list[str]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(row, its arrays) of packed images."""
+    lists = [batch.column(c) for c in columns]
+    flat, ends = [np.asarray(x.flatten()) for x in lists], np.asarray(lists[0].offsets) - lists[0].offsets[0].as_py()
+    for i in range(batch.num_rows):
+        yield i, [f[ends[i] : ends[i + 1]] for f in flat]
 
-    return packed.mapInPandas(run, schema)
 
+def _labelled(y: np.ndarray, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """The region of each pixel of an image, -1 where the mask is not 1."""
+    grid = np.zeros((int(y.max()) + 1, int(x.max()) + 1), bool)
+    grid[y[mask == 1], x[mask == 1]] = True
+    return _regions(grid)[y, x]
+
+
+def label_regions(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys..., y, x, region`` of every masked pixel: 8-connected regions within an image (``keys`` name it)."""
+    schema = ", ".join([*(f"`{k}` {pixels.schema[k].dataType.simpleString()}" for k in keys), "y int, x int, region int"])
 
-def region_overlap_curve(pixels: DataFrame, regions: DataFrame, keys: list[str], image: list[str], max_step: int = 200) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (y, x, mask) in _arrays(batch, ["y", "x", "mask"]):
+                region = _labelled(y, x, mask)
+                on = region >= 0
+                ids = pa.array(np.full(int(on.sum()), i))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(ids) for k in keys), pa.array(y[on], pa.int32()), pa.array(x[on], pa.int32()), pa.array(region[on], pa.int32())], names=[*keys, "y", "x", "region"])
+
+    return _packed(pixels.select(*keys, F.col("y").cast("int"), F.col("x").cast("int"), F.col("mask").cast("int")), keys, ["mask"]).mapInArrow(run, schema)
+
+
+def _bucket_sums(pixels: DataFrame, ends: DataFrame, keys: list[str], image: list[str]) -> DataFrame:
+    """``keys..., bucket, share, clean_here, regions``, a few rows per image: its regions' shares and its clean pixels by the number of thresholds that lie below them."""
+    packed = _packed(pixels.select(*keys, *image, F.col("y").cast("int"), F.col("x").cast("int"), F.col("mask").cast("int"), F.col("score").cast("double")), [*keys, *image], ["mask", "score"])
+    met = packed.join(ends.select(*keys, "lo", "delta", "steps"), keys)
+    schema = ", ".join([*(f"`{k}` {pixels.schema[k].dataType.simpleString()}" for k in keys), "bucket int, share double, clean_here long, regions long"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (y, x, mask, score) in _arrays(batch, ["y", "x", "mask", "score"]):
+                thresholds = batch.column("lo")[i].as_py() + np.arange(batch.column("steps")[i].as_py()) * batch.column("delta")[i].as_py()
+                bucket = np.searchsorted(thresholds, score)  # thresholds strictly below
+                _, region, area = np.unique(_labelled(y, x, mask), return_inverse=True, return_counts=True)
+                marked = mask == 1
+                share = np.bincount(bucket[marked], 1.0 / area[region[marked]], len(thresholds) + 1).astype(float)
+                clean = np.bincount(bucket, 1 - mask, len(thresholds) + 1).astype(np.int64)
+                n = len(np.unique(region[marked]))
+                some = np.flatnonzero((share > 0) | (clean != 0))
+                if not len(some):
+                    continue
+                counts = np.zeros(len(some), np.int64)
+                counts[0] = n
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(np.full(len(some), i))) for k in keys), pa.array(some, pa.int32()), pa.array(share[some]), pa.array(clean[some]), pa.array(counts)], names=[*keys, "bucket", "share", "clean_here", "regions"])
+
+    return met.mapInArrow(run, schema)
+
+
+def region_overlap_curve(pixels: DataFrame, keys: list[str], image: list[str], max_step: int = 200) -> DataFrame:
     """``keys..., step, threshold, overlap, fpr``: at each threshold from a key's lowest score up, the mean share of regions above it and of clean pixels above it.
 
-    ``image`` are the columns that name an image within a key. A pixel is put once into
-    the bucket of thresholds it exceeds; sums over buckets from the top give every threshold.
+    ``image`` are the columns that name an image within a key. One shuffle brings an image's
+    pixels together; its regions are labelled there, each pixel is put once into the bucket of
+    thresholds it exceeds, and only sums per bucket leave. Sums over buckets from the top give every threshold.
     """
     ends = pixels.groupBy(*keys).agg(F.min("score").alias("lo"), F.max("score").alias("hi"), F.sum(1 - F.col("mask")).alias("clean"))
     ends = ends.where("hi > lo").withColumn("delta", (F.col("hi") - F.col("lo")) / max_step).withColumn("steps", F.ceil((F.col("hi") - F.col("lo")) / F.col("delta")).cast("int"))
-    areas = regions.groupBy(*keys, *image, "region").agg(F.count("*").alias("area"))
-    n_regions = areas.groupBy(*keys).agg(F.count("*").alias("regions"))
-    met = pixels.join(ends, keys)
-    # how many thresholds lo + i delta lie below the score: the division is right but for rounding, so its neighbours are tried
-    guess = F.floor((F.col("score") - F.col("lo")) / F.col("delta")).cast("int")
-    near = sum((((F.col("lo") + (guess + o) * F.col("delta")) < F.col("score")) & (guess + o < F.col("steps")) & (guess + o >= 0)).cast("int") for o in (-1, 0, 1))
-    met = met.withColumn("bucket", F.least(F.greatest(guess - 1, F.lit(0)), F.col("steps")) + near)
-    owner = regions.select(*keys, *image, "y", "x", "region").join(areas, [*keys, *image, "region"]).select(*keys, *image, "y", "x", (1.0 / F.col("area")).alias("share"))
-    met = met.join(owner, [*keys, *image, "y", "x"], "left")
-    sums = met.groupBy(*keys, "bucket").agg(F.coalesce(F.sum("share"), F.lit(0.0)).alias("share"), F.sum(1 - F.col("mask")).alias("clean_here"))
-    grid = ends.join(n_regions, keys, "left").select(*keys, "lo", "delta", "clean", "regions", F.explode(F.sequence(F.lit(0), F.col("steps"))).alias("bucket"))
+    ends = stored(ends, "score-ends")
+    # written once: the buckets and the number of regions both come from it
+    sums = stored(_bucket_sums(pixels, ends, keys, image).groupBy(*keys, "bucket").agg(F.sum("share").alias("share"), F.sum("clean_here").alias("clean_here"), F.sum("regions").alias("regions")), "bucket-sums")
+    n_regions = sums.groupBy(*keys).agg(F.sum("regions").alias("regions"))
+    grid = ends.join(n_regions, keys, "left").select(*keys, "lo", "delta", "clean", F.nullif("regions", F.lit(0)).alias("regions"), F.explode(F.sequence(F.lit(0), F.col("steps"))).alias("bucket"))
     # buckets over i count for threshold i; at most max_step + 2 rows per key
     above = Window.partitionBy(*keys).orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    filled = grid.join(sums, [*keys, "bucket"], "left").na.fill(0, ["share", "clean_here"])
+    filled = grid.join(sums.drop("regions"), [*keys, "bucket"], "left").na.fill(0, ["share", "clean_here"])
     out = filled.select(*keys, (F.col("bucket") - 1).alias("step"), "lo", "delta", F.try_divide(F.sum("share").over(above), "regions").alias("overlap"), F.try_divide(F.sum("clean_here").over(above), "clean").alias("fpr"))
     return out.where("step >= 0").select(*keys, "step", (F.col("lo") + F.col("step") * F.col("delta")).alias("threshold"), "overlap", "fpr")
 
@@ -163,8 +185,7 @@ def aupro(curve: DataFrame, keys: list[str], expect_fpr: float = 0.3) -> DataFra
 def pixel_metrics(pixels: DataFrame, keys: list[str], image: list[str]) -> DataFrame:
     """``auroc_px, f1_px, ap_px, aupro`` per key; all 0 where no pixel is anomalous, ``auroc_px`` NULL where all are."""
     m = ranking_metrics(pixels, keys, "score", "mask")
-    regions = stored(label_regions(pixels, [*keys, *image]), "regions")
-    area = aupro(region_overlap_curve(pixels, regions, keys, image), keys)
+    area = aupro(region_overlap_curve(pixels, keys, image), keys)
     some = F.col("n1") > 0
     return m.join(area, keys, "left").select(*keys, *(F.when(some, F.col(a)).otherwise(0.0).alias(b) for a, b in (("auroc", "auroc_px"), ("f1", "f1_px"), ("ap", "ap_px"), ("aupro", "aupro"))))
 

@@ -13,10 +13,11 @@ def with_path_parts(df: DataFrame, path: str = "path", depth: int = 4) -> DataFr
     """Adds ``category, split, anomaly_type, img_name, is_anomaly``, read off the last parts of a path.
 
     ``depth`` is the number of parts from the category on: 4 for
-    ``category/test/good/0.png``, 5 for ``category/Data/Images/Normal/0.png``.
+    ``category/test/good/0.png``, 5 for ``category/Data/Images/Normal/0.png``. Folders that
+    Spark has partitioned by name (``category=bottle``) count by their value.
     """
     parts = F.split(F.col(path), "/")
-    part = lambda i: F.try_element_at(parts, F.lit(i))
+    part = lambda i: F.regexp_replace(F.try_element_at(parts, F.lit(i)), "^[a-z_]+=", "")
     kind = part(-2)
     return df.withColumns({"category": part(-depth), "split": part(1 - depth), "anomaly_type": kind, "img_name": part(-1), "is_anomaly": (~kind.isin(*NORMAL_TYPES)).cast("int")})
 

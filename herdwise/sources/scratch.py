@@ -7,22 +7,43 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that this process wrote and has not deleted, oldest first.
+_WRITTEN: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session, or a new folder where it is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset a local master gets a new folder; a cluster gets an error, as its machines share no temporary folder."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="spark-herdwise-")
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write once, read from then on: a restart point that outlives any executor."""
+    """Write once, read from then on: a restart point that outlives any executor, and that later jobs don't recompute."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """A point in time for ``release``."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the folders written after ``since`` but for the last ``keep`` of them: call it when what was made from them is written."""
+    done = _WRITTEN[since : len(_WRITTEN) - keep]
+    for path in done:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _WRITTEN[since : len(_WRITTEN) - keep] = []

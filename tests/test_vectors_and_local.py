@@ -95,3 +95,13 @@ def test_resampling_uses_half_pixel_centres(spark):
     got = values(local.resample_grid(grid(spark, [[0.0], [1.0], [2.0], [3.0]]), 2, 4, ["image_id"]), ("y", "x"))[:, 0].reshape(4, 4)
     line = np.array([0.0, 0.25, 0.75, 1.0])
     assert got == pytest.approx(2 * line[:, None] + line[None, :])
+
+
+@pytest.mark.parametrize("r", [1, 3])
+def test_layers_of_another_grid_are_resampled_before_their_lengths_are_one(spark, r):
+    x = np.random.default_rng(5).normal(size=(4, 3))
+    box = local.aggregate_grid(x, r, 3, False)
+    want = values(local.resample_grid(grid(spark, box), 2, 4, ["image_id"]), ("y", "x"))
+    got = values(local.local_aggregate(grid(spark, x), r, ["image_id", "layer"], side=4))
+    assert got == pytest.approx(want / np.linalg.norm(want, axis=1, keepdims=True))
+    assert values(local.local_aggregate(grid(spark, x), r, ["image_id", "layer"], side=2)) == pytest.approx(local.aggregate_grid(x, r, 3, True))
