@@ -48,7 +48,7 @@ def image_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
     e = spark.read.parquet(f"{sf}/events.parquet")
-    return e.select(F.col("event_type").alias("grp"), F.col("value").cast("double").alias("score"), (F.col("user_id") % 5 == 0).cast("int").alias("label"))
+    return e.select(F.col("event_type").alias("grp"), F.col("value").cast("double").alias("score"), (F.col("user_id") % 5 == 0).cast("int").alias("label"), (F.col("user_id") % 3 == 0).cast("int").alias("label3"))
 
 
 def lineitem(spark: SparkSession, sf: str) -> DataFrame:

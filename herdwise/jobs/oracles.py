@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from .queries import MEAN, R_LIST, SIZE, STD
 
-STEPS, SHIFT, NU = 20, 10.0, 0.5
+NU = 0.5
+#: Halvings of the quarter circle, in the search for the direction of the one-class weights.
+HALVINGS = 48
 
 
 def _f6(v: str) -> str:
@@ -22,6 +24,26 @@ def _interval(d: str, lo: float, hi: float) -> str:
     return f"case when {b} > {a} then list_sum(list_sort({d})[{a} + 1:{b}]) / ({b} - {a}) else 'nan'::double end"
 
 
+def _fit(name: str, pairs: str, keys: str) -> str:
+    """Halve the range of directions in which the mean of the lowest share NU of the projections is largest; at either end, that share's mean point (a1, a2 and b1, b2)."""
+    each = ", ".join(f"f.{k}" for k in keys.split(", "))
+    ranked = f"select {each}, f.t, f.lo, f.hi, f.a1, f.a2, f.b1, f.b2, (f.lo + f.hi) / 2 as mid, p.x1, p.x2, {NU}::double * count(*) over (partition by {each}) as share, row_number() over (partition by {each} order by cos((f.lo + f.hi) / 2) * p.x1 + sin((f.lo + f.hi) / 2) * p.x2) as rk from {name} f join {pairs} p using ({keys}) where f.t < {HALVINGS}"
+    means = f"select {keys}, t, lo, hi, a1, a2, b1, b2, mid, sum(greatest(0, least(1, share - rk + 1)) * x1) / any_value(share) as z1, sum(greatest(0, least(1, share - rk + 1)) * x2) / any_value(share) as z2 from ({ranked}) group by all"
+    turned = f"select *, cos(mid) * z2 - sin(mid) * z1 > 0 as further from ({means})"
+    step = f"select {keys}, t + 1, case when further then mid else lo end, case when further then hi else mid end, case when further then z1 else a1 end, case when further then z2 else a2 end, case when further then b1 else z1 end, case when further then b2 else z2 end from ({turned})"
+    none = ", ".join(f"null::double as {c}" for c in ("a1", "a2", "b1", "b2"))
+    return f"select distinct {keys}, 0 as t, 0.0::double as lo, pi() / 2 as hi, {none} from {pairs} union all {step}"
+
+
+def _weights(fit: str, pairs: str, keys: str, shown: str) -> str:
+    """The point of the last range's chord that is closest to the origin, and the quantile of the projections on it."""
+    ends = f"select {keys}, coalesce(a1, b1) as a1, coalesce(a2, b2) as a2, coalesce(b1, a1) - coalesce(a1, b1) as u1, coalesce(b2, a2) - coalesce(a2, b2) as u2 from {fit} where t = {HALVINGS}"
+    at = f"select *, case when u1 * u1 + u2 * u2 > 0 then greatest(0, least(1, -(a1 * u1 + a2 * u2) / (u1 * u1 + u2 * u2))) else 0 end as m from ({ends})"
+    w = f"select {keys}, a1 + m * u1 as w1, a2 + m * u2 as w2 from ({at})"
+    ranked = f"select {keys}, w1, w2, w1 * x1 + w2 * x2 as s, row_number() over (partition by {keys} order by w1 * x1 + w2 * x2) as rk, ceil({NU}::double * count(*) over (partition by {keys}) - 1e-9::double) as k from ({w}) join {pairs} p using ({keys})"
+    return f'select {shown}, w1, w2, s as "offset" from ({ranked}) where rk = k'
+
+
 #: Common tables: name -> (what it needs, SQL). A name may refer to those above it.
 CTES: dict[str, str] = {
     "emb": "select vec_id as image_id, 'c' || label as category, list_transform(embedding, lambda x: x::double) as e from embeddings",
@@ -38,8 +60,8 @@ CTES: dict[str, str] = {
     "rm": f"select category, subset, layer, backbone, image_id, patch_id, {_interval('l', 0.02, 0.3)} as m from (select category, subset, layer, backbone, image_id, patch_id, list(d) as l from prm group by all)",
     "means": "select a.category, a.subset, a.layer, a.image_id, a.patch_id, a.m as m1, b.m as m2, a.m as x1, 0.5::double * b.m as x2 from rm a join rm b using (category, subset, layer, image_id, patch_id) where a.backbone = 1 and b.backbone = 2",
     "pairs": "select a.category, a.subset, a.layer, a.image_id, a.patch_id, a.ref_image_id, a.d as x1, 0.5::double * b.d as x2 from prm a join prm b using (category, subset, layer, image_id, patch_id, ref_image_id) join refs using (category, image_id) where a.backbone = 1 and b.backbone = 2",
-    "fit": f"select distinct category, 0 as t, 0.0::double as w1, 0.0::double as w2, 1.0::double as b from pairs union all select category, t + 1, w1 - eta * ({NU}::double * w1 - s1 / n), w2 - eta * ({NU}::double * w2 - s2 / n), b - eta * ({NU}::double - a / n) from (select f.category, f.t, f.w1, f.w2, f.b, 1.0::double / ({NU}::double * (f.t + 1 + {SHIFT}::double)) as eta, count(*)::double as n, sum(case when f.w1 * p.x1 + f.w2 * p.x2 + f.b < 1 then p.x1 else 0.0::double end) as s1, sum(case when f.w1 * p.x1 + f.w2 * p.x2 + f.b < 1 then p.x2 else 0.0::double end) as s2, sum((f.w1 * p.x1 + f.w2 * p.x2 + f.b < 1)::int)::double as a from fit f join pairs p using (category) where f.t < {STEPS} group by f.category, f.t, f.w1, f.w2, f.b)",
-    "wts": f"select category, 0 as subset, 0 as layer, w1, w2, 1 - b as \"offset\" from fit where t = {STEPS}",
+    "fit": _fit("fit", "pairs", "category"),
+    "wts": _weights("fit", "pairs", "category", "category, 0 as subset, 0 as layer"),
     "sim": "select a.category, a.image_id as src, b.image_id as dst, list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])) as w from emb a join emb b using (category)",
     "top": "select * from (select *, row_number() over (partition by category, src order by round(w, 9) desc, dst)::int as rk from sim) where rk <= 3",
     "mm": "select category, image_id, (score - min(score) over (partition by category)) / (max(score) over (partition by category) - min(score) over (partition by category)) as score from isc",
@@ -51,6 +73,7 @@ CTES: dict[str, str] = {
     "box": "select a.category, a.subset, a.image_id, a.backbone, a.layer, r as degree, a.patch_id, a.gy, a.gx, a.c, sum(b.z / (r * r)) as v from lnz a, (values (1), (3), (5)) d(r), lnz b where a.image_id = b.image_id and a.backbone = b.backbone and a.layer = b.layer and a.c = b.c and abs(a.gy - b.gy) <= (r - 1) // 2 and abs(a.gx - b.gx) <= (r - 1) // 2 group by all",
     "agg": "select category, subset, image_id, backbone, layer, degree, patch_id, gy, gx, list(v / n order by c) as feat from (select *, sqrt(sum(v * v) over (partition by image_id, backbone, layer, degree, patch_id)) as n from box) group by all",
     "ev": "select event_type as grp, value as score, (user_id % 5 = 0)::int as label from events",
+    "ev3": "select event_type as grp, value as score, (user_id % 3 = 0)::int as label from events",
     "li": "select l_linestatus as grp, l_extendedprice as score, (l_returnflag = 'R')::int as label from lineitem",
     "px": "select a.category, a.image_id, p // 8 as y, p % 8 as x, a.e[p + 1] as score, (b.e[p + 1] > 0.15::double)::int as mask from emb a join emb b on b.image_id = a.image_id + 1, (select unnest(range(0, 64))::int as p)",
     "reach": "select image_id, y, x, y as y2, x as x2 from px where mask = 1 union select r.image_id, r.y, r.x, p.y, p.x from reach r join px p on p.image_id = r.image_id and p.mask = 1 and abs(p.y - r.y2) <= 1 and abs(p.x - r.x2) <= 1",
@@ -71,7 +94,7 @@ def _curve(table: str) -> str:
     return f"select grp, score, p, n, sum(p) over w as tp, sum(n) over w as fp, sum(p) over (partition by grp) as n1, sum(n) over (partition by grp) as n0 from (select grp, score, sum((label = 1)::int) as p, sum((label <> 1)::int) as n from {table} group by all) window w as (partition by grp order by score desc rows unbounded preceding)"
 
 
-for _t in ("ev", "li", "spm", "pxm"):
+for _t in ("ev", "ev3", "li", "spm", "pxm"):
     CTES[f"cv_{_t}"] = _curve(_t)
     CTES[f"met_{_t}"] = f"select grp, any_value(n1) as n1, any_value(n0) as n0, sum(n * (2 * tp - p))::double / 2 / nullif(any_value(n1)::double * any_value(n0)::double, 0) as auroc, sum(p * tp::double / (tp + fp)) / nullif(any_value(n1), 0) as ap, max(case when tp > 0 then 2.0::double * tp / (tp + fp + n1) end) as f1 from cv_{_t} group by grp"
 
@@ -114,6 +137,12 @@ def _report() -> str:
     return f"select category, {', '.join(f'round({c} * 100, 6) as {c}' for c in every)} from ({rows}) union all select 'mean', {', '.join(f'round(avg({c} * 100), 6)' for c in every)} from ({rows})"
 
 
+def _event_report() -> str:
+    every = ["auroc_px", "f1_px", "ap_px", "aupro", "auroc_sp", "f1_sp", "ap_sp"]
+    rows = "select a.grp as category, a.auroc as auroc_px, a.f1 as f1_px, a.ap as ap_px, a.n1 / (a.n1 + a.n0)::double as aupro, b.auroc as auroc_sp, b.f1 as f1_sp, b.ap as ap_sp from met_ev a join met_ev3 b using (grp)"
+    return f"select category, {', '.join(f'round({c} * 100, 6) as {c}' for c in every)} from ({rows}) union all select 'mean', {', '.join(f'round(avg({c} * 100), 6)' for c in every)} from ({rows})"
+
+
 def _pipeline_mutual() -> str:
     aggregated = "p0 as materialized (select * from agg where backbone = 1 and degree = 1)"
     d = "pd as materialized (select a.category, a.layer, a.image_id, a.patch_id, b.image_id as ref, min(list_distance(a.feat, b.feat)) as d from p0 a join p0 b on a.category = b.category and a.layer = b.layer and a.image_id <> b.image_id group by all)"
@@ -127,16 +156,19 @@ def _pipelines() -> dict[str, str]:
     base = _with("select 1 from agg, taps, top")
     head = base[: base.rindex("select 1 from agg")].rstrip()
     k = ", ".join(f"({x})" for x in (1, 2, 3))
-    mutual = f"{head}, {', '.join(parts)}, pm as (select category, image_id, (score - min(score) over (partition by category)) / (max(score) over (partition by category) - min(score) over (partition by category)) as score from pi) select category, src as image_id, round(avg(s), 6) as score from (select t.category, t.src, k, sum(w * pm.score) / sum(w) as s from top t join (values {k}) ks(k) on t.rk <= k join pm on pm.category = t.category and pm.image_id = t.dst group by all) group by all"
+    smoothed = lambda scores: f"mm2 as (select category, image_id, (score - min(score) over (partition by category)) / (max(score) over (partition by category) - min(score) over (partition by category)) as score from {scores}) select category, src as image_id, round(avg(s), 6) as score from (select t.category, t.src, k, sum(w * mm2.score) / sum(w) as s from top t join (values {k}) ks(k) on t.rk <= k join mm2 on mm2.category = t.category and mm2.image_id = t.dst group by all) group by all"
+    mutual = f"{head}, {', '.join(parts)}, {smoothed('pi')}"
     degrees = ", ".join(str(r) for r in R_LIST)
     chosen = "ch as materialized (select category, image_id from (select *, row_number() over (partition by category order by score, image_id) as rk, count(*) over (partition by category) as n from pi) where rk <= floor(case when n <= 50 then 0.25::double when n <= 100 then 0.2::double else 0.15::double end * n))"
     za = f"za as materialized (select * from agg where degree in ({degrees}))"
     zd = "zd as materialized (select a.category, a.layer, a.degree, a.backbone, a.image_id, a.patch_id, b.image_id as ref, min(list_distance(a.feat, b.feat)) as d from za a join za b on a.category = b.category and a.layer = b.layer and a.degree = b.degree and a.backbone = b.backbone join ch on ch.category = b.category and ch.image_id = b.image_id group by all)"
     zp = "zp as materialized (select a.category, a.layer, a.degree, a.d as x1, 0.5::double * b.d as x2 from zd a join zd b using (category, layer, degree, image_id, patch_id, ref) join ch using (category, image_id) where a.backbone = 1 and b.backbone = 2)"
-    zf = f"zf as (select distinct category, layer, degree, 0 as t, 0.0::double as w1, 0.0::double as w2, 1.0::double as b from zp union all select category, layer, degree, t + 1, w1 - eta * ({NU}::double * w1 - s1 / n), w2 - eta * ({NU}::double * w2 - s2 / n), b - eta * ({NU}::double - a / n) from (select f.category, f.layer, f.degree, f.t, f.w1, f.w2, f.b, 1.0::double / ({NU}::double * (f.t + 1 + {SHIFT}::double)) as eta, count(*)::double as n, sum(case when f.w1 * p.x1 + f.w2 * p.x2 + f.b < 1 then p.x1 else 0.0::double end) as s1, sum(case when f.w1 * p.x1 + f.w2 * p.x2 + f.b < 1 then p.x2 else 0.0::double end) as s2, sum((f.w1 * p.x1 + f.w2 * p.x2 + f.b < 1)::int)::double as a from zf f join zp p using (category, layer, degree) where f.t < {STEPS} group by f.category, f.layer, f.degree, f.t, f.w1, f.w2, f.b))"
+    zf = f"zf as ({_fit('zf', 'zp', 'category, layer, degree')})"
+    zw = f"zw as materialized ({_weights('zf', 'zp', 'category, layer, degree', 'category, layer, degree')})"
     zm = f"zm as materialized (select category, layer, degree, backbone, image_id, patch_id, {_interval('list(d)', 0.02, 0.3)} as m from zd group by all)"
-    zs = f"zs as materialized (select category, image_id, patch_id, avg(s) as score from (select a.category, a.degree, a.image_id, a.patch_id, avg((f.w1 * a.m + f.w2 * 0.5::double * b.m) * b.m * a.m) as s from zm a join zm b using (category, layer, degree, image_id, patch_id) join zf f using (category, layer, degree) where a.backbone = 1 and b.backbone = 2 and f.t = {STEPS} group by all) group by all)"
-    fused = f"{head.replace('with ', 'with recursive ', 1)}, {', '.join([*parts, chosen, za, zd, zp, zf, zm, zs])} select category, 0 as subset, image_id, round(max(score), 6) as score from (select category, image_id, ty.i as y, tx.i as x, sum(score * ty.w * tx.w) as score from zs join taps ty on patch_id // 4 = ty.g join taps tx on patch_id % 4 = tx.g group by all) group by all"
+    zs = f"zs as materialized (select category, image_id, patch_id, avg(s) as score from (select a.category, a.degree, a.image_id, a.patch_id, avg((f.w1 * a.m + f.w2 * 0.5::double * b.m) * b.m * a.m) as s from zm a join zm b using (category, layer, degree, image_id, patch_id) join zw f using (category, layer, degree) where a.backbone = 1 and b.backbone = 2 group by all) group by all)"
+    zi = "zi as materialized (select category, image_id, max(score) as score from (select category, image_id, ty.i as y, tx.i as x, sum(score * ty.w * tx.w) as score from zs join taps ty on patch_id // 4 = ty.g join taps tx on patch_id % 4 = tx.g group by all) group by all)"
+    fused = f"{head.replace('with ', 'with recursive ', 1)}, {', '.join([*parts, chosen, za, zd, zp, zf, zw, zm, zs, zi])}, {smoothed('zi')}"
     return {"pipeline_mutual": mutual, "pipeline_fused": fused}
 
 
@@ -145,8 +177,8 @@ def oracle_sql() -> dict[str, str]:
     curve = "category, round(threshold, 6) as threshold, round(overlap, 6) as overlap, round(fpr, 6) as fpr, step"
     half = "select i, floor(s)::int as g, 1 - (s - floor(s)) as w from hs union all select i, least(floor(s)::int + 1, 3), s - floor(s) from hs"
     plain = {
-        "image_inventory": "select image_id, path, category, 'test' as split, anomaly_type, img_name, is_anomaly from img",
-        "extract_features": f"select category, image_id, backbone, layer, patch_id, {_f6('feat')} as feat from pat where backbone = 1",
+        "image_inventory": "select category, 'test' as split, anomaly_type, is_anomaly, count(*) as images, sum(length(img_name) + 1)::bigint as bytes from img group by all",
+        "extract_features": f"select category, image_id, backbone, layer, patch_id, {_f6('feat')} as feat from pat where backbone = 1 union all select category, image_id, 1, -1, -1, {_f6('list_transform([1, 2, 3, 4], lambda c: list_avg(list_transform(range(0, 16), lambda p: e[4 * p + c])))')} from emb",
         "consolidate_class_features": f"select 'mvtec' as dataset, category, image_id, {_f6('e')} as vec from emb where image_id % 5 <> 0 and image_id % 7 <> 0 and image_id % 2 = 0",
         "write_report": _report(),
         "write_maps": "select category, anomaly_type, count(*) as pixels, sum(bin)::bigint as total from (select p.category, img.anomaly_type, case when (score - min(score) over (partition by p.image_id)) / (max(score) over (partition by p.image_id) - min(score) over (partition by p.image_id) + 1e-10::double) > 0.5 then 255 else 0 end as bin from px p join img on img.image_id = p.image_id) group by all",
@@ -191,7 +223,7 @@ def oracle_sql() -> dict[str, str]:
         "aupro": "select category, round(aupro, 6) as aupro from pro",
         "pixel_metrics": "select grp as category, " + ", ".join(f"round(case when n1 > 0 then {a} else 0 end, 6) as {b}" for a, b in (("auroc", "auroc_px"), ("f1", "f1_px"), ("ap", "ap_px"), ("aupro", "aupro"))) + " from met_pxm left join pro on pro.category = grp",
         "evaluate": _report(),
-        "category_report": _report(),
+        "category_report": _event_report(),
         "select_pseudo_normal": "select category, image_id, round(score, 6) as score from refs",
         "union_subsets": "select category, subset, count(*) as images, sum(is_anomaly)::bigint as anomalous from (select category, is_anomaly, (ntile(2) over (partition by category order by md5(image_id || ':0'), image_id) - 1)::int as subset from img) group by all",
         "fit_one_class": "select category, subset, layer, round(w1, 6) as w1, round(w2, 6) as w2, round(\"offset\", 6) as \"offset\" from wts",

@@ -15,7 +15,7 @@ from . import pipelines
 KEYS = ["category", "subset", "layer"]
 IMAGE = [*KEYS, "image_id"]
 SIZE = 8
-R_LIST = [1, 3]
+R_LIST = [1, 3, 5]
 DIGITS = 9
 #: Fixed channel constants for the query of channel_standardize.
 MEAN, STD = [0.48, 0.45, 0.40, 0.5], [0.27, 0.26, 0.28, 0.25]
@@ -59,7 +59,7 @@ def backbone_means(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def graph_edges(spark: SparkSession, sf: str, k: int = 3) -> DataFrame:
-    return graph.top_k_neighbors(graph.image_similarity(fx.image_vectors(spark, sf), ["category"]), k, ["category"], DIGITS)
+    return graph.top_k_neighbors_blocked(fx.image_vectors(spark, sf), k, ["category"], DIGITS)
 
 
 def grid_scores(spark: SparkSession, sf: str) -> DataFrame:
@@ -67,25 +67,37 @@ def grid_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def q_image_inventory(spark, sf):
-    return images.with_path_parts(fx.images(spark, sf).select("image_id", "path")).select("image_id", "path", "category", "split", "anomaly_type", "img_name", "is_anomaly")
+    """Writes the images as a tree of files, one each, and takes the inventory of that."""
+    path = scratch.new_path(spark, "tree")
+    named = fx.images(spark, sf).select("category", F.lit("test").alias("split"), "anomaly_type", "img_name")
+    named.repartition("category", "anomaly_type").write.option("maxRecordsPerFile", 1).partitionBy("category", "split", "anomaly_type").text(path)
+    found = images.image_inventory(spark, path, pattern="*.txt")
+    return found.groupBy("category", "split", "anomaly_type", "is_anomaly").agg(F.count("*").alias("images"), F.sum("bytes").alias("bytes"))
 
 
 class HalvesExtractor:
-    """A stand-in for a backbone: layer 0 is the vector cut into patches of four, layer 1 the same of the vector backwards."""
+    """A stand-in for a backbone: layer 0 is the vector cut into patches of four, layer 1 the same of the vector backwards; the image vector is the mean of the patches."""
 
-    def __call__(self, batch: list) -> dict[int, np.ndarray]:
+    def __call__(self, batch: list) -> dict[int | str, np.ndarray]:
         x = np.stack([np.asarray(v, float) for v in batch])
-        return {0: x.reshape(len(x), -1, 4), 1: x[:, ::-1].reshape(len(x), -1, 4)}
+        cut = x.reshape(len(x), -1, 4)
+        return {0: cut, 1: x[:, ::-1].reshape(len(x), -1, 4), features.IMAGE: cut.mean(1)}
 
 
 def q_extract_features(spark, sf):
-    return feat6(features.extract_features(fx.image_vectors(spark, sf), HalvesExtractor, [0, 1], "vec", ["category", "image_id"]))
+    """Patch vectors, and the image vectors as layer and patch -1."""
+    got = scratch.stored(features.extract(fx.image_vectors(spark, sf), HalvesExtractor, [0, 1], "vec", ["category", "image_id"]), "extracted")
+    vectors = features.image_vectors(got).select("category", "image_id", "backbone", F.lit(-1).alias("layer"), F.lit(-1).alias("patch_id"), F.col("vec").alias("feat"))
+    return feat6(features.patch_features(got).unionByName(vectors))
 
 
 def q_consolidate_class_features(spark, sf):
     v = fx.image_vectors(spark, sf).withColumn("item", (F.col("image_id") % 2).cast("int"))
     name = F.when(F.col("image_id") % 5 == 0, "mvtec_ad_cls.dat").when(F.col("image_id") % 7 == 0, F.concat(F.lit("visa_"), "category", F.lit(".dat"))).otherwise(F.concat(F.lit("mvtec_ad_"), "category", F.lit(".dat")))
-    return feat6(features.consolidate_class_features(v.withColumn("file_name", name), "mvtec"), "vec")
+    files, store = scratch.new_path(spark, "feature-files"), scratch.new_path(spark, "store")
+    v.select("item", "image_id", "vec", name.alias("file_name")).write.partitionBy("file_name").parquet(files)
+    features.write_class_store(features.consolidate_class_features(features.read_class_features(spark, files), "mvtec"), store)
+    return feat6(features.read_class_store(spark, store), "vec")
 
 
 def q_write_report(spark, sf):
@@ -205,13 +217,8 @@ def q_rescore_external(spark, sf):
 
 def q_interval_mean(spark, sf):
     d = neighbors.patch_to_image_min(unit_patches(spark, sf), KEYS)
-    by = ["image_id", "patch_id"]
-    each = [(0, 0.3), (0.02, 0.3), (2, 5), (0.5, 0.1)]
-    parts = [scoring.interval_mean(d, by, lo, hi).withColumnRenamed("score", f"s{i}") for i, (lo, hi) in enumerate(each)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.join(p, by)
-    return r6(out, *(f"s{i}" for i in range(len(each))))
+    intervals = {"s0": (0, 0.3), "s1": (0.02, 0.3), "s2": (2, 5), "s3": (0.5, 0.1)}
+    return r6(scoring.interval_means(d, ["image_id", "patch_id"], intervals), *intervals)
 
 
 def q_mutual_score(spark, sf):
@@ -287,9 +294,7 @@ def q_label_regions(spark, sf):
 
 
 def overlap_curve(spark: SparkSession, sf: str) -> DataFrame:
-    px = fx.pixels(spark, sf)
-    regions = scratch.stored(metrics.label_regions(px, ["category", "image_id"]), "regions")
-    return metrics.region_overlap_curve(px, regions, ["category"], ["image_id"])
+    return metrics.region_overlap_curve(fx.pixels(spark, sf), ["category"], ["image_id"])
 
 
 def q_region_overlap_curve(spark, sf):
@@ -308,6 +313,14 @@ def q_evaluate(spark, sf):
     return r6(pipelines.evaluate(fx.image_scores(spark, sf), fx.pixels(spark, sf)), *sinks.REPORT_COLUMNS[1:])
 
 
+def q_category_report(spark, sf):
+    """The report alone, on ranking metrics of events against two labels; their share of positives stands in for the region metric."""
+    events = fx.events(spark, sf)
+    px = metrics.ranking_metrics(events, ["grp"]).select(F.col("grp").alias("category"), F.col("auroc").alias("auroc_px"), F.col("f1").alias("f1_px"), F.col("ap").alias("ap_px"), (F.col("n1") / (F.col("n1") + F.col("n0"))).alias("aupro"))
+    sp = metrics.ranking_metrics(events, ["grp"], "score", "label3").select(F.col("grp").alias("category"), F.col("auroc").alias("auroc_sp"), F.col("f1").alias("f1_sp"), F.col("ap").alias("ap_sp"))
+    return r6(metrics.category_report(px.join(sp, "category")), *sinks.REPORT_COLUMNS[1:])
+
+
 def q_select_pseudo_normal(spark, sf):
     return r6(selection.select_pseudo_normal(fx.image_scores(spark, sf), ["category"]), "score").select("category", "image_id", "score")
 
@@ -332,10 +345,9 @@ def q_pipeline_mutual(spark, sf):
 
 
 def q_pipeline_fused(spark, sf):
-    _, scores = pipelines.pipeline_fused(fx.patches(spark, sf, 1), fx.patches(spark, sf, 2), SIZE, R_LIST)
+    _, scores = pipelines.pipeline_fused(fx.patches(spark, sf, 1), fx.patches(spark, sf, 2), fx.image_vectors(spark, sf), SIZE, R_LIST, digits=DIGITS)
     return r6(scores, "score")
 
 
 def queries() -> dict:
-    named = {n[2:]: f for n, f in globals().items() if n.startswith("q_")}
-    return {**named, "category_report": q_evaluate}
+    return {n[2:]: f for n, f in globals().items() if n.startswith("q_")}

@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from herdwise.jobs import pipelines
-from herdwise.operators import metrics
-from herdwise.sources import features, images, sinks
+from herdwise.operators import graph, metrics
+from herdwise.sources import features, images, scratch, sinks
 
 
 @pytest.mark.parametrize(("parts", "depth", "bad"), [(("bottle", "test", "good", "0.png"), 4, 0), (("candle", "Data", "Images", "Anomaly", "7.png"), 5, 1), (("01", "test", "ok", "3.png"), 4, 0)])
@@ -44,6 +44,41 @@ def test_extraction_runs_the_callers_model(spark):
     assert [(r["image_id"], r["layer"], r["patch_id"], r["feat"]) for r in got] == [(1, 3, 0, [1.0, 2.0]), (1, 3, 1, [3.0, 4.0]), (2, 3, 0, [5.0, 6.0]), (2, 3, 1, [7.0, 8.0])]
 
 
+def test_extraction_gives_image_vectors_too(spark):
+    def make():
+        def cut(batch):
+            x = np.array([list(v) for v in batch], float)
+            return {3: x.reshape(len(x), 2, 2), features.IMAGE: x[:, :1]}
+
+        return cut
+
+    df = spark.createDataFrame([(1, [1.0, 2.0, 3.0, 4.0]), (2, [5.0, 6.0, 7.0, 8.0])], "image_id long, v array<double>")
+    got = features.extract(df, make, [3], "v", ["image_id"], batch=1)
+    assert [(r["image_id"], r["vec"]) for r in features.image_vectors(got).orderBy("image_id").collect()] == [(1, [1.0]), (2, [5.0])]
+    assert features.patch_features(got).count() == 4
+
+
+def test_feature_files_are_read_and_stored_by_category(spark, tmp_path):
+    f = spark.createDataFrame([("mvtec_ad_01.dat", 0, 1, [1.0]), ("mvtec_ad_cls.dat", 0, 1, [3.0]), ("visa_a.dat", 0, 2, [4.0])], "file_name string, item int, image_id long, vec array<double>")
+    f.write.partitionBy("file_name").parquet(str(tmp_path / "files"))
+    f.where("file_name = 'visa_a.dat'").drop("file_name").write.parquet(str(tmp_path / "files" / "visa_b.dat"))
+    read = features.read_class_features(spark, str(tmp_path / "files"))
+    assert {r["file_name"] for r in read.collect()} == {"mvtec_ad_01.dat", "mvtec_ad_cls.dat", "visa_a.dat", "visa_b.dat"}
+    features.write_class_store(features.consolidate_class_features(read, "mvtec"), str(tmp_path / "store"))
+    assert (tmp_path / "store" / "dataset=mvtec" / "category=01").exists()
+    assert [tuple(r) for r in features.read_class_store(spark, str(tmp_path / "store")).collect()] == [("mvtec", "01", 1, [1.0])]
+
+
+def test_scratch_is_released_but_for_the_last(spark):
+    since = scratch.mark()
+    first, last = (scratch.stored(spark.range(n), "test") for n in (3, 4))
+    scratch.release(spark, since, keep=1)
+    assert last.count() == 4 and scratch.mark() == since + 1
+    with pytest.raises(Exception, match="(?i)not.*exist|missing"):
+        first.count()
+    scratch.release(spark, since)
+
+
 def planted(spark):
     """Two categories of 20 images of clustered patches; in 5 of each, one patch is far off."""
     rng = np.random.default_rng(8)
@@ -64,11 +99,24 @@ def test_both_detectors_find_planted_anomalies(spark):
     p = planted(spark)
     label = (F.col("image_id") < 5).cast("int").alias("is_anomaly")
     one = pipelines.pipeline_mutual(p.where("backbone = 1"), None, 4).select("category", "score", label)
-    _, two = pipelines.pipeline_fused(p.where("backbone = 1"), p.where("backbone = 2"), 4, [1], steps=5)
+    _, two = pipelines.pipeline_fused(p.where("backbone = 1"), p.where("backbone = 2"), None, 4, [1])
     for found in (one, two.select("category", "score", label)):
         assert all(r["auroc_sp"] > 0.99 for r in metrics.image_metrics(found, ["category"]).collect())
 
 
+def test_scores_of_both_detectors_are_smoothed_over_the_image_graph(spark):
+    p = planted(spark)
+    rng = np.random.default_rng(2)
+    v = spark.createDataFrame([(c, i, rng.random(3).tolist()) for c in ("a", "b") for i in range(20)], "category string, image_id long, vec array<double>")
+    scores = lambda df: {(r["category"], r["image_id"]): r["score"] for r in df.collect()}
+    run = lambda vectors, **kw: scores(pipelines.pipeline_fused(p.where("backbone = 1"), p.where("backbone = 2"), vectors, 4, [1], **kw)[1])
+    plain = run(None)
+    for dataset, k_list in (("mvtec_ad", [1, 2, 3]), ("visa", [1, 8, 9])):
+        raw = spark.createDataFrame([(c, i, s) for (c, i), s in plain.items()], "category string, image_id long, score double")
+        assert run(v, dataset=dataset) == pytest.approx(scores(graph.rescore_graph(v, raw, k_list, ["category"])))
+    assert run(v, k_list=[0]) == pytest.approx(plain) and run(v) != pytest.approx(plain)
+
+
 def test_the_entry_point_and_its_names(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).limit(1).count() == 1
