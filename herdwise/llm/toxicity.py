@@ -3,8 +3,9 @@
 Documents carry labels, tokens do not: token tags for training come from the labels,
 a token of a toxic document being tagged if a feature of its word is significantly
 more frequent in toxic documents. The field has one weight per telling word feature
-(the word, a prefix or a suffix), and transition weights between the two tags; it is
-fitted on a bounded sample of whole documents, near copies among them left out.
+(the word, a prefix or a suffix), one for any token, and transition weights between the two
+tags. All of them maximise the likelihood of the tag sequences of a bounded sample of documents: its
+gradient is the observed counts minus those that forward-backward expects.
 
 Scoring is a narrow Spark stage. A word's emission weight depends on the word alone,
 so most tokens of a text have an emission that counts as plain background; the exact
@@ -17,7 +18,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,12 @@ MAX_ROWS_PER_LABEL = 3_000
 MAX_SAMPLE_BYTES = 16 << 20
 #: A token's marginal from here on is part of a toxic span.
 SPAN_MARGINAL = 0.5
+#: Log weight of a text that begins with a toxic token.
+START = -6.0
+#: Tokens of a training sequence at most; scoring takes whole texts.
+PIECE = 64
+#: Share of the telling features that may be so by chance.
+DISCOVERY = 0.01
 
 _WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 #: Lower-cases A-Z and turns every byte that is in no word into a space.
@@ -69,7 +77,7 @@ def forward_backward(emission: np.ndarray, gaps: np.ndarray, transition: np.ndar
 
     n = len(emission)
     weight = np.exp(np.stack([np.zeros(n), np.minimum(emission, 60.0)], 1))
-    start = np.array([1.0, np.exp(-6.0)])
+    start = np.array([1.0, np.exp(START)])
     alpha, beta = np.zeros((n, 2)), np.ones((n, 2))
     # before the first token there may be background, the first of which has no step into it
     at = start if not gaps[0] else (start * np.exp([0.0, background])) @ over(int(gaps[0]) - 1)
@@ -152,21 +160,119 @@ def _tail(c1: int, c0: int, share: float) -> float:
     return -n * (p * np.log(p / share) + ((1 - p) * np.log((1 - p) / (1 - share)) if p < 1 else 0.0))
 
 
-def fit(sample: list[tuple[bytes, int]], epochs: int = 60, rate: float = 0.3, l2: float = 1e-3) -> Tagger:
-    """Fit the field by gradient ascent on the likelihood of token tags, then the document score on marginals.
+def likelihood(emission: np.ndarray, tags: np.ndarray, sizes: np.ndarray, times: np.ndarray, transition: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Log-likelihood of tag sequences under the field, and its gradient in the emissions and the transitions.
 
-    Tags: a feature is telling if its documents are toxic more often than chance allows,
-    at a level of 0.01 over all features together, and mostly; a token of a toxic document is
-    tagged if one of its features is telling.
+    Sequences are columns [token, sequence], longest first; ``sizes`` are their lengths and
+    ``times`` how often each occurs. ``emission`` is the log weight of tag 1 against tag 0. The gradient is
+    what was observed minus what forward-backward expects.
     """
-    level = np.array([[-0.01, -5.0], [-0.1, -2.0]])
-    n1, n0 = sum(y for _, y in sample), sum(1 - y for _, y in sample)
-    if not n1 or not n0:  # nothing to tell apart
-        return Tagger({}, 0.0, level, np.array([4.0 if n1 else -4.0, 0.0, 0.0]))
-    texts = [(t.translate(_WORDS).split(), y) for t, y in sample]
+    longest = len(emission)
+    alive = np.searchsorted(-sizes, -np.arange(1, longest + 1), "right")  # columns that have a token t
+    alpha = np.zeros((longest, 2, len(sizes)))
+    alpha[0, 1] = START + emission[0]
+    for t in range(1, longest):
+        m = alive[t]
+        for to in (0, 1):
+            alpha[t, to, :m] = np.logaddexp(alpha[t - 1, 0, :m] + transition[0, to], alpha[t - 1, 1, :m] + transition[1, to]) + (emission[t, :m] if to else 0.0)
+    last, column = sizes - 1, np.arange(len(sizes))
+    total = np.logaddexp(alpha[last, 0, column], alpha[last, 1, column])
+    beta = np.zeros_like(alpha)
+    observed, expected, score = np.zeros((2, 2)), np.zeros((2, 2)), (tags[0] * (START + emission[0]) * times).sum()
+    for t in range(longest - 1, 0, -1):
+        m = alive[t]
+        for a in (0, 1):
+            moves = [transition[a, b] + (emission[t, :m] if b else 0.0) + beta[t, b, :m] for b in (0, 1)]
+            beta[t - 1, a, :m] = np.logaddexp(*moves)
+            for b in (0, 1):
+                expected[a, b] += (np.exp(alpha[t - 1, a, :m] + moves[b] - total[:m]) * times[:m]).sum()
+                observed[a, b] += times[:m][(tags[t - 1, :m] == a) & (tags[t, :m] == b)].sum()
+        score += (tags[t, :m] * emission[t, :m] * times[:m]).sum()
+    score += (observed * transition).sum()
+    inside = np.arange(longest)[:, None] < sizes
+    slope = np.where(inside, (tags - np.exp(alpha[:, 1] + beta[:, 1] - total)) * times, 0.0)
+    return float(score - (total * times).sum()), slope, observed - expected
+
+
+def maximize(value_and_slope, x: np.ndarray, steps: int = 50, tolerance: float = 1e-5) -> np.ndarray:
+    """The maximum of a concave function, by limited-memory quasi-Newton steps with halving; it ends when a step gains less than ``tolerance`` of the value."""
+    value, slope = value_and_slope(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        q, kept = slope.copy(), []
+        for s, y in reversed(past):
+            a = (s @ q) / (s @ y)
+            q -= a * y
+            kept.append(a)
+        q *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1.0 / max(1.0, np.abs(slope).max())
+        for (s, y), a in zip(past, reversed(kept), strict=True):
+            q += (a - (y @ q) / (s @ y)) * s
+        length = 1.0
+        while length > 1e-8:
+            new_value, new_slope = value_and_slope(x + length * q)
+            if new_value >= value + 1e-4 * length * (slope @ q):
+                break
+            length /= 2
+        else:
+            return x
+        step, turn = length * q, slope - new_slope
+        if step @ turn > 1e-12:
+            past = [*past[-9:], (step, turn)]
+        gained = new_value - value
+        x, value, slope = x + step, new_value, new_slope
+        if gained <= tolerance * abs(value):
+            return x
+    return x
+
+
+class Chains:
+    """Training sequences: pieces of documents of at most ``PIECE`` tokens, as columns, longest first. Pieces without a telling feature differ by length alone, so each length of them is one column that counts many times."""
+
+    def __init__(self, documents: Iterable[tuple[int, list[tuple[int, list[int], int]]]], n_features: int):
+        """``documents``: (number of tokens, (place, features, tag) of the tokens that have a feature or tag 1)."""
+        plain: Counter[int] = Counter()
+        pieces: list[tuple[int, list[tuple[int, list[int], int]]]] = []
+        for n, tokens in documents:
+            full, rest = divmod(n, PIECE)
+            plain[PIECE] += full
+            plain[rest] += 1
+            for k, own in groupby(tokens, key=lambda t: t[0] // PIECE):
+                size = min(PIECE, n - k * PIECE)
+                plain[size] -= 1
+                pieces.append((size, [(at % PIECE, f, tag) for at, f, tag in own]))
+        times = [1.0] * len(pieces)
+        for size, n in plain.items():
+            if size and n:
+                pieces.append((size, []))
+                times.append(float(n))
+        order = sorted(range(len(pieces)), key=lambda i: -pieces[i][0])
+        self.n_features = n_features
+        self.sizes, self.times = np.array([pieces[i][0] for i in order], np.int64), np.array([times[i] for i in order])
+        self.tags = np.zeros((int(self.sizes.max(initial=1)), len(order)))
+        cells, flat = [], []
+        for c, i in enumerate(order):
+            for at, own, tag in pieces[i][1]:
+                self.tags[at, c] = tag
+                flat += own
+                cells += [at * len(order) + c] * len(own)
+        self.cell, self.feature = np.array(cells, np.int64), np.array(flat, np.int64)
+
+    def unpack(self, x: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+        """(feature weights, weight of any token, transitions)."""
+        return x[: self.n_features], float(x[self.n_features]), x[self.n_features + 1 :].reshape(2, 2)
+
+    def value_and_slope(self, x: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
+        weights, any_token, transition = self.unpack(x)
+        emission = np.bincount(self.cell, weights[self.feature], self.tags.size).reshape(self.tags.shape) + any_token
+        value, slope, moves = likelihood(emission, self.tags, self.sizes, self.times, transition)
+        features = np.bincount(self.feature, slope.ravel()[self.cell], self.n_features)
+        return value - l2 / 2 * (x @ x), np.concatenate([features, [slope.sum()], moves.ravel()]) - l2 * x
+
+
+def telling_features(texts: list[tuple[list[bytes], int]]) -> set[bytes]:
+    """Features whose documents are toxic more often than chance allows: by the Benjamini-Hochberg rule at a false discovery rate of ``DISCOVERY``, and mostly. Near copies count once."""
     memo: dict[bytes, list[bytes]] = {}
-    seen = {0: Counter(), 1: Counter()}
-    rows_of = {0: 0, 1: 0}
+    seen, rows_of = {0: Counter(), 1: Counter()}, {0: 0, 1: 0}
     for d in _without_near_copies(texts):
         words, y = texts[d]
         rows_of[y] += 1
@@ -177,41 +283,33 @@ def fit(sample: list[tuple[bytes, int]], epochs: int = 60, rate: float = 0.3, l2
             own.update(memo[w])
         seen[y].update(own)
     share = rows_of[1] / (rows_of[0] + rows_of[1]) if rows_of[1] and rows_of[0] else 0.5
-    limit = np.log(0.01 / max(1, len(seen[1])))
-    telling = {f for f, c in seen[1].items() if c > 2 * seen[0][f] and _tail(c, seen[0][f], share) < limit}
-
-    # the tokens with a telling feature, their tags, and the tag before each
-    rows, tags, before = [], [], []
-    moves = np.array([[1.0, 0.5], [0.5, 0.5]])
-    marked: dict[bytes, list[bytes]] = {}
-    for words, y in texts:
-        last = 0
+    tails = sorted((_tail(c, seen[0][f], share), f) for f, c in seen[1].items() if c > 2 * seen[0][f])
+    level = np.log(DISCOVERY / max(1, len(seen[1])))
+    last = max((i for i, (p, _) in enumerate(tails, 1) if p <= level + np.log(i)), default=0)
+    return {f for _, f in tails[:last]}
+
+
+def fit(sample: list[tuple[bytes, int]], l2: float = 0.1) -> Tagger:
+    """Fit the field by the likelihood of token tags, weights and transitions together, then the document score on its marginals.
+
+    A token of a toxic document is tagged if one of its features is telling. All telling
+    features have a weight, regularised by ``l2``; words without any are background.
+    A sample with one label only, or none, gives a field without features.
+    """
+    n1, n0 = sum(y for _, y in sample), sum(1 - y for _, y in sample)
+    if not n1 or not n0:  # nothing to tell apart
+        return Tagger({}, 0.0, np.array([[-0.01, -5.0], [-0.1, -2.0]]), np.array([4.0 if n1 else -4.0, 0.0, 0.0]))
+    texts = [(t.translate(_WORDS).split(), y) for t, y in sample]
+    names = sorted(telling_features(texts))
+    number = {f: i for i, f in enumerate(names)}
+    known: dict[bytes, list[int]] = {}
+    for words, _ in texts:
         for w in words:
-            own = marked.get(w)
-            if own is None:
-                own = marked[w] = [f for f in features(w) if f in telling]
-            tag = int(bool(y and own))
-            moves[last, tag] += 1
-            if own:
-                rows.append(own)
-                tags.append(tag)
-                before.append(last)
-            last = tag
-    transition = np.log(moves / moves.sum(1, keepdims=True))
-    weights: dict[bytes, float] = {}
-    if rows:
-        names = sorted(telling)
-        number = {f: i for i, f in enumerate(names)}
-        flat = np.concatenate([[number[f] for f in r] for r in rows])
-        owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        y, prior = np.array(tags), transition[np.array(before), 1] - transition[np.array(before), 0]
-        n, w = np.maximum(np.bincount(flat, minlength=len(names)), 1), np.zeros(len(names))
-        for _ in range(epochs):
-            z = np.bincount(owner, w[flat], len(rows)) + prior
-            slope = y - 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            w += rate * (np.bincount(flat, slope[owner], len(names)) / n * 4 - l2 * w)
-        weights = dict(zip(names, w.tolist(), strict=True))
-    tagger = Tagger(weights, 0.0, transition, np.zeros(3))
+            if w not in known:
+                known[w] = [number[f] for f in features(w) if f in number]
+    chains = Chains(((len(words), [(i, known[w], y) for i, w in enumerate(words) if known[w]]) for words, y in texts), len(names))
+    weights, any_token, transition = chains.unpack(maximize(lambda x: chains.value_and_slope(x, l2), np.zeros(len(names) + 5)))
+    tagger = Tagger(dict(zip(names, weights.tolist(), strict=True)), any_token, transition, np.zeros(3))
     x = np.stack([_summary(tagger.tag(t)[0]) for t, _ in sample])
     tagger.document = _logistic(x, np.array([y for _, y in sample], float), 1.0, 12)
     tagger.known.clear()
@@ -226,16 +324,17 @@ def train(docs: DataFrame, labels: DataFrame, max_rows_per_label: int = MAX_ROWS
     labels counts as toxic if any says so; null labels are no labels.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("id"), common.text_bytes().alias("text"))
-    sizes = rows.select("id", F.octet_length("text").alias("bytes")).join(known, F.col("id") == F.col("doc_id")).groupBy("toxic").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect()
-    draw = F.xxhash64("doc_id", F.lit("toxicity")).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)
+    rows = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("id"), common.text_bytes().alias("text"))
+    met = common.stored(rows.select("id", F.octet_length("text").alias("bytes")).join(known, F.col("id") == F.col("doc_id")).select("id", "bytes", "toxic"), "labelled")
+    draw = F.xxhash64("id", F.lit("toxicity")).bitwiseAND(F.lit((1 << 30) - 1)) / float(1 << 30)
     chosen = F.lit(False)
-    for r in sizes:
+    for r in met.groupBy("toxic").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).collect():
         share = min(1.0, max_rows_per_label / r["n"], max_bytes / 2 / max(1, r["bytes"]))
         chosen = chosen | ((F.col("toxic") == r["toxic"]) & (draw < share))
-    # the sampled ids are few, so the texts need not be shuffled to meet them
-    ids = known.where(chosen)
-    sample = rows.join(F.broadcast(ids), F.col("id") == F.col("doc_id")).select("id", "text", "toxic").orderBy("id")
+    ids = common.stored(met.where(chosen).select("id", "toxic").distinct(), "sampled")
+    # about max_rows_per_label ids of each label: counted, then sent to where the texts are
+    few = ids.count() <= 4 * max_rows_per_label
+    sample = rows.join(F.broadcast(ids) if few else ids, "id").select("id", "text", "toxic").orderBy("id", "text")
     return fit([(bytes(r["text"]), int(r["toxic"] > 0)) for r in sample.collect()])
 
 

@@ -29,6 +29,51 @@ def test_marginals_equal_enumeration():
         assert X.forward_backward(emission, gaps, transition, background) == pytest.approx(marked / total)
 
 
+def small_chains():
+    """Documents of tokens (features, tag) over three features, cut into pieces; some have no feature."""
+    rng = random.Random(3)
+    documents = [[([f for f in range(3) if rng.random() < 0.3], rng.randrange(2)) for _ in range(rng.randrange(0, 6))] for _ in range(6)]
+    documents += [[([], 0)] * 4] * 3
+    return documents, X.Chains(map(sparse, documents), 3)
+
+
+def sparse(doc):
+    return len(doc), [(i, own, tag) for i, (own, tag) in enumerate(doc) if own or tag]
+
+
+def test_the_likelihood_equals_enumeration():
+    documents, chains = small_chains()
+    x = np.random.default_rng(1).normal(size=8)
+    weights, any_token, transition = chains.unpack(x)
+    want = 0.0
+    for doc in documents:
+        if not doc:
+            continue
+        each = [sum(weights[f] for f in own) + any_token for own, _ in doc]
+
+        def score(tags, each=each):
+            return X.START * tags[0] + sum(e for e, t in zip(each, tags, strict=True) if t) + sum(transition[a, b] for a, b in itertools.pairwise(tags))
+
+        want += score([t for _, t in doc]) - np.log(sum(np.exp(score(tags)) for tags in itertools.product((0, 1), repeat=len(doc))))
+    assert chains.value_and_slope(x, 0.0)[0] == pytest.approx(want)
+
+
+def test_the_gradient_equals_differences_and_vanishes_at_the_optimum():
+    _, chains = small_chains()
+    f = lambda x: chains.value_and_slope(x, 0.3)
+    x, h = np.random.default_rng(2).normal(size=8), 1e-5
+    slope = f(x)[1]
+    assert slope == pytest.approx([(f(x + h * e)[0] - f(x - h * e)[0]) / (2 * h) for e in np.eye(8)], abs=1e-5)
+    best = X.maximize(f, np.zeros(8), steps=200, tolerance=1e-12)
+    assert np.abs(f(best)[1]).max() < 1e-3 and f(best)[0] >= max(f(best + 0.1 * e)[0] for e in [*np.eye(8), *-np.eye(8)])
+
+
+def test_pieces_are_cut_and_plain_ones_are_counted(monkeypatch):
+    monkeypatch.setattr(X, "PIECE", 2)
+    c = X.Chains(map(sparse, [[([], 0)] * 5, [([0], 1), ([], 0), ([], 0)]]), 1)
+    assert sorted(zip(c.sizes.tolist(), c.times.tolist(), strict=True)) == [(1, 2.0), (2, 1.0), (2, 2.0)]
+
+
 def corpus(n=900, seed=1):
     rng = random.Random(seed)
     plain = [f"word{i}" for i in range(400)]
