@@ -5,23 +5,23 @@
    has one seed, and one block of windows, for every dozen words. Seeds are counted over
    the corpus; blocks whose seed stands once are done with.
 2. *Confirmation.* A block that stands twice as a whole recurs. Where blocks of one seed
-   differ, one of each kind is read again and its windows are counted one by one.
-3. *Automata.* Documents are dealt into shards of a few MB. A shard gets each recurring
-   passage that concerns it once, compiles them into Aho-Corasick automata over
-   word numbers, and streams its documents through them, which locates every occurrence
-   word for word.
-
-Hashes only nominate: seed and block (or window) must both agree in 64 bits, and what is
-removed was matched by an automaton.
+   differ, one of each kind is read again and its windows are counted one by one. Blocks and
+   windows count as equal if the 128-bit BLAKE2 digests of their words are, which no two
+   different passages are known to share; seeds, 64-bit hashes, only bring them together.
+3. *Automata.* Documents are dealt into shards of a few MB. A shard gets the places of its confirmed
+   passages, compiles as many of their windows as cover them, each phrase once, into Aho-Corasick
+   automata over word numbers, and streams its documents through them, which locates every occurrence.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,11 +36,11 @@ SHARD_BYTES = 2 << 20
 AUTOMATON_WORDS = 1_000_000
 #: Bytes of text that are hashed together.
 CHUNK_BYTES = 2 << 20
+#: Bytes of text in a partition of shards, on average, as long as that makes no more partitions than these; a task holds one shard at a time.
+PARTITION_BYTES, MAX_PARTITIONS = 16 << 20, 100_000
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
-BLOCKS_SCHEMA = "key long, seed long, block long, start int, n int"
+BLOCKS_SCHEMA = "key long, seed long, block long, more long, start int, n int"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -77,20 +77,33 @@ def _ranges(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return _mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(all texts' bytes with a blank after each, begin and end of every word, where each text's words begin)."""
-    data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
-    space = np.concatenate([[True], _SPACE[data], [True]])
-    edges = np.flatnonzero(space[1:] != space[:-1])
-    begin, end = edges[::2], edges[1::2]
-    bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
-    return data, begin, end, np.searchsorted(begin, bounds)
+class _WordHashes(dict):
+    """64-bit hashes of words, worked out once for each."""
 
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1_000_000:  # started afresh when it has grown
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(a 64-bit hash of every word of all texts, where each text's words begin)."""
-    data, begin, end, first = word_places(texts)
-    return _ranges(data.astype(np.uint64) + np.uint64(1), begin, end), first
+
+class Words:
+    """The words of some texts, end to end: their hashes, where each text's begin, and digests of any run of them."""
+
+    def __init__(self, texts: list[bytes], hashes: _WordHashes):
+        split = [t.split() for t in texts]
+        flat = [w for own in split for w in own]
+        self.first = np.cumsum([0] + [len(own) for own in split])
+        self.hashes = np.fromiter(map(hashes.__getitem__, flat), np.uint64, len(flat))
+        self.joined = memoryview(b" ".join(flat))
+        self.ends = np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)) + 1) - 1
+        self.begins = np.concatenate([[0], self.ends[:-1] + 1]) if flat else self.ends
+
+    def digests(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Two signed longs for the words [start, end) of each range."""
+        joined, blake = self.joined, hashlib.blake2b
+        spans = zip(self.begins[start].tolist(), self.ends[end - 1].tolist(), strict=True)
+        return np.frombuffer(b"".join([blake(joined[a:b], digest_size=16).digest() for a, b in spans]), np.int64).reshape(-1, 2)
 
 
 def _window_starts(first: np.ndarray, window: int) -> np.ndarray:
@@ -99,13 +112,13 @@ def _window_starts(first: np.ndarray, window: int) -> np.ndarray:
     return np.repeat(first[:-1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def blocks(texts: list[bytes], window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Every block of windows that share a seed: (text, seed hash, hash of all the block's words, first window, number of windows)."""
-    words, first = word_hashes(texts)
+def blocks(w: Words, window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Every block of windows that share a seed: (text, seed hash, digest of all the block's words, first window, number of windows)."""
+    words, first = w.hashes, w.first
     start = _window_starts(first, window)
     if not len(start):
         none = np.empty(0, np.int64)
-        return none, none.astype(np.uint64), none.astype(np.uint64), none, none
+        return none, none.astype(np.uint64), none.reshape(0, 2), none, none
     seeds = np.arange(len(words) - seed + 1)
     rank = _ranges(words, seeds, seeds + seed)
     reach = window - seed + 1
@@ -118,7 +131,7 @@ def blocks(texts: list[bytes], window: int = WINDOW, seed: int = SEED) -> tuple[
     text = np.searchsorted(first, start, "right") - 1
     new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])]))
     last = np.append(new[1:], len(start)) - 1
-    return text[new], rank[at[new]], _ranges(words, start[new], start[last] + window), start[new] - first[text[new]], last - new + 1
+    return text[new], rank[at[new]], w.digests(start[new], start[last] + window), start[new] - first[text[new]], last - new + 1
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -127,59 +140,57 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def candidate_blocks(docs: DataFrame) -> DataFrame:
-    """All blocks of all texts: ``key, seed, block, start, n``. No shuffle."""
+    """All blocks of all texts: ``key, seed, block, more, start, n``. No shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
         for batch in batches:
             for part in common.chunks(batch, "text", CHUNK_BYTES):
-                text, seed, block, start, n = blocks(part.column("text").to_pylist())
+                text, seed, block, start, n = blocks(Words(part.column("text").to_pylist(), hashes))
                 keys = np.asarray(part.column("key"))[text]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(seed.view(np.int64)), pa.array(block.view(np.int64)), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["key", "seed", "block", "start", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(seed.view(np.int64)), *(pa.array(np.ascontiguousarray(x)) for x in block.T), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["key", "seed", "block", "more", "start", "n"])
 
     return _keyed(docs).mapInArrow(run, BLOCKS_SCHEMA)
 
 
 def _windows_of(docs: DataFrame, kinds: DataFrame) -> DataFrame:
-    """``seed, window, key, start`` for every window of the blocks in ``kinds`` (``key, seed, start, n``)."""
+    """``seed, window, more, key, start`` for every window of the blocks in ``kinds`` (``key, seed, start, n``)."""
     wanted = kinds.groupBy("key").agg(F.collect_list(F.struct("seed", "start", "n")).alias("b"))
     met = _keyed(docs).join(wanted, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
         for batch in batches:
             for part in common.chunks(batch, "text", CHUNK_BYTES):
-                words, first = word_hashes(part.column("text").to_pylist())
+                words = Words(part.column("text").to_pylist(), hashes)
                 lists = part.column("b")
                 flat = lists.flatten()
                 seed, start, n = (np.asarray(flat.field(i)).astype(np.int64) for i in range(3))
                 doc = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(lists.offsets)))
                 own = np.repeat(np.arange(len(n)), n)
                 at = start[own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-                begin = first[doc[own]] + at
-                yield pa.RecordBatch.from_arrays([pa.array(seed[own]), pa.array(_ranges(words, begin, begin + WINDOW).view(np.int64)), pa.array(np.asarray(part.column("key"))[doc[own]]), pa.array(at.astype(np.int32))], names=["seed", "window", "key", "start"])
+                begin = words.first[doc[own]] + at
+                digests = words.digests(begin, begin + WINDOW)
+                yield pa.RecordBatch.from_arrays([pa.array(seed[own]), *(pa.array(np.ascontiguousarray(x)) for x in digests.T), pa.array(np.asarray(part.column("key"))[doc[own]]), pa.array(at.astype(np.int32))], names=["seed", "window", "more", "key", "start"])
 
-    return met.select("key", "text", "b").mapInArrow(run, "seed long, window long, key long, start int")
+    return met.select("key", "text", "b").mapInArrow(run, "seed long, window long, more long, key long, start int")
 
 
-def recurring_passages(docs: DataFrame, shard: Column) -> tuple[DataFrame, DataFrame]:
-    """``shard, key, start, n_words`` twice: blocks that recur as a whole, each once in every shard that has it, and windows of other blocks that recur.
-
-    ``shard`` is an expression of ``key``. The words that a document's own windows cover and
-    those that its shard's blocks match are exactly the ones that some recurring window covers:
-    a block that stands once gets all its recurring windows.
-    """
+def recurring_windows(docs: DataFrame) -> DataFrame:
+    """``key, start, n``: from ``start`` on, ``n`` consecutive windows of a document that recur. Every recurring window of every document is in one of the rows."""
     found = common.stored(candidate_blocks(docs), "blocks")
     # tables that a hot key is joined with are written first, so that either side of the join is a plain
     # shuffle: a seed with a third of all rows is then a skewed key that adaptive execution splits
     twice = common.stored(found.groupBy("seed").count().where("count > 1").select("seed"), "seeds")
     found = common.stored(found.join(twice, "seed"), "recurring-seeds")
-    kinds = common.stored(found.groupBy("seed", "block").agg(F.count("*").alias("times"), F.min(F.struct("key", "start", "n")).alias("one")), "kinds")
-    # a block with many copies shrinks to one place per shard before it meets its count
-    places = found.groupBy(shard.alias("shard"), "seed", "block").agg(F.min(F.struct("key", "start", "n")).alias("p"))
-    whole = places.join(kinds.where("times > 1").select("seed", "block"), ["seed", "block"]).select("shard", "p.key", "p.start", (F.col("p.n") + (WINDOW - 1)).alias("n_words"))
-    several = kinds.groupBy("seed").agg(F.count("*").alias("k"), F.min("times").alias("least")).where("k > 1 and least = 1").select("seed")
+    kinds = common.stored(found.groupBy("seed", "block", "more").agg(F.count("*").alias("times"), F.min(F.struct("key", "start", "n")).alias("one")), "kinds")
+    same = ["seed", "block", "more"]
+    whole = found.join(common.stored(kinds.where("times > 1").select(*same), "recurring-blocks"), same).select("key", "start", "n")
+    several = common.stored(kinds.groupBy("seed").agg(F.count("*").alias("k"), F.min("times").alias("least")).where("k > 1 and least = 1").select("seed"), "several")
     windows = common.stored(_windows_of(docs, kinds.join(several, "seed").select("seed", "one.key", "one.start", "one.n")), "windows")
-    again = common.stored(windows.groupBy("seed", "window").count().where("count > 1").select("seed", "window"), "recurring-windows")
-    return whole, windows.join(again, ["seed", "window"]).select(shard.alias("shard"), "key", "start", F.lit(WINDOW).alias("n_words"))
+    same = ["seed", "window", "more"]
+    again = common.stored(windows.groupBy(*same).count().where("count > 1").select(*same), "recurring-windows")
+    return whole.unionByName(windows.join(again, same).select("key", "start", F.lit(1).alias("n")))
 
 
 def _covered(words: list[int], first: np.ndarray, phrases: set[tuple[int, ...]]) -> np.ndarray:
@@ -210,15 +221,20 @@ def _covered(words: list[int], first: np.ndarray, phrases: set[tuple[int, ...]])
     return np.cumsum(edges[:-1]) > 0
 
 
-def _runs(places: list[tuple[int, int, int]], join: bool) -> list[tuple[int, int, int]]:
-    """(document, first word, words) of each passage. Single windows that follow one another can be joined, as a document has all of its own."""
-    out: list[tuple[int, int, int]] = []
-    for doc, start, n in sorted(set(places)):
-        if join and out and out[-1][0] == doc and out[-1][1] + out[-1][2] - WINDOW + 1 == start:
-            out[-1] = (doc, out[-1][1], out[-1][2] + 1)
-        else:
-            out.append((doc, start, n))
-    return out
+def phrase_starts(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(document, word) of as many windows as cover what the given stretches of windows do: in each run of consecutive ones every ``WINDOW``-th, and the last."""
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], (start + n)[order]
+    if not len(doc):
+        return doc, start
+    wide = int(end.max()) + 2  # one line for all documents, with a gap between any two
+    low, reach = doc * wide + start, np.maximum.accumulate(doc * wide + end)
+    new = np.flatnonzero(np.concatenate([[True], low[1:] > reach[:-1]]))
+    first, last = low[new], reach[np.append(new[1:], len(low)) - 1] - 1
+    each = (last - first) // WINDOW + 1
+    at = np.repeat(first, each) + WINDOW * (np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each))
+    at = np.unique(np.concatenate([at, last]))
+    return at // wide, at % wide
 
 
 def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -230,28 +246,31 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
-    shard = F.pmod(F.col("key"), F.lit(shards))
-    whole, windows = recurring_passages(docs, shard)
-    passages = whole.withColumn("single", F.lit(False)).unionByName(windows.withColumn("single", F.lit(True)))
+    shard = F.pmod(F.col("key"), F.lit(max(1, -(-size // shard_bytes))))
+    places = recurring_windows(docs).select(shard.alias("shard"), "key", "start", "n")
     texts = docs.select("doc_id", F.xxhash64(F.col("doc_id"), F.col("text")).alias("key"), common.text_bytes().alias("text")).select(shard.alias("shard"), "doc_id", "key", "text")
 
     def dedup(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = [t for t in left.column("text").to_pylist()]
-        split = [t.split() for t in own]
+        split = [t.split() for t in left.column("text").to_pylist()]
         first = np.cumsum([0] + [len(w) for w in split])
-        number: dict[bytes, int] = {}
-        words = [number.setdefault(w, len(number)) for doc in split for w in doc]
-        place = {k: i for i, k in enumerate(left.column("key").to_pylist())}
-        columns = (right.column(c).to_pylist() for c in ("key", "start", "n_words", "single"))
-        at = [(single, place[k], s, n) for k, s, n, single in zip(*columns, strict=True)]
-        runs = _runs([x[1:] for x in at if not x[0]], False) + _runs([x[1:] for x in at if x[0]], True)
-        gone = _covered(words, first, {tuple(words[first[d] + s : first[d] + s + n]) for d, s, n in runs})
-        kept = [b" ".join([w for w, g in zip(doc, gone[a:b].tolist(), strict=True) if not g]).decode() if gone[a:b].any() else b" ".join(doc).decode() for doc, a, b in zip(split, first[:-1], first[1:], strict=True)]
-        removed = np.add.reduceat(np.append(gone, False).astype(np.int64), first[:-1]) * (np.diff(first) > 0) if len(split) else np.empty(0, np.int64)
-        return pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array(np.diff(first)), "n_removed": pa.array(removed), "kept": pa.array(kept, pa.string())})
-
-    return texts.groupBy("shard").cogroup(passages.groupBy("shard")).applyInArrow(dedup, "doc_id long, n_words long, n_removed long, kept string")
+        gone = np.zeros(int(first[-1]), bool)
+        if right.num_rows:
+            number: dict[bytes, int] = {}
+            words = [number.setdefault(w, len(number)) for doc in split for w in doc]
+            keys = np.asarray(left.column("key"))
+            by_key = np.argsort(keys, kind="stable")
+            at = np.searchsorted(keys, np.asarray(right.column("key")), sorter=by_key)  # rows that are repeated share their passages
+            doc, start = phrase_starts(by_key[at].astype(np.int64), *(np.asarray(right.column(c)).astype(np.int64) for c in ("start", "n")))
+            begin = (first[doc] + start).tolist()
+            gone = _covered(words, first, {tuple(words[a : a + WINDOW]) for a in begin})
+        kept = [b" ".join([w for w, g in zip(doc, gone[a:b].tolist(), strict=True) if not g] if gone[a:b].any() else doc).decode() for doc, a, b in zip(split, first[:-1], first[1:], strict=True)]
+        removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[first])
+        return pa.table({"doc_id": left.column("doc_id"), "n_words": pa.array(np.diff(first)), "n_removed": pa.array(removed.astype(np.int64)), "kept": pa.array(kept, pa.string())})
+
+    # as many partitions as the texts need, so that a task's share doesn't grow with the corpus
+    parts = min(MAX_PARTITIONS, max(1, -(-size // PARTITION_BYTES)))
+    sides = (x.repartition(parts, "shard").groupBy("shard") for x in (texts, places))
+    return next(sides).cogroup(next(sides)).applyInArrow(dedup, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -81,3 +81,30 @@ def test_the_query_hashes_what_is_left(spark, tmp_path):
     got = {r["doc_id"]: tuple(r)[1:] for r in R.op7_substring_dedup(spark, str(tmp_path)).collect()}
     for i, (n, removed, kept) in enumerate(brute(given)):
         assert got[i] == (n, removed, hashlib.sha256(kept.encode()).hexdigest())
+
+
+def thue_morse(n, a, b):
+    return "".join(b if i.bit_count() % 2 else a for i in range(n))
+
+
+def test_words_that_a_polynomial_hash_confuses_are_different(spark):
+    rest = [f"w{i}" for i in range(34)]
+    check(spark, [" ".join([thue_morse(4096, "a", "b"), *rest]), " ".join([thue_morse(4096, "b", "a"), *rest]), " ".join([thue_morse(4096, "a", "b"), *rest[:20]])])
+
+
+def test_long_texts_and_columns_with_other_names(spark):
+    rng = random.Random(6)
+    long = " ".join(f"w{rng.randrange(400)}" for _ in range(150_000))
+    passage = " ".join(f"p{i}" for i in range(60))
+    check(spark, [long + " " + passage, "a " + passage + " b", long[:1000]])
+
+
+def test_phrases_cover_what_their_stretches_do():
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    doc, start, n = rng.integers(0, 4, 60), rng.integers(0, 600, 60), rng.integers(1, 80, 60)
+    words = lambda d, s, k: {(a, w) for a, b, m in zip(d, s, k, strict=True) for w in range(b, b + m + R.WINDOW - 1)}
+    d, s = R.phrase_starts(doc, start, n)
+    given = {(a, w) for a, b, m in zip(doc, start, n, strict=True) for w in range(b, b + m)}
+    assert words(d, s, np.ones(len(d), int)) == words(doc, start, n) and set(zip(d.tolist(), s.tolist(), strict=True)) <= given
