@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +9,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import mark, release, shared_dir, stored
+
+__all__ = ["CHUNK_BYTES", "LOWER", "chunks", "mark", "read", "release", "shared_dir", "stored", "text_bytes"]
+
 #: Bytes of text that a Python task works on at a time, whatever the size of Spark's Arrow batches.
 CHUNK_BYTES = 8 << 20
 
@@ -22,23 +24,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-herdwise-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it from there: later jobs don't recompute it, and no lost executor takes it along."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(column: str = "text"):
     """The text as UTF-8 bytes; null becomes empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
