@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Folders that this process wrote and has not deleted, oldest first.
-_WRITTEN: list[str] = []
+
+class _Written(threading.local):
+    """Folders that this thread wrote and has not deleted, oldest first."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_WRITTEN = _Written()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    _WRITTEN.paths.append(path)
     return path
 
 
@@ -37,13 +45,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def mark() -> int:
     """A point in time for ``release``."""
-    return len(_WRITTEN)
+    return len(_WRITTEN.paths)
 
 
 def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
     """Delete the folders written after ``since`` but for the last ``keep`` of them: call it when what was made from them is written."""
-    done = _WRITTEN[since : len(_WRITTEN) - keep]
-    for path in done:
+    written = _WRITTEN.paths
+    for path in written[since : len(written) - keep]:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    _WRITTEN[since : len(_WRITTEN) - keep] = []
+    written[since : len(written) - keep] = []
