@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import mark, release, shared_dir, stored
 
-__all__ = ["CHUNK_BYTES", "LOWER", "chunks", "mark", "read", "release", "shared_dir", "stored", "text_bytes"]
+__all__ = ["CHUNK_BYTES", "LOWER", "chunks", "mark", "prefix", "read", "release", "shared_dir", "stored", "text_bytes"]
 
 #: Bytes of text that a Python task works on at a time, whatever the size of Spark's Arrow batches.
 CHUNK_BYTES = 8 << 20
@@ -24,6 +24,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def prefix(df: DataFrame) -> str:
+    """A beginning that no column of ``df`` has: names that are made with it can't clash."""
+    out = "__"
+    while any(c.startswith(out) for c in df.columns):
+        out += "_"
+    return out
+
+
 def text_bytes(column: str = "text"):
     """The text as UTF-8 bytes; null becomes empty."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

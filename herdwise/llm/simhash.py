@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
@@ -233,10 +233,12 @@ def links(nodes: DataFrame, c: Covering) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 3, covering: Covering = EXACT_2) -> DataFrame:
     """One row per document: ``doc_id``, the fingerprint's words ``w0, ...`` and ``component_id``, the smallest doc_id it reaches over links.
 
+    Copies go to all anchors within R + ceil(threshold / 2), which meets every pair that R + threshold would (see above).
+
     Equal fingerprints are one node, so copies cost nothing further. Null and empty texts
     have the fingerprint zero and link like any other; rows that repeat an id each get
     their row; rows without an id get the component of their fingerprint, null if no
-    document of it has an id. Only ``doc_id`` and ``text`` are read.
+    document of it has an id. An empty table gives no rows. Only ``doc_id`` and ``text`` are read.
     """
     names = _words(covering.width)
     prints = common.stored(fingerprints(docs, words, covering.width), "fingerprints")
@@ -252,7 +254,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, covering: Covering = EXACT_
 
 
 #: Nomination only, so well above the 39 bits by which a similarity of 0.8 differs on average.
-NOMINATE = wide_covering(threshold=60)
+NOMINATE_BITS = 60
+
+
+def nominating(n: int) -> Covering:
+    """The covering for ``n`` different texts: blocks of 16 bits, longer ones where anchors would have over 16 texts each on average (from a million on)."""
+    return wide_covering(threshold=NOMINATE_BITS, block=min(32, max(16, (max(1, n) - 1).bit_length() - 4)))
+
+
 #: A second nomination, which needs no long text: bands of so many minima each. A pair at a similarity of 0.8 shares one with probability 0.9999, one at 0.5 with 0.4.
 BANDS, ROWS = 32, 6
 #: Exact similarity is worked out in groups of two blocks of about so many bytes of shingles.
@@ -269,10 +278,10 @@ def bands(own: np.ndarray) -> np.ndarray:
     return (low.reshape(BANDS, ROWS) * _MIX).sum(1, dtype=np.uint64)
 
 
-def _marked(docs: DataFrame, words: int, width: int) -> DataFrame:
-    """``docs`` with ``__node`` (a hash of the set of shingles), the fingerprint's words and ``__bands``."""
-    names = [f"__{w}" for w in _words(width)]
-    schema = StructType([*docs.schema.fields, *(StructField(x, LongType()) for x in ["__node", *names]), StructField("__bands", ArrayType(LongType()))])
+def _marked(docs: DataFrame, words: int, width: int, mine: str) -> DataFrame:
+    """``docs`` with, under names that begin with ``mine``, ``node`` (a hash of the set of shingles), the fingerprint's words and ``bands``."""
+    names = [mine + w for w in _words(width)]
+    schema = StructType([*docs.schema.fields, *(StructField(x, LongType()) for x in [f"{mine}node", *names]), StructField(f"{mine}bands", ArrayType(LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -287,7 +296,7 @@ def _marked(docs: DataFrame, words: int, width: int) -> DataFrame:
                 flat = pa.array(np.concatenate(keys).view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), flat)
                 words_of = np.stack(prints).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.array(node, np.uint64).view(np.int64)), *(pa.array(np.ascontiguousarray(c)) for c in words_of.T), lists], names=[*part.schema.names, "__node", *names, "__bands"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.array(node, np.uint64).view(np.int64)), *(pa.array(np.ascontiguousarray(c)) for c in words_of.T), lists], names=[*part.schema.names, f"{mine}node", *names, f"{mine}bands"])
 
     return docs.mapInArrow(run, schema)
 
@@ -345,27 +354,32 @@ def verified_links(texts: DataFrame, words: int) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, covering: Covering | None = None) -> DataFrame:
-    """The documents that are the first of their group, all columns kept. Documents link at a similarity of 0.8 or more of their sets of five-word shingles.
+    """One document of each group, all columns kept. Documents link at a similarity of 0.8 or more of their sets of five-word shingles, groups are what links connect.
 
-    Fingerprints and bands only nominate; every link is counted exactly. Rows that repeat an id and a set of
-    shingles keep one row; rows without an id stay (nothing tells them apart). Texts without words are one group.
+    Fingerprints and bands only nominate; every link is counted exactly. The document with the
+    smallest id stays, one without an id only where none has one; rows that tie are ordered by a hash
+    of all their columns, and of equal rows one stays. Null and empty texts, and texts without words, are one group; a shorter
+    text is one shingle. Two texts under one id are two documents. An empty table gives an empty table.
     """
-    c = covering or NOMINATE
-    names = _words(c.width)
-    marked = common.stored(_marked(docs, words, c.width), "marked")
-    nodes = common.stored(marked.groupBy(F.col("__node").alias("node")).agg(F.min(F.col("doc_id").cast("long")).alias("first_id"), *(F.first(f"__{x}").alias(x) for x in names), F.first("__bands").alias("bands")), "nodes")
+    width = covering.width if covering else 4
+    mine = common.prefix(docs)
+    names = _words(width)
+    marked = common.stored(_marked(docs, words, width, mine), "marked")
+    row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns if docs.schema[c].dataType.typeName() not in ("map", "variant")))
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), row.alias("row"))
+    nodes = common.stored(marked.groupBy(F.col(f"{mine}node").alias("node")).agg(F.min(rank).alias("best"), *(F.first(f"{mine}{x}").alias(x) for x in names), F.first(f"{mine}bands").alias("bands")), "nodes")
     met = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    shared = met.withColumn("first", F.first("node").over(Window.partitionBy("band", "key").orderBy("node"))).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    groups = common.stored(connected_components(links(nodes, c).unionByName(shared)).select("node", F.col("root").alias("group")), "nominated")
-    texts = marked.select(F.col("__node").alias("node"), "text").join(groups, "node").dropDuplicates(["node"])
+    # the first node of each band's key, written, so that a key with many nodes is a skewed key that adaptive execution splits
+    heads = common.stored(met.groupBy("band", "key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "bands")
+    shared = met.join(heads, ["band", "key"]).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    groups = common.stored(connected_components(links(nodes, covering or nominating(nodes.count())).unionByName(shared)).select("node", F.col("root").alias("group")), "nominated")
+    texts = marked.select(F.col(f"{mine}node").alias("node"), "text").join(groups, "node").dropDuplicates(["node"])
     roots = connected_components(verified_links(texts, words))
-    owned = common.stored(nodes.select("node", "first_id").join(roots, "node"), "owned")
-    lowest = common.stored(owned.groupBy("root").agg(F.min("first_id").alias("lowest")), "components")
-    linked = owned.join(lowest, "root").select(F.col("node").alias("__node"), F.col("lowest").alias("__lowest"))
-    alone = nodes.select(F.col("node").alias("__node"), F.col("first_id").alias("__lowest")).join(linked.select("__node"), "__node", "left_anti")
-    kept = marked.join(linked.unionByName(alone), "__node").where("doc_id is null or cast(doc_id as long) = __lowest")
-    again = F.row_number().over(Window.partitionBy("doc_id", "__node").orderBy("doc_id"))
-    return kept.withColumn("__copy", again).where("doc_id is null or __copy = 1").select(*(F.col(f"`{x}`") for x in docs.columns))
+    owned = common.stored(nodes.select("node", "best").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "owned")
+    # the best row of each group: its node and rank name it
+    kept = common.stored(owned.groupBy("root").agg(F.min(F.struct("best", "node")).alias("k")).select(F.col("k.node").alias(f"{mine}node"), F.col("k.best").alias(f"{mine}best")), "kept")
+    best = marked.join(kept, f"{mine}node").where(rank.eqNullSafe(F.col(f"{mine}best")))
+    return best.dropDuplicates([f"{mine}node"]).select(*(F.col(f"`{x}`") for x in docs.columns))
 
 
 def hex64(column):
