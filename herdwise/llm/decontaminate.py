@@ -1,12 +1,12 @@
 """Benchmark decontamination with a positional inverted index.
 
-The index is partitioned by document: each row holds one training document's
-postings - the terms that the benchmark also uses, and where they stand - sorted
-by term, written once as Parquet. Corpus counts of the terms come from the
-index. A benchmark window is then looked up from its rarest term: the term's
-positions, minus its offset in the window, are the candidate starts, and each
-further term's offset-adjusted postings are intersected with them, rarest first.
-What is left are exact phrase matches; a looser lookup gives proximity matches.
+The index is partitioned by document, in segments of a few MB of text: a segment holds
+the postings of all its terms, each term's positions in a row, and is written once as Parquet.
+It knows nothing of any benchmark, so the next one is looked up in the same index. Corpus
+counts of a benchmark's terms come from it. A benchmark window is then looked up from its
+rarest term: the term's positions, minus its offset in the window, are the candidate starts, and
+each further term's offset-adjusted postings are intersected with them, rarest first. What is
+left are exact phrase matches; a looser lookup gives proximity matches.
 
 The terms and windows of the benchmark go to every task while the benchmark is
 smaller than ``BROADCAST_BYTES`` (its size is measured first). Beyond that the
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,16 +28,18 @@ from . import common
 #: Consecutive words of an item that make a window.
 WINDOW = 10
 #: Benchmark text up to this size is looked up by broadcast, larger ones by joins.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 8 << 20
+#: Bytes of text in a segment of the index (one document at least).
+SEGMENT_BYTES = 2 << 20
 #: Candidate starts that a task looks at together.
-CANDIDATES = 1 << 21
+CANDIDATES = 1 << 20
 
 #: Lower-cases A-Z and turns every byte that is in no word into a space; bytes from 0x80 on are parts of word characters.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: The same for Spark's regular expressions, on text whose A-Z are lower-cased.
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-INDEX_SCHEMA = "doc_id long, text_hash long, n_words int, terms array<int>, positions array<int>"
+INDEX_SCHEMA = "doc_ids array<long>, hashes array<long>, sizes array<int>, terms array<binary>, ends array<int>, positions array<int>"
 MATCH_SCHEMA = "doc_id long, text_hash long, n_words int, n_hit int, items array<string>, starts array<int>, lengths array<int>"
 
 
@@ -46,97 +49,121 @@ def words(text: bytes) -> list[bytes]:
 
 
 class Windows:
-    """The distinct windows of a benchmark: term numbers, offsets and the items that have them."""
+    """The distinct windows of a benchmark: term numbers, offsets and the items that have them; a row of numbers for each."""
 
     def __init__(self, items: list[tuple[str, bytes]], n: int = WINDOW):
-        self.vocabulary: dict[bytes, int] = {}
-        self.item_ids = sorted({i for i, _ in items})
-        number = {i: k for k, i in enumerate(self.item_ids)}
-        found: dict[tuple[int, ...], set[int]] = {}
+        number: dict[bytes, int] = {}
+        self.n, self.item_ids = n, sorted({i for i, _ in items})
+        item_of = {i: k for k, i in enumerate(self.item_ids)}
+        rows, owners = [np.empty((0, n), np.int32)], [np.empty(0, np.int64)]
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)]
-            for i in range(max(1, len(ids) - n + 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + n]), set()).add(number[item])
-        keys = list(found)
-        self.n = n
-        self.lengths = np.array([len(k) for k in keys], np.int64)
-        self.terms = np.full((len(keys), n), -1, np.int64)
-        for i, k in enumerate(keys):
-            self.terms[i, : len(k)] = k
-        self.offsets = np.broadcast_to(np.arange(n), self.terms.shape)
-        self.item_start = np.cumsum([0] + [len(found[k]) for k in keys])
-        self.item_of = np.array([i for k in keys for i in sorted(found[k])], np.int64)
+            ids = np.array([number.setdefault(w, len(number)) for w in words(text)], np.int32)
+            if len(ids) >= n:
+                rows.append(np.lib.stride_tricks.sliding_window_view(ids, n))
+            elif len(ids):
+                rows.append(np.append(ids, np.full(n - len(ids), -1, np.int32))[None])
+            owners.append(np.full(len(rows[-1]) if len(ids) else 0, item_of[item]))
+        self.vocabulary = list(number)
+        flat, owner = np.ascontiguousarray(np.concatenate(rows)), np.concatenate(owners)
+        _, first, which = np.unique(flat.view(np.dtype((np.void, 4 * n))).ravel(), return_index=True, return_inverse=True)
+        self.terms = flat[first]
+        self.lengths = (self.terms >= 0).sum(1)
+        self.offsets = np.broadcast_to(np.arange(n, dtype=np.int8), self.terms.shape)
+        pairs = np.unique(which * max(1, len(self.item_ids)) + owner)
+        window, self.item_of = np.divmod(pairs, max(1, len(self.item_ids)))
+        self.item_start = np.searchsorted(window, np.arange(len(self.terms) + 1))
 
     def rarest_first(self, counts: np.ndarray) -> None:
         """Order each window's terms by how often the corpus has them; windows with an unseen term can't occur and go."""
-        rank = np.where(self.terms < 0, np.iinfo(np.int64).max, counts[self.terms])
+        rank = np.where(self.terms < 0, np.iinfo(np.int64).max, counts[self.terms] if len(counts) else 0)
         order = np.argsort(rank, axis=1, kind="stable")
         self.terms, self.offsets = np.take_along_axis(self.terms, order, 1), np.take_along_axis(self.offsets, order, 1)
         self.live = np.flatnonzero(np.take_along_axis(rank, order, 1)[:, 0] > 0) if len(rank) else np.empty(0, np.int64)
 
 
-def build_index(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
-    """One row per document: its number of words, and the postings of the vocabulary's terms sorted by term and position. No shuffle."""
-    terms = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def build_index(docs: DataFrame) -> DataFrame:
+    """One row per segment: its documents (ids, hashes of their texts, numbers of words), its distinct terms, and the postings of all terms, one after the other.
+
+    ``ends`` says where each term's postings end. Positions count through the segment's documents, which lie end to end with one place between them. No shuffle.
+    """
+
+    def segment(part: pa.RecordBatch) -> pa.RecordBatch:
+        number: dict[bytes, int] = {}
+        own = [[number.setdefault(w, len(number)) for w in words(t)] for t in part.column("text").to_pylist()]
+        sizes = np.array([len(x) for x in own], np.int32)
+        ids = np.fromiter((t for x in own for t in x), np.int32, int(sizes.sum()))
+        places = np.arange(len(ids), dtype=np.int32) + np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        ends = np.cumsum(np.bincount(ids, minlength=len(number))).astype(np.int32)
+        one = lambda values, kind: pa.array([values], pa.list_(kind))
+        lists = [one(part.column("doc_id").to_pylist(), pa.int64()), one(part.column("text_hash").to_pylist(), pa.int64()), one(sizes, pa.int32()), one(list(number), pa.binary()), one(ends, pa.int32()), one(places[np.argsort(ids, kind="stable")], pa.int32())]
+        return pa.RecordBatch.from_arrays(lists, names=["doc_ids", "hashes", "sizes", "terms", "ends", "positions"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = terms.value.get
         for batch in batches:
-            for part in common.chunks(batch, "text"):
-                sizes, term_lists, position_lists = [], [], []
-                for text in part.column("text").to_pylist():
-                    own = words(text)
-                    ids = np.fromiter((get(w, -1) for w in own), np.int32, len(own))
-                    at = np.flatnonzero(ids >= 0).astype(np.int32)
-                    order = np.argsort(ids[at], kind="stable")
-                    sizes.append(len(own))
-                    term_lists.append(ids[at][order])
-                    position_lists.append(at[order])
-                ends = pa.array(np.cumsum([0] + [len(x) for x in term_lists]), pa.int32())
-                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (term_lists, position_lists)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(sizes, pa.int32()), *lists], names=["doc_id", "text_hash", "n_words", "terms", "positions"])
+            for part in common.chunks(batch, "text", SEGMENT_BYTES):
+                yield segment(part)
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), common.text_bytes().alias("text")).mapInArrow(run, INDEX_SCHEMA)
 
 
-def term_counts(index: DataFrame, size: int) -> np.ndarray:
-    """How often the corpus has each of ``size`` terms; one number per benchmark term comes back."""
-    counts = np.zeros(size, np.int64)
-    for term, n in index.select(F.explode("terms").alias("term")).groupBy("term").count().collect():
-        counts[term] = n
-    return counts
+def _slots(row: dict, terms: pa.Array) -> np.ndarray:
+    """Where each of the benchmark's terms is among the segment's; -1 where it is not."""
+    at = pc.index_in(row["terms"].values, value_set=terms)
+    out = np.full(len(terms), -1, np.int64)
+    some = np.flatnonzero(np.asarray(at.is_valid()))
+    out[np.asarray(at.take(pa.array(some)))] = some
+    return out
 
 
-def _postings(part: pa.RecordBatch, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Sorted keys term * span + position over all documents of a batch, laid end to end with a gap that no window bridges."""
-    sizes = np.asarray(part.column("n_words")).astype(np.int64)
-    bases = np.concatenate([[0], np.cumsum(sizes + gap)])
-    lists = part.column("terms")
-    per_doc = np.diff(np.asarray(lists.offsets))
-    terms, positions = np.asarray(lists.flatten()).astype(np.int64), np.asarray(part.column("positions").flatten()).astype(np.int64)
-    span = int(bases[-1]) + gap
-    return np.sort(terms * span + positions + np.repeat(bases[:-1], per_doc)), bases, sizes, span
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    for i in range(batch.num_rows):
+        yield {name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)}
 
 
-def phrase_starts(keys: np.ndarray, span: int, w: Windows) -> tuple[np.ndarray, np.ndarray]:
-    """(window, start) of every exact occurrence, by intersecting offset-adjusted posting lists from the rarest term on."""
-    first = w.terms[w.live, 0]
+def term_counts(index: DataFrame, vocabulary: list[bytes]) -> np.ndarray:
+    """How often the corpus has each of the terms; one number per benchmark term and task comes back. Reads no positions."""
+    shared = index.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = pa.array(shared.value, pa.binary())
+        total = np.zeros(len(terms), np.int64)
+        for batch in batches:
+            for row in _rows(batch):
+                slots = _slots(row, terms)
+                some = slots >= 0
+                total[some] += np.diff(np.asarray(row["ends"].values), prepend=0)[slots[some]]
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found])], names=["term", "n"])
+
+    counts = np.zeros(len(vocabulary), np.int64)
+    for term, n in index.select("terms", "ends").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n")).collect():
+        counts[term] = n
+    return counts
+
+
+def _candidates(keys: np.ndarray, span: int, live: np.ndarray, slots: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(window, place of its rarest term), so many at a time; ``slots`` are the windows' terms in this segment."""
+    first = slots[live, 0]
     lo, hi = np.searchsorted(keys, first * span), np.searchsorted(keys, (first + 1) * span)
     some = np.flatnonzero(hi > lo)
-    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
     at = 0
     while at < len(some):
         n = (hi - lo)[some[at:]]
         take = max(1, int(np.searchsorted(np.cumsum(n), CANDIDATES)))
         block, n = some[at : at + take], n[:take]
         at += take
-        window = np.repeat(w.live[block], n)
+        window = np.repeat(live[block], n)
         places = np.repeat(lo[block], n) + np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n)
-        start = keys[places] - w.terms[window, 0] * span - w.offsets[window, 0]
+        yield window, keys[places] - slots[window, 0] * span
+
+
+def phrase_starts(keys: np.ndarray, span: int, w: Windows, live: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(window, start) of every exact occurrence, by intersecting offset-adjusted posting lists from the rarest term on."""
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for window, place in _candidates(keys, span, live, slots):
+        start = place - w.offsets[window, 0]
         for j in range(1, w.n):
-            if not len(window):
-                break
-            term = w.terms[window, j]
+            term = slots[window, j]
             wanted = term * span + start + w.offsets[window, j]
             i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
             keep = (term < 0) | (keys[i] == wanted)
@@ -145,20 +172,18 @@ def phrase_starts(keys: np.ndarray, span: int, w: Windows) -> tuple[np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def near_starts(keys: np.ndarray, span: int, w: Windows, slop: int) -> tuple[np.ndarray, np.ndarray]:
-    """(window, position of its rarest term) wherever all other terms of the window stand within ``slop`` words of it, in any order."""
-    windows, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for i in w.live:
-        t = w.terms[i][w.terms[i] >= 0]
-        at = keys[np.searchsorted(keys, t[0] * span) : np.searchsorted(keys, (t[0] + 1) * span)] - t[0] * span
-        for term in t[1:]:
-            if not len(at):
-                break
-            right = np.minimum(np.searchsorted(keys, term * span + at - slop), len(keys) - 1)
-            at = at[(keys[right] >= term * span + at - slop) & (keys[right] <= term * span + at + slop)]
-        windows.append(np.full(len(at), i))
-        places.append(at)
-    return np.concatenate(windows), np.concatenate(places)
+def near_starts(keys: np.ndarray, span: int, w: Windows, live: np.ndarray, slots: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+    """(window, place of its rarest term) wherever all other terms of the window stand within ``slop`` words of it, in any order."""
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for window, place in _candidates(keys, span, live, slots):
+        for j in range(1, w.n):
+            term = slots[window, j]
+            low = term * span + place - slop
+            i = np.minimum(np.searchsorted(keys, low), len(keys) - 1)
+            keep = (term < 0) | ((keys[i] >= low) & (keys[i] <= low + 2 * slop))
+            window, place = window[keep], place[keep]
+        found.append((window, place))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def match(index: DataFrame, w: Windows, slop: int | None = None) -> DataFrame:
@@ -168,21 +193,30 @@ def match(index: DataFrame, w: Windows, slop: int | None = None) -> DataFrame:
     window's rarest term, and the words covered are those within ``slop`` of it.
     """
     shared = index.sparkSession.sparkContext.broadcast(w)
-
-    def one(part: pa.RecordBatch) -> pa.RecordBatch:
-        w = shared.value
-        keys, bases, sizes, span = _postings(part, w.n + 1 if slop is None else 2 * slop + 1)
-        if not len(keys) or not len(w.live):
+    gap = 1 if slop is None else 2 * slop + 1
+
+    def one(row: dict, w: Windows, terms: pa.Array) -> pa.RecordBatch:
+        sizes, ends, positions = (np.asarray(row[c].values).astype(np.int64) for c in ("sizes", "ends", "positions"))
+        # documents stand one place apart; proximity asks for more
+        stored, bases = np.cumsum(sizes + 1) - sizes - 1, np.cumsum(sizes + gap) - sizes - gap
+        if gap > 1 and len(positions):
+            positions += (bases - stored)[np.searchsorted(stored, positions, "right") - 1]
+        span = int((sizes + gap).sum()) + gap + w.n
+        counts = np.diff(ends, prepend=0)
+        slots = np.append(_slots(row, terms), -2)[w.terms]  # -2: a shorter window has no such term
+        live = w.live[(slots[w.live] != -1).all(1)]
+        if not len(positions) or not len(live):
             window, start = np.empty(0, np.int64), np.empty(0, np.int64)
         else:
-            window, start = phrase_starts(keys, span, w) if slop is None else near_starts(keys, span, w, slop)
+            keys = np.repeat(np.arange(len(counts)), counts) * span + positions  # in order as they are stored
+            window, start = phrase_starts(keys, span, w, live, slots) if slop is None else near_starts(keys, span, w, live, slots, slop)
         order = np.argsort(start, kind="stable")
         window, start = window[order], start[order]
         doc = np.searchsorted(bases, start, "right") - 1
         low, high = (start, start + w.lengths[window]) if slop is None else (np.maximum(start - slop, bases[doc]), np.minimum(start + slop + 1, bases[doc] + sizes[doc]))
         edges = np.bincount(low, minlength=span + 1).astype(np.int64) - np.bincount(high, minlength=span + 1)
         covered = np.concatenate([[0], np.cumsum(np.cumsum(edges) > 0)])
-        n_hit = covered[bases[:-1] + sizes] - covered[bases[:-1]]
+        n_hit = covered[bases + sizes] - covered[bases]
         per_window = w.item_start[window + 1] - w.item_start[window]
         item = w.item_of[np.repeat(w.item_start[window], per_window) + np.arange(per_window.sum()) - np.repeat(np.cumsum(per_window) - per_window, per_window)]
         pairs = np.unique(np.repeat(doc, per_window) * len(w.item_ids) + item) if len(item) else np.empty(0, np.int64)
@@ -192,16 +226,14 @@ def match(index: DataFrame, w: Windows, slop: int | None = None) -> DataFrame:
         ends = pa.array(np.searchsorted(doc, np.arange(len(sizes) + 1)), pa.int32())
         starts = pa.ListArray.from_arrays(ends, pa.array((start - bases[doc]).astype(np.int32)))
         lengths = pa.ListArray.from_arrays(ends, pa.array((high - low).astype(np.int32)))
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), part.column("n_words"), pa.array(n_hit, pa.int32()), pa.array(items, pa.list_(pa.string())), starts, lengths], names=[x.split()[0] for x in MATCH_SCHEMA.split(", ")])
+        return pa.RecordBatch.from_arrays([row["doc_ids"].values, row["hashes"].values, row["sizes"].values, pa.array(n_hit, pa.int32()), pa.array(items, pa.list_(pa.string())), starts, lengths], names=[x.split()[0] for x in MATCH_SCHEMA.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value
+        terms = pa.array(w.vocabulary, pa.binary())
         for batch in batches:
-            # a batch has about as many postings as its rows have list entries; slices keep the arrays small
-            per_row = np.asarray(batch.column("n_words"))
-            cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(per_row) // 1_000_000)) + 1), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                if b > a:
-                    yield one(batch.slice(a, b - a))
+            for row in _rows(batch):
+                yield one(row, w, terms)
 
     return index.mapInArrow(run, MATCH_SCHEMA)
 
@@ -212,7 +244,7 @@ def _tokens(df: DataFrame, text: str):
     return F.filter(F.split(lowered, NO_WORD), lambda w: w != "")
 
 
-def match_by_joins(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
+def match_by_joins(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, slop: int | None = None) -> DataFrame:
     """What ``build_index`` and ``match`` give, for a benchmark of any size: postings and windows meet in joins on terms."""
     rows = common.stored(docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), _tokens(docs, "text").alias("w"), F.monotonically_increasing_id().alias("row")), "tokens")
     postings = rows.select("row", F.posexplode("w").alias("at", "term"))
@@ -224,10 +256,23 @@ def match_by_joins(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> Da
     terms = windows.select("id", "length", F.posexplode("window").alias("offset", "term"))
     counts = postings.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").count()
     rarest = terms.join(counts, "term").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("count", "offset"))).where("k = 1")
-    candidates = postings.join(rarest.select("id", "length", "offset", "term"), "term").select("row", "id", "length", (F.col("at") - F.col("offset")).alias("start")).where("start >= 0")
-    needed = candidates.join(terms.drop("length"), "id").select("row", "id", "length", "start", "term", (F.col("start") + F.col("offset")).alias("at"))
-    hits = needed.join(postings, ["row", "at", "term"]).groupBy("row", "id", "length", "start").count().where("count = length")
-    hits = common.stored(hits.join(windows.select("id", "items"), "id").select("row", "start", "length", "items"), "hits")
+    candidates = postings.join(rarest.select("id", "length", "offset", "term"), "term").select("row", "id", "length", "at", "offset")
+    if slop is None:
+        needed = candidates.select("row", "id", "length", (F.col("at") - F.col("offset")).alias("start")).where("start >= 0")
+        needed = needed.join(terms.drop("length"), "id").select("row", "id", "length", "start", "term", (F.col("start") + F.col("offset")).alias("at"))
+        hits = needed.join(postings, ["row", "at", "term"]).groupBy("row", "id", "length", "start").count().where("count = length")
+        hits = hits.withColumn("words", F.col("length"))
+    else:
+        # places in stretches of slop + 1 words: what is near is in the same stretch or in a neighbouring one
+        stretch = lambda c: F.floor(c / (slop + 1))
+        needed = candidates.withColumnRenamed("at", "place").drop("offset").join(terms.drop("length"), "id")
+        needed = needed.withColumn("stretch", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda o: stretch(F.col("place")) + o)))
+        met = needed.join(postings.withColumn("stretch", stretch(F.col("at"))), ["row", "term", "stretch"]).where(F.abs(F.col("at") - F.col("place")) <= slop)
+        near = met.groupBy("row", "id", "length", "place").agg(F.size(F.collect_set("offset")).alias("found")).where("found = length")
+        size = rows.select("row", F.size("w").alias("size"))
+        low = F.greatest(F.lit(0), F.col("place") - slop)
+        hits = near.join(size, "row").select("row", "id", low.alias("start"), (F.least(F.col("size"), F.col("place") + slop + 1) - low).alias("words"))
+    hits = common.stored(hits.join(windows.select("id", "items"), "id").select("row", "start", F.col("words").alias("length"), "items"), "hits")
     covered = hits.select("row", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("at")).distinct().groupBy("row").agg(F.count("*").cast("int").alias("n_hit"))
     # an item and a document may meet at many places: each pair once
     owners = hits.select("row", F.explode("items").alias("item")).distinct().groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
@@ -241,26 +286,30 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, s
     """One row per document: ``doc_id, text_hash, n_words, n_hit, items, starts, lengths``.
 
     Null and empty texts have no words and are never hit; an item without words has no
-    window; rows of the benchmark without an ``item_id`` are left out; repeated documents
-    each get their row; an empty benchmark hits nothing; other columns are not read.
-    ``slop`` asks for proximity matches (broadcast only).
+    window; a benchmark row without an ``item_id`` is an item named ''; repeated documents
+    each get their row, and windows that several items have count for each; an empty benchmark hits
+    nothing; other columns are not read. ``slop`` asks for proximity matches.
     """
-    benchmark = benchmark.where("item_id is not null").select(F.col("item_id").cast("string"), common.text_bytes().alias("text"))
+    benchmark = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), common.text_bytes().alias("text"))
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > broadcast_bytes:
-        if slop is not None:
-            raise ValueError(f"proximity matches need a benchmark of at most {broadcast_bytes} bytes; it has {size}")
-        return match_by_joins(docs, benchmark.withColumn("text", F.col("text").cast("string")), n)
+        return match_by_joins(docs, benchmark.withColumn("text", F.col("text").cast("string")), n, slop)
+    return look_up(common.stored(build_index(docs), "postings"), benchmark, n, slop)
+
+
+def look_up(index: DataFrame, benchmark: DataFrame, n: int = WINDOW, slop: int | None = None) -> DataFrame:
+    """The matches of a benchmark (``item_id, text``; of a size that was checked) in a stored index."""
     w = Windows([(r[0], bytes(r[1])) for r in benchmark.collect()], n)
-    index = common.stored(build_index(docs, w.vocabulary), "postings")
-    w.rarest_first(term_counts(index, len(w.vocabulary)))
+    w.rarest_first(term_counts(index, w.vocabulary))
     return match(index, w, slop)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
     """The documents without any occurrence of a benchmark window, all columns kept. Rows with the same id and text share their fate."""
-    hit = find_contamination(docs, benchmark, n).where("n_hit > 0").select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash")).distinct()
-    return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(F.col("hit_id")) & (F.xxhash64(docs["text"]) == F.col("hit_hash")), "left_anti")
+    hit = find_contamination(docs, benchmark, n).where("n_hit > 0").select("doc_id", "text_hash").distinct()
+    # the document as one struct, so that no column of it can clash with the keys
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    return rows.join(hit, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left_anti").select("doc.*")
 
 
 def op2_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
@@ -271,7 +320,7 @@ def op2_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
 #: DuckDB: windows by brute force; \p{..} isn't needed as bytes from 0x80 on are word characters either way.
 OP2_SQL = r"""
 with d as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from documents),
-b as (select item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark where item_id is not null),
+b as (select coalesce(item_id::varchar, '') as item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as w from benchmark),
 bw as (select distinct item_id, array_to_string(w[i:i+9], ' ') as k, least(len(w), 10) as n from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from b where len(w) > 0)),
 sizes as (select distinct n from bw),
 dw as (select doc_id, i, n, array_to_string(w[i:i+n-1], ' ') as k from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, sizes where len(w) >= n)),
