@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from . import common
 
 SEED = 20
-#: A ``total`` that asks for more repetitions than this of the whole table is refused as a mistake; the rate of a single source has no bound.
-MAX_RATE = 500.0
 #: A rate above this is the sum of several equal ones: the distribution's first term, exp(-rate), would get close to the smallest double.
 PART_RATE = 700.0
 #: Up to so many sources, of at most 9 KB each, are broadcast.
@@ -57,8 +55,6 @@ def rates(docs: DataFrame, weights: dict[str, float] | None, total: float | None
     weight_sum, n_sum = weighed.agg(F.sum("weight"), F.sum("n").cast("double")).first()
     share = F.col("weight") / F.lit(weight_sum) if weight_sum else F.lit(0.0)
     rated = weighed.select("source", (share * F.lit(float(total if total is not None else n_sum or 0)) / F.col("n")).alias("rate"))
-    if total is not None and n_sum and total > MAX_RATE * n_sum:
-        raise ValueError(f"documents would be repeated too often: {total} rows of {int(n_sum)}")
     rated = rated.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART_RATE)).cast("int"))
     part = F.col("rate") / F.col("parts")
     return rated.withColumn("cdf", poisson_cdf(part, F.ceil(part + 12 * F.sqrt(part) + 20).cast("int")))
@@ -72,17 +68,22 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, total: float |
     ``copy`` or ``position`` are replaced. An empty table gives an empty table.
     """
     docs = docs.drop("copy", "position")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    by_source = common.stored(rates(docs.select(source), weights, total, source), "rates").select(F.col("source").alias("__source"), F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf"))
+    by_source = common.stored(rates(docs.select(source), weights, total, source), "rates")
     if by_source.count() <= BROADCAST_SOURCES:  # beyond that a shuffled join, whose skewed sources adaptive execution splits
         by_source = F.broadcast(by_source)
     identity = F.coalesce(F.col(key).cast("string"), F.sha2(F.col("text"), 256), F.lit(""))
-    drawn = docs.withColumn("__source", F.coalesce(F.col(source), F.lit(""))).join(by_source, "__source")
+    # the document as one struct, so that no column of it can clash with what is worked out beside it
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.coalesce(F.col(source), F.lit("")).alias("source"), identity.alias("id"))
     # a sum of independent Poisson variables is one of the summed mean
-    count = F.aggregate("__u", F.lit(0), lambda n, u: n + F.size(F.filter("__cdf", lambda c: u >= c)))
-    repeated = drawn.withColumn("__u", draws(identity, seed, F.col("__parts"))).withColumn("__n", count).where("__n > 0").select(*names, identity.alias("__id"), F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("copy"))
-    position = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("__id"), F.col("copy"), F.lit(f"{seed} order"))), 1, 13), 16, 10).cast("long")
-    return repeated.select(*names, "copy", position.alias("position")).orderBy("position", key, "copy")
+    count = F.aggregate("u", F.lit(0), lambda n, u: n + F.size(F.filter("cdf", lambda c: u >= c)))
+    drawn = rows.join(by_source, "source").withColumn("u", draws(F.col("id"), seed, F.col("parts"))).withColumn("n", count).where("n > 0")
+    copies = drawn.select("doc", "id", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    position = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("id"), F.col("copy"), F.lit(f"{seed} order"))), 1, 13), 16, 10).cast("long")
+    placed = copies.select("doc", "copy", position.alias("position"))
+    # positions are uniform over 52 bits: equal parts of them, sorted inside, are the global order, and nothing is sampled first
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = placed.repartitionById(parts, F.floor(F.col("position") / F.lit(float(1 << 52)) * parts).cast("int"))
+    return dealt.sortWithinPartitions("position", f"doc.{key}", "copy").select("doc.*", "copy", "position")
 
 
 def op10_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -42,8 +42,14 @@ def test_awkward_rows(spark):
     assert out.columns == [c for c in awkward(spark).columns if c not in ("copy", "position")] + ["copy", "position"]
     assert M.mix(empty(spark)).count() == 0
     assert M.mix(awkward(spark), {"nobody": 1.0}).count() == 0
-    with pytest.raises(Exception, match="too often"):
-        M.mix(docs(spark, [(1, "a")]), total=10_000).count()
+    assert M.mix(docs(spark, [(1, "a")]), total=10_000).count() == pytest.approx(10_000, abs=500)
+    named = docs(spark, [(i, "a") for i in range(50)]).selectExpr("*", *(f"'clash' as {c}" for c in ("doc", "id", "u", "n", "cdf", "parts", "rate", "__source", "__id")))
+    assert M.mix(named).columns == [*named.columns, "copy", "position"] and {r["cdf"] for r in M.mix(named).collect()} == {"clash"}
+
+
+def test_positions_are_in_order_over_all_partitions(spark):
+    at = [r["position"] for r in M.mix(docs(spark, [(i, "x") for i in range(3000)])).collect()]
+    assert at == sorted(at) and len(at) > 2500
 
 
 def test_a_source_of_few_rows_among_many_is_repeated_in_full(spark):
