@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from . import common
 
 ESCAPE = "\\"
+#: Pieces of a conversation whose sizes are added up at once.
+BLOCK = 128
 
 
 @dataclass(frozen=True)
@@ -49,6 +51,35 @@ def unescaped(text: Column, template: Template = CHAT) -> Column:
     return F.replace(out, F.lit(ESCAPE * 2), F.lit(ESCAPE))
 
 
+def _bound(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _total(sizes: Column) -> Column:
+    return F.aggregate(sizes, F.lit(0), lambda a, x: a + x)
+
+
+def _loss_spans(pieces: Column) -> Column:
+    """Where the pieces under loss stand: sums of what is before them, in blocks of ``BLOCK`` and then within a block, so that a long conversation doesn't cost its square."""
+    sizes = F.transform(pieces, lambda p: p["before"] + p["size"] + p["after"])
+
+    def spans(sizes: Column, starts: Column) -> Column:
+        def span(i: Column) -> Column:
+            block = F.floor(i / BLOCK).cast("int")
+            at = F.get(starts, block) + _total(F.slice(sizes, block * BLOCK + 1, i - block * BLOCK)) + F.get(pieces, i)["before"]
+            return F.struct(at.alias("start"), (at + F.get(pieces, i)["size"]).alias("end"))
+
+        return F.transform(F.filter(F.sequence(F.lit(0), F.size(pieces) - 1), lambda i: F.get(pieces, i)["loss"]), span)
+
+    def with_starts(sizes: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.size(sizes) - 1, F.lit(BLOCK)), lambda b: _total(F.slice(sizes, b + 1, F.lit(BLOCK))))
+        starts = lambda t: F.transform(F.sequence(F.lit(0), F.size(t) - 1), lambda k: _total(F.slice(t, F.lit(1), k)))
+        return _bound(_bound(blocks, starts), lambda starts: spans(sizes, starts))
+
+    return _bound(sizes, with_starts)
+
+
 def format_chats(turns: DataFrame, template: Template = CHAT) -> DataFrame:
     """``conv_id, formatted, loss_mask``: one row per conversation; the mask lists spans (start, end) of ``formatted``, in code points.
 
@@ -75,10 +106,7 @@ def format_chats(turns: DataFrame, template: Template = CHAT) -> DataFrame:
     formatted = F.array_join(F.transform("runs", lambda r: F.concat(r["head"], F.array_join(r["texts"], t.part), F.lit(t.close))), "")
     # every text with what stands before and after it, to add up where it begins
     pieces = F.flatten(F.transform("runs", lambda r: F.transform(r["texts"], lambda x, i: F.struct(F.when(i == 0, F.length(r["head"])).otherwise(len(t.part)).alias("before"), F.length(x).alias("size"), F.when(i == F.size(r["texts"]) - 1, len(t.close)).otherwise(0).alias("after"), r["loss"].alias("loss")))))
-    span = lambda a, p: F.struct((a["at"] + p["before"]).alias("start"), (a["at"] + p["before"] + p["size"]).alias("end"))
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    mask = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("spans")), lambda a, p: F.struct((a["at"] + p["before"] + p["size"] + p["after"]).alias("at"), F.when(p["loss"], F.concat(a["spans"], F.array(span(a, p)))).otherwise(a["spans"]).alias("spans")))["spans"]
-    return chats.select("conv_id", formatted.alias("formatted"), mask.alias("loss_mask"))
+    return chats.select("conv_id", formatted.alias("formatted"), _bound(pieces, _loss_spans).alias("loss_mask"))
 
 
 def _quoted(mark: str) -> str:

@@ -43,3 +43,10 @@ def test_the_query_adds_the_forged_conversation(spark, tmp_path):
     rows = {r["conv_id"]: r for r in C.op3_chat_format(spark, str(tmp_path)).collect()}
     assert rows[-7]["n_turns"] == 2 and rows[-7]["loss_sha256"] == hashlib.sha256(C.FORGED.encode()).hexdigest()
     assert rows[3]["turns_sha256"] == hashlib.sha256("system\ns\nassistant\né\n".encode()).hexdigest() and rows[3]["loss_chars"] == 1
+
+
+def test_spans_of_a_long_conversation(spark):
+    n = 3 * C.BLOCK + 7
+    texts = ["é" * (i % 5) + "<|" * (i % 3) for i in range(n)]
+    got = shown(spark, [(1, i, "assistant" if i % 4 else "user", t) for i, t in enumerate(texts)])[1]
+    assert got["loss"] == "".join(t for i, t in enumerate(texts) if i % 4) and len(got["loss_mask"]) == sum(1 for i in range(n) if i % 4)
