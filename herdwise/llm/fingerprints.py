@@ -2,7 +2,7 @@
 
 Every shingle is hashed once. The high part of a hash names one of ``BINS`` bins, and a
 bin keeps its smallest hash. Empty bins are filled by optimal densification: an empty
-bin asks other bins, in an order hashed from its own number, until one holds a value,
+bin asks other bins, each chosen by a hash of its own number and the attempt's, until one holds a value,
 and borrows that, hashed with its own number (else a text of one shingle would have one
 digit many times, and agree with another by luck everywhere at once). Of each bin's value
 the lowest four bits are kept, packed as one hexadecimal digit. Two fingerprints agree in a bin with probability J + (1 - J) / 16,
@@ -11,6 +11,8 @@ which the likeness corrects for.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,9 +56,6 @@ def fingerprint(text: Column, words: int = WORDS, bins: int = BINS) -> Column:
 
     digit = lambda x: F.lower(F.hex(x.bitwiseAND(F.lit((1 << BITS) - 1))))
     empties = lambda n: F.array_repeat(F.lit(None).cast("long"), n)
-    # where each bin begins to ask and the odd step that takes it past all others
-    start = F.lit([(0x9E3779B1 * (b + 1) >> 7) % bins for b in range(bins)])
-    step = F.lit([(0x85EBCA77 * (b + 1) >> 9) % bins | 1 for b in range(bins)])
 
     def laid_out(low: Column) -> Column:
         # a value for each filled bin, a null for each empty one
@@ -66,12 +65,14 @@ def fingerprint(text: Column, words: int = WORDS, bins: int = BINS) -> Column:
 
     def densified(value: Column) -> Column:
         def asked(b: Column, first: int, last: int) -> Column:
-            place = lambda a: (F.get(start, b) + a * F.get(step, b)).bitwiseAND(F.lit(bins - 1))
+            place = lambda a: F.hash(b, a).bitwiseAND(F.lit(bins - 1))
             return F.get(F.filter(F.transform(F.sequence(F.lit(first), F.lit(last)), lambda a: F.get(value, place(a))), lambda v: v.isNotNull()), F.lit(0))
 
-        # few bins ask often: the stages are only as long as they need be
+        # few bins ask often: the stages are only as long as they need be; where so few are filled that a
+        # bin has asked ``bins`` times in vain, its number picks one of them
         stages = [(0, 7), (8, 31), (32, 127), (128, bins - 1)]
-        borrowed = lambda b: F.xxhash64(F.coalesce(*(asked(b, x, y) for x, y in stages)), b)
+        filled = F.filter(value, lambda v: v.isNotNull())
+        borrowed = lambda b: F.xxhash64(F.coalesce(*(asked(b, x, y) for x, y in stages), F.get(filled, F.pmod(F.hash(b), F.size(filled)))), b)
         return F.array_join(F.transform(value, lambda v, b: digit(F.when(v.isNotNull(), v).otherwise(borrowed(b)))), "")
 
     return _bound(_bound(_bound(shingle_hashes(text, words), minima), laid_out), densified)
@@ -84,49 +85,54 @@ def likeness(a: Column, b: Column, bins: int = BINS) -> Column:
     return F.greatest(F.lit(0.0), (same / F.lit(float(bins)) - chance) / (1 - chance))
 
 
-def _runs(docs: DataFrame) -> tuple[Column, list[int], int]:
-    """(number of the run that a document is in, each run's largest id from run 0 on, number of runs).
-
-    Runs hold neighbouring ids, the largest in run 0; documents without an id are in the last one.
-    """
-    n, nulls = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wanted = max(1, min(n // RUN, RUNS_PER_PARTITION * parts))
-    shares = [i / wanted for i in range(1, wanted + 1)]
-    found = docs.agg(F.percentile_approx("doc_id", shares, max(10_000, 10 * wanted)).alias("p")).first()["p"] or []
-    heads = sorted(set(found), reverse=True)
-    if heads:
-        heads[0] = docs.agg(F.max("doc_id")).first()[0]
-    number = lambda tops: F.size(F.filter(F.lit(tops), lambda t: t >= F.col("doc_id"))) - 1
-    if len(heads) <= 512:
-        run = number(heads) if heads else F.lit(0)
-    else:  # find the block of 256 runs first
-        coarse = number(heads[::256])
-        blocks = F.lit([heads[i : i + 256] for i in range(0, len(heads), 256)])
-        run = coarse * 256 + F.size(F.filter(F.get(blocks, coarse), lambda t: t >= F.col("doc_id"))) - 1
-    return F.when(F.col("doc_id").isNull(), len(heads)).otherwise(run), heads, len(heads) + bool(nulls)
-
-
 def with_next(docs: DataFrame) -> DataFrame:
     """``doc_id, text, fp, next_text, next_fp``: each document beside the next one in descending id, the first after the last.
 
     One shuffle of the texts, by runs of neighbouring ids. The first document of each run is
     also sent to the end of the run before it, so no row needs another run. Documents
-    without an id come last; equal ids are ordered by text, descending.
+    without an id come last; equal ids are ordered by text, descending. Ids that many
+    documents share, and documents without one, make runs of their own: equal rows of them become one
+    that counts many times, and the others are dealt into ranges of their texts.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    run, heads, n = _runs(docs.select("doc_id"))
-    if not n:
-        heads, n = [], 1
-    own = docs.withColumn("run", run).withColumn("guest", F.lit(0))
-    firsts = docs.where(F.col("doc_id").isin(heads)).withColumn("run", run) if heads else docs.where("false").withColumn("run", F.lit(0))
-    if n > len(heads):
-        firsts = firsts.unionByName(docs.where("doc_id is null").agg(F.max("text").alias("text")).where("text is not null").select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(n - 1).alias("run")))
-    guests = firsts.withColumn("run", F.pmod(F.col("run") - 1, F.lit(n))).withColumn("guest", F.lit(1))
-    rows = own.unionByName(guests).withColumn("fp", fingerprint(F.col("text")))
-    # guests of the run before: all rows of the next run's largest id, so ties are in order there too
+    ids = docs.select("doc_id")
+    n, nulls, top = ids.agg(F.count("*"), F.count_if(F.col("doc_id").isNull()), F.max("doc_id")).first()
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = max(1, min(n // RUN, RUNS_PER_PARTITION * parts))
+    shares = [i / wanted for i in range(1, wanted + 1)]
+    found = ids.agg(F.percentile_approx("doc_id", shares, max(10_000, 10 * wanted)).alias("p")).first()["p"] or []
+    heads = sorted({*found, top} - {None}, reverse=True)
+    hot = sorted((x for x, times in Counter(found).items() if times > 1), reverse=True)
+    # a number for each run, in order: those of a hot id before those of the smaller ids below it
+    at, plain, special = 0, [], {}
+    for t in heads:
+        if t in hot:
+            special[t] = at
+            at += parts
+        plain.append(at)
+        at += 1
+    below = F.size(F.filter(F.lit(heads[::256] or [0]), lambda t: t >= F.col("doc_id"))) - 1  # blocks of 256 runs first
+    blocks = F.lit([heads[i : i + 256] for i in range(0, len(heads), 256)] or [[0]])
+    index = below * 256 + F.size(F.filter(F.get(blocks, below), lambda t: t >= F.col("doc_id"))) - 1
+    is_hot = F.col("doc_id").isNull() | F.col("doc_id").isin(hot) if hot else F.col("doc_id").isNull()
+    rows = docs.where(~is_hot).select("*", F.get(F.lit(plain or [0]), index).alias("run"), F.lit(1).cast("long").alias("times"))
+    if nulls or hot:
+        many = docs.where(is_hot).groupBy("doc_id", "text").agg(F.count("*").alias("times"))
+        many = common.stored(many.repartitionByRange(parts, F.desc_nulls_last("doc_id"), F.desc("text")).withColumn("part", F.spark_partition_id()), "shared-ids")
+        start = F.coalesce(F.create_map(*[F.lit(x) for t, a in special.items() for x in (t, a)])[F.col("doc_id")], F.lit(at)) if special else F.lit(at)
+        rows = rows.unionByName(many.select("doc_id", "text", (start + F.col("part")).alias("run"), "times"))
+    # the first row of each run, and the run before it (runs without rows are passed over)
+    firsts = rows.groupBy("run").agg(F.max(F.struct("doc_id", "text")).alias("first"))
+    firsts = common.stored(firsts.select("run", "first.doc_id", "first.text"), "first-of-run")
+    runs = firsts.select(F.col("run").alias("r"), F.coalesce(F.lag("run").over(Window.orderBy("run")), F.max("run").over(Window.partitionBy())).alias("before"))
+    guests = firsts.join(runs, F.col("run") == F.col("r")).select("doc_id", "text", F.col("before").alias("run"), F.lit(1).cast("long").alias("times"), F.lit(1).alias("guest"))
+    fps = rows.withColumn("guest", F.lit(0)).unionByName(guests).withColumn("fp", fingerprint(F.col("text")))
     order = Window.partitionBy("run").orderBy("guest", F.desc_nulls_last("doc_id"), F.desc("text"))
-    return rows.select("doc_id", "text", "fp", "guest", F.lead("text").over(order).alias("next_text"), F.lead("fp").over(order).alias("next_fp")).where("guest = 0").drop("guest")
+    beside = fps.select("doc_id", "text", "fp", "guest", "times", F.lead("text").over(order).alias("next_text"), F.lead("fp").over(order).alias("next_fp")).where("guest = 0")
+    # of rows that are the same, each but the last is followed by its like
+    copy = beside.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy"))
+    last = F.col("copy") == F.col("times")
+    return copy.select("doc_id", "text", "fp", F.when(last, F.col("next_text")).otherwise(F.col("text")).alias("next_text"), F.when(last, F.col("next_fp")).otherwise(F.col("fp")).alias("next_fp"))
 
 
 def edited(text: Column, other: Column) -> Column:
@@ -136,7 +142,7 @@ def edited(text: Column, other: Column) -> Column:
 
 
 def op5_fingerprints(spark, sf_dir: str) -> DataFrame:
-    """Null texts count as empty; repeated rows each get theirs; an empty table gives no rows; a single document is its own next one."""
+    """Null texts count as empty; repeated rows each get theirs; an empty table gives no rows; a single document is its own next one. Whole texts are hashed, whatever their length; only ``doc_id`` and ``text`` are read."""
     rows = with_next(common.read(spark, sf_dir, "documents")).withColumn("edited", edited(F.col("text"), F.col("next_text")))
     rows = rows.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
     return rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.col("fp").alias("fingerprint"), "edited_fingerprint", likeness(F.col("fp"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"))

@@ -36,6 +36,47 @@ def test_edits_likeness_and_equal_texts(spark, tmp_path):
     assert abs(sum(errors) / len(errors)) < 0.01 and max(map(abs, errors)) < 0.25
 
 
+def test_fingerprints_equal_a_plain_version(spark):
+    """Bins, minima and densification step by step in Python; the hash functions are Spark's own."""
+    rng = random.Random(4)
+    texts = ["", "one", "a b c d", "a b c d e", "a b c d e f", " ".join(f"w{rng.randrange(90)}" for _ in range(40)), " ".join(f"w{rng.randrange(900)}" for _ in range(700)), "x " * 300]
+    table = {(r["b"], r["a"]): r["h"] for r in spark.range(P.BINS).select(F.col("id").cast("int").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(P.BINS - 1))).alias("a")).select("b", "a", F.hash("b", "a").alias("h")).collect()}
+    pick = {r["b"]: r["h"] for r in spark.range(P.BINS).select(F.col("id").cast("int").alias("b")).select("b", F.hash("b").alias("h")).collect()}
+    rows = [(i, s) for i, t in enumerate(texts) for w in [t.split()] for s in ([w[k : k + 5] for k in range(len(w) - 4)] if len(w) >= 5 else [[" ".join(w)]])]
+    hashed = {}
+    for n in (1, 5):
+        part = [(i, *s) for i, s in rows if len(s) == n]
+        df = spark.createDataFrame(part, "i int, " + ", ".join(f"s{k} string" for k in range(n)))
+        for r in df.select("i", F.shiftrightunsigned(F.xxhash64(*(f"s{k}" for k in range(n))), 1).alias("h")).collect():
+            hashed.setdefault(r["i"], set()).add(r["h"])
+    want, borrowed = {}, []
+    for i in range(len(texts)):
+        low = {}
+        for h in hashed[i]:
+            b = h >> (63 - 8)
+            low[b] = min(low.get(b, h), h)
+        for b in range(P.BINS):
+            if b in low:
+                want[i, b] = low[b] & 15
+            else:
+                asked = next((low[x] for a in range(P.BINS) if (x := table[b, a] & (P.BINS - 1)) in low), None)
+                filled = [low[x] for x in sorted(low)]
+                borrowed.append((i, b, asked if asked is not None else filled[pick[b] % len(filled)]))
+    for r in spark.createDataFrame(borrowed, "i int, b int, v long").select("i", "b", F.xxhash64("v", "b").bitwiseAND(F.lit(15)).alias("d")).collect():
+        want[r["i"], r["b"]] = r["d"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", P.fingerprint(F.col("text")).alias("fp")).collect()
+    for r in got:
+        assert r["fp"] == "".join(f"{want[r['i'], b]:x}" for b in range(P.BINS)), texts[r["i"]][:30]
+
+
+def test_shared_ids_and_missing_ids_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(P, "RUN", 4)
+    rows = [(i, f"t{i}") for i in range(40)] + [(17, f"same id {i % 30}") for i in range(60)] + [(None, f"none {i % 50}") for i in range(80)]
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"], r["next_text"]) for r in P.with_next(docs(spark, rows)).collect())
+    order = sorted(((i if i is not None else -1, t) for i, t in rows), reverse=True)
+    assert got == sorted((i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order))
+
+
 def test_awkward_rows(spark, tmp_path):
     got = rows_of(spark, tmp_path, awkward(spark))
     assert len(got) == awkward(spark).count()
