@@ -152,3 +152,64 @@ def test_base64_after_other_characters_of_its_alphabet(before, pack):
 @pytest.mark.parametrize("payload", [b"\xff\x00 password=hunter22secret9", b"\x1b[0m password=hunter22secret9", "caf\xe9 password=hunter22secret9".encode("latin-1"), "password=hunter22secret9".encode("utf-16"), "password=hunter22secret9".encode("utf-16-be")])
 def test_payloads_that_are_no_utf8(payload):
     assert deep(base64.b64encode(payload).decode()) and deep(base64.b64encode(gzip.compress(payload)).decode())
+
+
+SECRET = 'password = "hunter22secret9'
+
+
+@pytest.mark.parametrize("before", ["", "x", "two ", "été ", "漢字 "])
+@pytest.mark.parametrize("after", ["", "\" and more", "\" 漢 é"])
+def test_spans_of_escapes_are_exact(before, after):
+    inner = before + SECRET + after
+    for write in (lambda c: urllib.parse.quote(c, safe=""), lambda c: "".join(f"%{b:02X}" for b in c.encode()), lambda c: f"\\u{ord(c):04x}", lambda c: f"\\U{ord(c):08x}", lambda c: f"\\x{ord(c):02x}" if ord(c) < 256 else c):
+        places = [0]
+        for c in inner:
+            places.append(places[-1] + len(write(c)))
+        text = "start " + "".join(map(write, inner)) + " end"
+        want = ("assign", 6 + places[len(before)], 6 + places[len(before + SECRET)])
+        assert want in S.scan_layers(text)[1]
+        # and one layer further down, each escape written as escapes again
+        twice = "".join(f"%{b:02X}" for b in text.encode())
+        at = [len(text[:k].encode()) * 3 for k in want[1:]]
+        assert ("assign", *at) in S.scan_layers(twice)[1]
+
+
+@pytest.mark.parametrize("k", range(7))
+@pytest.mark.parametrize("after", ["", "!", " and", "\n some more text here"])
+@pytest.mark.parametrize("lines", [False, True])
+def test_spans_of_base64_are_exact(k, after, lines):
+    inner = ("x" * k + " " if k else "") + SECRET + after
+    a = inner.index(SECRET)
+    b = a + len(SECRET)
+    code = base64.b64encode(inner.encode()).decode()
+    run = code.rstrip("=")
+    places = list(range(len(code)))
+    if lines:
+        places = [p + p // 20 for p in places]
+        code = "\n".join(code[i : i + 20] for i in range(0, len(code), 20))
+    end = len(code) if b == len(inner) else places[-(-b * 4 // 3) - 1] + 1
+    assert len(run) >= 16 and ("assign", 5 + places[a * 4 // 3], 5 + end) in S.scan_layers(f"see: {code} .")[1]
+
+
+@pytest.mark.parametrize("name", PACKERS)
+def test_spans_of_compressed_layers_are_their_whole(name):
+    data = PACKERS[name](SECRET.encode())
+    code = base64.b64encode(data).decode()
+    assert ("assign", 4, 4 + len(code)) in deep(f"see {code} there")  # zstd also shows short texts as they are
+
+
+def test_urls_with_bytes_that_are_no_text():
+    for bad in ("%E2%82", "%FF", "%EF%BF%BD", "%C3", "%F0%9F"):
+        text = f"a {bad}%70assword%3Dhunter22 z"
+        start = 2 + len(bad)
+        assert ("assign", start, len(text) - 2) in S.scan_layers(text)[1]
+
+
+def test_long_texts_with_escapes_take_little_memory():
+    """30 MB with one escape, in a process of its own with 700 MB for data."""
+    import subprocess
+    import sys
+
+    code = "import resource; from herdwise.llm import secrets as S; import numpy; before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; assert S.scan_layers('words and words ' * 1_875_000 + '%70assword=hunter22')[1][-1][1] == 30_000_000; print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert int(out.stdout) < 500
