@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside or return; extra columns that clash with them.
-CLASHES = ["key", "node", "score", "copy", "position", "run", "guest", "lang_pred", "lang_score", "spans", "words", "n_words", "seed", "block", "anchor", "component_id", "tokenizer", "digest", "fp", "row"]
+CLASHES = ["key", "node", "score", "copy", "position", "run", "guest", "lang_pred", "lang_score", "spans", "words", "n_words", "seed", "block", "anchor", "component_id", "tokenizer", "digest", "fp", "row", "id", "hash", "doc", "hit_id", "hit_hash", "gone_id", "text_hash", "u", "n", "cdf", "rate", "parts", "root", "group", "bands", "best", "shard", "start", "block_id", "__node", "__best", "__source", "__cdf", "__u", "__n", "__id"]
 
 
 def docs(spark, rows):
