@@ -30,7 +30,7 @@ WINDOW = 10
 #: Benchmark text up to this size is looked up by broadcast, larger ones by joins.
 BROADCAST_BYTES = 8 << 20
 #: Bytes of text in a segment of the index (one document at least).
-SEGMENT_BYTES = 2 << 20
+SEGMENT_BYTES = 1 << 20
 #: Candidate starts that a task looks at together.
 CANDIDATES = 1 << 20
 
