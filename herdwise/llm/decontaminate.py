@@ -29,8 +29,8 @@ from . import common
 WINDOW = 10
 #: Benchmark text up to this size is looked up by broadcast, larger ones by joins.
 BROADCAST_BYTES = 8 << 20
-#: Bytes of text in a segment of the index (one document at least).
-SEGMENT_BYTES = 1 << 20
+#: Bytes of text in a segment of the index (one document at least): a row of some 200 KB, which Java's heap holds without ado.
+SEGMENT_BYTES = 256 << 10
 #: Candidate starts that a task looks at together.
 CANDIDATES = 1 << 20
 
@@ -141,9 +141,9 @@ def term_counts(index: DataFrame, vocabulary: list[bytes]) -> np.ndarray:
     return counts
 
 
-def _candidates(keys: np.ndarray, span: int, live: np.ndarray, slots: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(window, place of its rarest term), so many at a time; ``slots`` are the windows' terms in this segment."""
-    first = slots[live, 0]
+def _candidates(keys: np.ndarray, span: int, slots: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row of ``slots``, place of its rarest term), so many at a time; ``slots`` are the terms, in this segment, of the windows that it has all terms of."""
+    first = slots[:, 0]
     lo, hi = np.searchsorted(keys, first * span), np.searchsorted(keys, (first + 1) * span)
     some = np.flatnonzero(hi > lo)
     at = 0
@@ -152,37 +152,37 @@ def _candidates(keys: np.ndarray, span: int, live: np.ndarray, slots: np.ndarray
         take = max(1, int(np.searchsorted(np.cumsum(n), CANDIDATES)))
         block, n = some[at : at + take], n[:take]
         at += take
-        window = np.repeat(live[block], n)
-        places = np.repeat(lo[block], n) + np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n)
-        yield window, keys[places] - slots[window, 0] * span
+        row = np.repeat(block, n)
+        places = np.repeat(lo[block], n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        yield row, keys[places] - slots[row, 0] * span
 
 
-def phrase_starts(keys: np.ndarray, span: int, w: Windows, live: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(window, start) of every exact occurrence, by intersecting offset-adjusted posting lists from the rarest term on."""
+def phrase_starts(keys: np.ndarray, span: int, slots: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row of ``slots``, start) of every exact occurrence, by intersecting offset-adjusted posting lists from the rarest term on."""
     found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-    for window, place in _candidates(keys, span, live, slots):
-        start = place - w.offsets[window, 0]
-        for j in range(1, w.n):
-            term = slots[window, j]
-            wanted = term * span + start + w.offsets[window, j]
+    for row, place in _candidates(keys, span, slots):
+        start = place - offsets[row, 0]
+        for j in range(1, slots.shape[1]):
+            term = slots[row, j]
+            wanted = term * span + start + offsets[row, j]
             i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
             keep = (term < 0) | (keys[i] == wanted)
-            window, start = window[keep], start[keep]
-        found.append((window, start))
+            row, start = row[keep], start[keep]
+        found.append((row, start))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def near_starts(keys: np.ndarray, span: int, w: Windows, live: np.ndarray, slots: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
-    """(window, place of its rarest term) wherever all other terms of the window stand within ``slop`` words of it, in any order."""
+def near_starts(keys: np.ndarray, span: int, slots: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row of ``slots``, place of its rarest term) wherever all other terms of the window stand within ``slop`` words of it, in any order."""
     found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
-    for window, place in _candidates(keys, span, live, slots):
-        for j in range(1, w.n):
-            term = slots[window, j]
+    for row, place in _candidates(keys, span, slots):
+        for j in range(1, slots.shape[1]):
+            term = slots[row, j]
             low = term * span + place - slop
             i = np.minimum(np.searchsorted(keys, low), len(keys) - 1)
             keep = (term < 0) | ((keys[i] >= low) & (keys[i] <= low + 2 * slop))
-            window, place = window[keep], place[keep]
-        found.append((window, place))
+            row, place = row[keep], place[keep]
+        found.append((row, place))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -203,13 +203,16 @@ def match(index: DataFrame, w: Windows, slop: int | None = None) -> DataFrame:
             positions += (bases - stored)[np.searchsorted(stored, positions, "right") - 1]
         span = int((sizes + gap).sum()) + gap + w.n
         counts = np.diff(ends, prepend=0)
-        slots = np.append(_slots(row, terms), -2)[w.terms]  # -2: a shorter window has no such term
-        live = w.live[(slots[w.live] != -1).all(1)]
+        here = np.append(_slots(row, terms), -2)  # -2: a shorter window has no such term
+        live = w.live[here[w.terms[w.live, 0]] >= 0]  # most windows go for want of their rarest term
+        slots = here[w.terms[live]]
+        live, slots = live[(slots != -1).all(1)], slots[(slots != -1).all(1)]
         if not len(positions) or not len(live):
             window, start = np.empty(0, np.int64), np.empty(0, np.int64)
         else:
             keys = np.repeat(np.arange(len(counts)), counts) * span + positions  # in order as they are stored
-            window, start = phrase_starts(keys, span, w, live, slots) if slop is None else near_starts(keys, span, w, live, slots, slop)
+            at, start = phrase_starts(keys, span, slots, w.offsets[live]) if slop is None else near_starts(keys, span, slots, slop)
+            window = live[at]
         order = np.argsort(start, kind="stable")
         window, start = window[order], start[order]
         doc = np.searchsorted(bases, start, "right") - 1
