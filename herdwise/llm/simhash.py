@@ -23,7 +23,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from . import common
 from .components import connected_components
@@ -278,17 +277,28 @@ def bands(own: np.ndarray) -> np.ndarray:
     return (low.reshape(BANDS, ROWS) * _MIX).sum(1, dtype=np.uint64)
 
 
-def _marked(docs: DataFrame, words: int, width: int, mine: str) -> DataFrame:
-    """``docs`` with, under names that begin with ``mine``, ``node`` (a hash of the set of shingles), the fingerprint's words and ``bands``."""
-    names = [mine + w for w in _words(width)]
-    schema = StructType([*docs.schema.fields, *(StructField(x, LongType()) for x in [f"{mine}node", *names]), StructField(f"{mine}bands", ArrayType(LongType()))])
+#: What orders the rows of a node and tells them apart: has it no id, the id, a hash of all columns.
+RANK = ("none", "id", "row")
+
+
+def _ranked(docs: DataFrame, mine: str = "") -> list:
+    """The columns of ``RANK``, none of them ever null, under names that begin with ``mine``."""
+    row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns if docs.schema[c].dataType.typeName() not in ("map", "variant")))
+    own = (F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), row)
+    return [column.alias(mine + name) for column, name in zip(own, RANK, strict=True)]
+
+
+def _marked(docs: DataFrame, words: int, width: int) -> DataFrame:
+    """One row per document, without its text: ``RANK``, ``node`` (a hash of the set of shingles), the fingerprint's words and ``bands``."""
+    names = _words(width)
+    schema = "none boolean, id long, row long, node long, " + ", ".join(f"{x} long" for x in names) + ", bands array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.chunks(batch, "text"):
                 node, prints, keys = [], [], []
                 for t in part.column("text").to_pylist():
-                    h = shingles((t or "").encode("utf-8", "surrogatepass"), words)
+                    h = shingles(t, words)
                     own = np.unique(h)
                     node.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                     prints.append(_majority(h, width))
@@ -296,9 +306,15 @@ def _marked(docs: DataFrame, words: int, width: int, mine: str) -> DataFrame:
                 flat = pa.array(np.concatenate(keys).view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), flat)
                 words_of = np.stack(prints).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.array(node, np.uint64).view(np.int64)), *(pa.array(np.ascontiguousarray(c)) for c in words_of.T), lists], names=[*part.schema.names, f"{mine}node", *names, f"{mine}bands"])
+                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in RANK), pa.array(np.array(node, np.uint64).view(np.int64)), *(pa.array(np.ascontiguousarray(c)) for c in words_of.T), lists], names=[*RANK, "node", *names, "bands"])
+
+    return docs.select(*_ranked(docs), common.text_bytes().alias("text")).mapInArrow(run, schema)
 
-    return docs.mapInArrow(run, schema)
+
+def _rows_of(docs: DataFrame, columns: list[str], named: DataFrame, mine: str) -> DataFrame:
+    """``columns`` of the rows of ``docs`` that ``named`` names by ``mine`` + ``RANK``, and its columns; of equal rows one. The key is a row's own, so copies of a text don't meet in one task."""
+    keys = [mine + x for x in RANK]
+    return docs.select(*(F.col(f"`{x}`") for x in columns), *_ranked(docs, mine)).join(named, keys).dropDuplicates(keys)
 
 
 def _similar_roots(sets: list[np.ndarray]) -> np.ndarray:
@@ -360,26 +376,24 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, covering: Covering | N
     smallest id stays, one without an id only where none has one; rows that tie are ordered by a hash
     of all their columns, and of equal rows one stays. Null and empty texts, and texts without words, are one group; a shorter
     text is one shingle. Two texts under one id are two documents. An empty table gives an empty table.
+    ``docs`` is read three times and must read alike each time.
     """
     width = covering.width if covering else 4
     mine = common.prefix(docs)
     names = _words(width)
-    marked = common.stored(_marked(docs, words, width, mine), "marked")
-    row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns if docs.schema[c].dataType.typeName() not in ("map", "variant")))
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), row.alias("row"))
-    nodes = common.stored(marked.groupBy(F.col(f"{mine}node").alias("node")).agg(F.min(rank).alias("best"), *(F.first(f"{mine}{x}").alias(x) for x in names), F.first(f"{mine}bands").alias("bands")), "nodes")
+    best = [F.col(f"best.{x}").alias(mine + x) for x in RANK]
+    marked = common.stored(_marked(docs, words, width), "marked")
+    nodes = common.stored(marked.groupBy("node").agg(F.min(F.struct(*RANK)).alias("best"), *(F.first(x).alias(x) for x in (*names, "bands"))), "nodes")
     met = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     # the first node of each band's key, written, so that a key with many nodes is a skewed key that adaptive execution splits
     heads = common.stored(met.groupBy("band", "key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "bands")
     shared = met.join(heads, ["band", "key"]).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
     groups = common.stored(connected_components(links(nodes, covering or nominating(nodes.count())).unionByName(shared)).select("node", F.col("root").alias("group")), "nominated")
-    texts = marked.select(F.col(f"{mine}node").alias("node"), "text").join(groups, "node").dropDuplicates(["node"])
+    texts = _rows_of(docs, ["text"], nodes.join(groups, "node").select("node", "group", *best), mine)
     roots = connected_components(verified_links(texts, words))
     owned = common.stored(nodes.select("node", "best").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "owned")
-    # the best row of each group: its node and rank name it
-    kept = common.stored(owned.groupBy("root").agg(F.min(F.struct("best", "node")).alias("k")).select(F.col("k.node").alias(f"{mine}node"), F.col("k.best").alias(f"{mine}best")), "kept")
-    best = marked.join(kept, f"{mine}node").where(rank.eqNullSafe(F.col(f"{mine}best")))
-    return best.dropDuplicates([f"{mine}node"]).select(*(F.col(f"`{x}`") for x in docs.columns))
+    kept = common.stored(owned.groupBy("root").agg(F.min("best").alias("best")).select(*best), "kept")
+    return _rows_of(docs, docs.columns, kept, mine).drop(*(mine + x for x in RANK))
 
 
 def hex64(column):
