@@ -362,11 +362,13 @@ def verified_links(texts: DataFrame, words: int) -> DataFrame:
         return pa.table({"a": pa.array(node[other]), "b": pa.array(node[root[other]])})
 
     found = common.stored(texts.select("group", "node", "text").mapInArrow(sets, "group long, node long, own binary").where("length(own) > 0"), "shingles")
-    blocks = found.groupBy("group").agg(F.ceil(F.sum(F.length("own")) / BLOCK_BYTES).cast("int").alias("n"))
-    dealt = found.join(blocks, "group").withColumn("mine", F.pmod(F.xxhash64("node", F.lit(1)), F.col("n")).cast("int"))
+    # written, as only groups of several blocks are in it: its size is known when the join is planned
+    blocks = common.stored(found.groupBy("group").agg(F.ceil(F.sum(F.length("own")) / BLOCK_BYTES).cast("int").alias("n")).where("n > 1"), "blocks")
+    dealt = found.join(blocks, "group", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("node", F.lit(1)), F.col("n")).cast("int"))
     others = F.when(F.col("n") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: i != F.col("mine")))
     paired = dealt.withColumn("other", F.explode(others)).select("group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "own")
-    return paired.groupBy("group", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    # dealt by all three: a join by group alone would leave all pieces of a group in its task
+    return paired.repartition("group", "i", "j").groupBy("group", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, covering: Covering | None = None) -> DataFrame:

@@ -152,6 +152,25 @@ def test_a_group_over_many_blocks_links_as_all_pairs_do(spark, monkeypatch):
     assert got == {(2 * i, 2 * i + 1) for i in range(12)}
 
 
+def test_pieces_of_one_group_are_dealt_to_many_tasks(spark, monkeypatch):
+    """One group of many blocks, whether its block count is joined by broadcast or by a shuffle."""
+    monkeypatch.setattr(S, "BLOCK_BYTES", 2000)
+    rng = random.Random(9)
+    table = spark.createDataFrame([(0, i, t) for i, t in enumerate(t for _ in range(12) for t in pair_at(rng, 45, 40))], "group long, node long, text string")
+    for threshold in ("10MB", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            found = S.verified_links(table, 5)
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            got = {tuple(sorted(map(int, r))) for r in found.collect()}
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert got == {(2 * i, 2 * i + 1) for i in range(12)}
+        pieces = plan[plan.index("FlatMapGroupsInArrow") :]
+        dealt = next(line for line in pieces.splitlines() if "Exchange hashpartitioning" in line)
+        assert "i#" in dealt and "j#" in dealt, plan
+
+
 def test_a_repeated_id_loses_only_its_near_copy(spark):
     rng = random.Random(3)
     a, b = pair_at(rng, 45, 44)
