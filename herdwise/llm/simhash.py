@@ -265,6 +265,8 @@ def nominating(n: int) -> Covering:
 BANDS, ROWS = 32, 6
 #: Exact similarity is worked out in groups of two blocks of about so many bytes of shingles.
 BLOCK_BYTES = 8 << 20
+#: ... and of about so many rows, as a piece costs up to the square of its rows; for their sake alone a group is cut into at most so many blocks, each of which is sent once for every other one.
+BLOCK_ROWS, ROW_BLOCKS = 256, 6
 _RNG = np.random.default_rng(SEED)
 _MUL, _ADD, _MIX = (_RNG.integers(0, 1 << 64, n, dtype=np.uint64) | np.uint64(1) for n in (BANDS * ROWS, BANDS * ROWS, ROWS))
 
@@ -345,7 +347,7 @@ def _similar_roots(sets: list[np.ndarray]) -> np.ndarray:
 def verified_links(texts: DataFrame, words: int) -> DataFrame:
     """Edges ``a, b`` that connect what all pairs of a similarity of 0.8 or more would, from ``group, node, text``: one row per node, pairs within a group only.
 
-    Groups are cut into blocks and every two blocks are compared as one piece of bounded size, so a large group is many tasks.
+    Groups are cut into blocks, by their bytes and by their rows, and every two blocks are compared as one piece of bounded size, so a large group is many tasks. (Two blocks are one piece.)
     """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,7 +365,8 @@ def verified_links(texts: DataFrame, words: int) -> DataFrame:
 
     found = common.stored(texts.select("group", "node", "text").mapInArrow(sets, "group long, node long, own binary").where("length(own) > 0"), "shingles")
     # written, as only groups of several blocks are in it: its size is known when the join is planned
-    blocks = common.stored(found.groupBy("group").agg(F.ceil(F.sum(F.length("own")) / BLOCK_BYTES).cast("int").alias("n")).where("n > 1"), "blocks")
+    by_bytes, by_rows = F.ceil(F.sum(F.length("own")) / BLOCK_BYTES), F.least(F.lit(ROW_BLOCKS), F.ceil(F.count("*") / BLOCK_ROWS))
+    blocks = common.stored(found.groupBy("group").agg(F.greatest(by_bytes, by_rows).cast("int").alias("n")).where("n > 1"), "blocks")
     dealt = found.join(blocks, "group", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("node", F.lit(1)), F.col("n")).cast("int"))
     others = F.when(F.col("n") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: i != F.col("mine")))
     paired = dealt.withColumn("other", F.explode(others)).select("group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "own")

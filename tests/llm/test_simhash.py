@@ -171,6 +171,20 @@ def test_pieces_of_one_group_are_dealt_to_many_tasks(spark, monkeypatch):
         assert "i#" in dealt and "j#" in dealt, plan
 
 
+def test_a_group_of_many_short_rows_is_many_pieces(spark, monkeypatch):
+    """Far below the bytes of a block: the rows decide, up to their limit of blocks, and links stay those of all pairs."""
+    written, keep = {}, S.common.stored
+    monkeypatch.setattr(S.common, "stored", lambda df, name: written.setdefault(name, keep(df, name)))
+    rng = random.Random(10)
+    table = spark.createDataFrame([(g, 100 * g + i, t) for g in (0, 1) for i, t in enumerate(t for _ in range(12) for t in pair_at(rng, 45, 40))] + [(2, 200 + i, t) for i, t in enumerate(pair_at(rng, 45, 40))], "group long, node long, text string")
+    want = {(100 * g + 2 * i, 100 * g + 2 * i + 1) for g in (0, 1) for i in range(12)} | {(200, 201)}
+    for rows, n in ((10, 3), (2, S.ROW_BLOCKS)):
+        monkeypatch.setattr(S, "BLOCK_ROWS", rows)
+        written.clear()
+        assert {tuple(sorted(map(int, r))) for r in S.verified_links(table, 5).collect()} == want
+        assert {r["group"]: r["n"] for r in written["blocks"].collect()} == {0: n, 1: n}
+
+
 def test_a_repeated_id_loses_only_its_near_copy(spark):
     rng = random.Random(3)
     a, b = pair_at(rng, 45, 44)
