@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fingerprints, language, mixing, repeats, secrets, simhash, token_counts, toxicity
+from . import chat, decontaminate, fingerprints, jaccard, language, mixing, repeats, secrets, simhash, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_mix_sources": mixing.op10_mix_sources,
+        "op11_jaccard_join": jaccard.op11_jaccard_join,
     }
 
 
