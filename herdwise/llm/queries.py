@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, fingerprints, jaccard, language, mixing, repeats, secrets, simhash, token_counts, toxicity
+from . import alignment, chat, decontaminate, fingerprints, jaccard, language, merkle, mixing, repeats, secrets, simhash, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -18,6 +18,8 @@ def queries() -> dict:
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_mix_sources": mixing.op10_mix_sources,
         "op11_jaccard_join": jaccard.op11_jaccard_join,
+        "op12_merkle_manifest": merkle.op12_merkle_manifest,
+        "op13_token_alignment": alignment.op13_token_alignment,
     }
 
 
