@@ -41,6 +41,13 @@ def pixels(spark: SparkSession, sf: str) -> DataFrame:
     return at.select("category", "image_id", F.floor(F.col("pos") / 8).cast("int").alias("y"), (F.col("pos") % 8).alias("x"), F.col("z.e").alias("score"), (F.col("z.e2") > 0.15).cast("int").alias("mask"))
 
 
+def maps(spark: SparkSession, sf: str) -> DataFrame:
+    """``pixels`` as they are packed, a row per image: ``category, image_id, map, mask``."""
+    e = _embeddings(spark, sf)
+    after = e.select((F.col("image_id") - 1).alias("image_id"), F.col("e").alias("e2"))
+    return e.join(after, "image_id").select("category", "image_id", F.col("e").alias("map"), F.transform("e2", lambda v: (v > 0.15).cast("int")).alias("mask"))
+
+
 def image_scores(spark: SparkSession, sf: str) -> DataFrame:
     e = _embeddings(spark, sf)
     return e.select("category", "image_id", F.array_max("e").alias("score"), (F.col("image_id") % 4 == 0).cast("int").alias("is_anomaly"))

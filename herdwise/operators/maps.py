@@ -32,3 +32,21 @@ def heat_levels(pixels: DataFrame, by: list[str], mode: str = "single_norm") ->
         met = pixels.withColumn("__lo", F.lit(lo).cast("double")).withColumn("__hi", F.lit(hi).cast("double"))
     span = F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))
     return met.withColumn("level", F.floor((F.col("score") - F.col("__lo")) / span * 255).cast("int")).drop("__lo", "__hi")
+
+
+def binary_mask_packed(maps: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """``binary_mask`` of packed maps: adds ``binary``, an array beside ``map``. No shuffle, no row per pixel."""
+    ends = maps.withColumn("__lo", F.array_min("map")).withColumn("__hi", F.array_max("map"))
+    over = F.expr(f"transform(map, v -> if((v - __lo) / (__hi - __lo + 1e-10D) > {float(threshold)}D, 255, 0))")
+    return ends.withColumn("binary", over).drop("__lo", "__hi")
+
+
+def heat_levels_packed(maps: DataFrame, mode: str = "single_norm") -> DataFrame:
+    """``heat_levels`` of packed maps: adds ``level``, an array beside ``map``."""
+    if mode == "single_norm":
+        met = maps.withColumn("__lo", F.array_min("map")).withColumn("__hi", F.array_max("map"))
+    else:  # one number each for the lowest and the highest pixel
+        lo, hi = maps.agg(F.min(F.array_min("map")), F.max(F.array_max("map"))).first()
+        met = maps.withColumn("__lo", F.lit(lo).cast("double")).withColumn("__hi", F.lit(hi).cast("double"))
+    levels = F.expr("transform(map, v -> cast(floor((v - __lo) / nullif(__hi - __lo, 0.0D) * 255) as int))")
+    return met.withColumn("level", levels).drop("__lo", "__hi")

@@ -99,3 +99,96 @@ def test_masks_and_levels(spark):
     levels = maps.heat_levels(px, ["image_id"]).agg(F.min("level"), F.max("level")).first()
     assert tuple(levels) == (0, 255)
     assert maps.heat_levels(px, ["image_id"], "whole_norm").agg(F.max("level")).first()[0] == 255
+
+
+def packed(spark, images):
+    """images: (category, image_id, score grid, mask grid)."""
+    rows = [(c, i, score.ravel().astype(float).tolist(), mask.ravel().astype(int).tolist()) for c, i, score, mask in images]
+    return spark.createDataFrame(rows, "category string, image_id long, map array<double>, mask array<int>")
+
+
+def some_images(n=6, side=12, ties=True, seed=0):
+    rng = np.random.default_rng(seed)
+    draw = (lambda: rng.integers(0, 9, (side, side)) / 4) if ties else (lambda: rng.random((side, side)))
+    return [(c, i, draw(), (rng.random((side, side)) > 0.8) * (c != "clean")) for c in ("a", "b", "clean") for i in range(n)]
+
+
+@pytest.mark.parametrize("ties", [True, False])
+@pytest.mark.parametrize("per_range", [1 << 20, 100])
+def test_packed_metrics_equal_those_of_rows(spark, ties, per_range):
+    images = some_images(ties=ties)
+    rows = spark.createDataFrame([(c, i, y, x, float(s[y, x]), int(m[y, x])) for c, i, s, m in images for y in range(12) for x in range(12)], "category string, image_id long, y int, x int, score double, mask int")
+    maps_ = packed(spark, images)
+    want = {r["category"]: r.asDict() for r in metrics.ranking_metrics(rows, ["category"], "score", "mask").collect()}
+    got = {r["category"]: r.asDict() for r in metrics.ranking_packed(maps_, ["category"], per_range).collect()}
+    assert got.keys() == want.keys() and len(got) == 3
+    for c, r in want.items():
+        assert got[c] == {k: v if v is None or isinstance(v, str) else pytest.approx(v) for k, v in r.items()}
+    curve = lambda df: {(r["category"], r["step"]): (r["threshold"], r["overlap"], r["fpr"]) for r in df.collect()}
+    by_rows, by_maps = curve(metrics.region_overlap_curve(rows, ["category"], ["image_id"])), curve(metrics.overlap_curve_packed(maps_, ["category"]))
+    assert by_rows == {k: pytest.approx(v) for k, v in by_maps.items()}
+    both = [sorted(map(tuple, x.collect())) for x in (metrics.pixel_metrics(rows, ["category"], ["image_id"]), metrics.pixel_metrics_packed(maps_, ["category"]))]
+    assert [r[0] for r in both[0]] == [r[0] for r in both[1]] and all(a[1:] == pytest.approx(b[1:]) for a, b in zip(*both, strict=True))
+
+
+def test_packed_metrics_of_odd_maps(spark):
+    empty = packed(spark, [])
+    assert metrics.ranking_packed(empty, ["category"]).count() == 0
+    one = np.ones((2, 2))
+    r = metrics.ranking_packed(packed(spark, [("a", 1, one, one), ("a", 2, one * 2, one)]), ["category"]).first()
+    assert (r["n1"], r["n0"], r["auroc"], r["ap"], r["f1"]) == (8, 0, None, 1.0, 1.0)
+    assert metrics.pixel_metrics_packed(packed(spark, [("a", 1, one, one * 0)]), ["category"]).first()["ap_px"] == 0.0
+
+
+def slow_regions(mask):
+    """By flooding from every pixel in turn."""
+    out = np.full(mask.shape, -1)
+    for y, x in zip(*np.nonzero(mask), strict=True):
+        if out[y, x] < 0:
+            todo = [(y, x)]
+            out[y, x] = y * mask.shape[1] + x
+            while todo:
+                a, b = todo.pop()
+                for c in range(max(0, a - 1), min(mask.shape[0], a + 2)):
+                    for d in range(max(0, b - 1), min(mask.shape[1], b + 2)):
+                        if mask[c, d] and out[c, d] < 0:
+                            out[c, d] = y * mask.shape[1] + x
+                            todo.append((c, d))
+    return out
+
+
+def spiral(n):
+    m, y, x, dy, dx = np.zeros((n, n), bool), 0, 0, 0, 1
+    m[0, 0] = True
+    for step in range(n * n):
+        a, b, c, d = y + dy, x + dx, y + 2 * dy, x + 2 * dx
+        if not (0 <= a < n and 0 <= b < n) or (0 <= c < n and 0 <= d < n and m[c, d]):
+            dy, dx = dx, -dy
+            if step and m[min(n - 1, max(0, y + dy)), min(n - 1, max(0, x + dx))]:
+                break
+            continue
+        y, x = a, b
+        m[y, x] = True
+    return m
+
+
+@pytest.mark.parametrize("mask", [spiral(31), spiral(64), np.ones((5, 9), bool), np.zeros((3, 4), bool), np.eye(7, dtype=bool), np.eye(7, dtype=bool)[::-1], np.indices((8, 8)).sum(0) % 2 == 0, np.array([[1, 0, 1, 0, 1]], bool), np.array([[1], [0], [1]], bool)])
+def test_regions_of_shapes(mask):
+    assert (metrics._regions(mask) == slow_regions(mask)).all()
+
+
+@pytest.mark.parametrize("share", [0.1, 0.35, 0.45, 0.6])
+def test_regions_of_noise(share):
+    mask = np.random.default_rng(int(share * 100)).random((40, 53)) < share
+    assert (metrics._regions(mask) == slow_regions(mask)).all()
+
+
+@pytest.mark.parametrize("tile", [2, 3, 7, 100])
+def test_regions_over_tiles(spark, tile):
+    rng = np.random.default_rng(9)
+    grids = [spiral(15), rng.random((9, 14)) < 0.5, np.eye(11, dtype=bool)[::-1], np.zeros((4, 4), bool)]
+    rows = [(i, y, x, int(g[y, x])) for i, g in enumerate(grids) for y in range(g.shape[0]) for x in range(g.shape[1])]
+    got = metrics.label_regions(spark.createDataFrame(rows, "image_id long, y int, x int, mask int"), ["image_id"], tile)
+    want = {(i, int(y), int(x)): int(slow_regions(g)[y, x]) for i, g in enumerate(grids) for y, x in zip(*np.nonzero(g), strict=True)}
+    assert {(r["image_id"], r["y"], r["x"]): r["region"] for r in got.collect()} == want
+    assert got.schema["region"].dataType.simpleString() == "int"
