@@ -49,7 +49,7 @@ def mutual(spark: SparkSession, sf: str, layers: tuple[int, ...] = (0,)) -> Data
 
 def training_pairs(spark: SparkSession, sf: str) -> DataFrame:
     r1, r2 = ref_patches(spark, sf, 1), ref_patches(spark, sf, 2)
-    return neighbors.fuser_training_pairs(neighbors.patch_to_reference_min(r1, r1, KEYS), neighbors.patch_to_reference_min(r2, r2, KEYS), KEYS)
+    return neighbors.fuser_training_pairs(r1, r2, KEYS)
 
 
 def backbone_means(spark: SparkSession, sf: str) -> DataFrame:
@@ -310,7 +310,7 @@ def q_pixel_metrics(spark, sf):
 
 
 def q_evaluate(spark, sf):
-    return r6(pipelines.evaluate(fx.image_scores(spark, sf), fx.pixels(spark, sf)), *sinks.REPORT_COLUMNS[1:])
+    return r6(pipelines.evaluate_packed(fx.image_scores(spark, sf), scratch.stored(fx.maps(spark, sf), "maps")), *sinks.REPORT_COLUMNS[1:])
 
 
 def q_category_report(spark, sf):

@@ -46,10 +46,19 @@ def unfold_patches(patches: DataFrame, r: int, keys: list[str], side: int, strid
     return at.where(fits).select(*keys, F.floor(oy / stride).cast("int").alias("oy"), F.floor(ox / stride).cast("int").alias("ox"), "dy", "dx", "feat")
 
 
-def pack_images(patches: DataFrame, keys: list[str]) -> DataFrame:
-    """One row per image and layer: ``patch_ids`` and ``flat``, the vectors end to end in patch order. One image's grid is a bounded group."""
-    rows = F.sort_array(F.collect_list(F.struct("patch_id", "feat")))
-    return patches.groupBy(*keys).agg(rows.alias("__p")).select(*keys, F.col("__p.patch_id").alias("patch_ids"), F.flatten(F.col("__p.feat")).alias("flat"))
+def pack_images(patches: DataFrame | list[DataFrame], keys: list[str]) -> DataFrame:
+    """One row per image and layer: ``patch_ids``, ``flat``, the vectors end to end in patch order, and ``n``, how many numbers that is. One image's grid is a bounded group.
+
+    Of two backbones' tables the vectors are ``flat1`` and ``flat2``, of the images that both have; still one shuffle.
+    """
+    if isinstance(patches, DataFrame):
+        rows = F.sort_array(F.collect_list(F.struct("patch_id", "feat")))
+        return patches.groupBy(*keys).agg(rows.alias("__p")).select(*keys, F.col("__p.patch_id").alias("patch_ids"), F.flatten(F.col("__p.feat")).alias("flat")).withColumn("n", F.size("flat").cast("long"))
+    both = [p.select(*keys, F.lit(i).alias("__b"), F.col("patch_id").cast("int").alias("patch_id"), F.col("feat").cast("array<double>").alias("feat")) for i, p in enumerate(patches)]
+    packed = both[0].unionByName(both[1]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__b", "patch_id", "feat"))).alias("__p"))
+    own = [F.expr(f"filter(__p, x -> x.__b = {i})") for i in range(2)]
+    flat = packed.select(*keys, F.transform(own[0], lambda x: x["patch_id"]).alias("patch_ids"), *(F.flatten(F.transform(o, lambda x: x["feat"])).alias(f"flat{i + 1}") for i, o in enumerate(own)))
+    return flat.where("size(flat1) > 0 and size(flat2) > 0").withColumn("n", (F.size("flat1") + F.size("flat2")).cast("long"))
 
 
 def unpack_images(packed: DataFrame, keys: list[str]) -> DataFrame:
@@ -113,27 +122,33 @@ def aggregate_grid(x: np.ndarray, r: int, out_dim: int, normalize: bool, side_ou
     return out / np.linalg.norm(out, axis=1, keepdims=True) if normalize else out
 
 
-def local_aggregate_multi(patches: DataFrame, r_list: list[int], keys: list[str], out_dim: int | None = None, normalize: bool = True, side: int | None = None) -> DataFrame:
-    """Aggregated vectors at every degree of ``r_list`` in one job: ``keys..., degree, patch_id, gy, gx, feat``.
+def aggregate_packed(packed: DataFrame, r_list: list[int], keys: list[str], out_dim: int | None = None, normalize: bool = True, side: int | None = None) -> DataFrame:
+    """Packed rows at every degree of ``r_list``: ``keys..., degree, patch_ids, flat..., n``. No shuffle.
 
     ``keys`` name an image and layer. ``side`` is the grid of the first layer, to which layers of
-    another grid are resampled. A zero vector normalises to NaN. One shuffle, to bring an image's patches together.
+    another grid are resampled. Each backbone keeps its width unless ``out_dim`` is given. A zero vector normalises to NaN.
     """
-    packed = pack_images(patches, keys)
-    schema = ", ".join([*(f"`{k}` {patches.schema[k].dataType.simpleString()}" for k in keys), "degree int", "patch_ids array<int>", "flat array<double>"])
+    flats = [c for c in packed.columns if c.startswith("flat") and c not in keys]
+    schema = ", ".join([*(f"`{k}` {packed.schema[k].dataType.simpleString()}" for k in keys), "degree int", "patch_ids array<int>", *(f"{c} array<double>" for c in flats), "n long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 n = len(row.column("patch_ids")[0])
-                x = np.asarray(row.column("flat").flatten()).reshape(n, -1)
+                grids = [np.asarray(row.column(c).flatten()).reshape(n, -1) for c in flats]
                 for r in r_list:
                     with np.errstate(invalid="ignore", divide="ignore"):
-                        z = aggregate_grid(x, r, out_dim or x.shape[1], normalize, side)
-                    yield pa.RecordBatch.from_arrays([*(row.column(k) for k in keys), pa.array([r], pa.int32()), pa.array([np.arange(len(z), dtype=np.int32)], pa.list_(pa.int32())), pa.array([z.ravel()], pa.list_(pa.float64()))], names=[*keys, "degree", "patch_ids", "flat"])
+                        z = [aggregate_grid(x, r, out_dim or x.shape[1], normalize, side) for x in grids]
+                    lists = [pa.array([np.arange(len(z[0]), dtype=np.int32)], pa.list_(pa.int32())), *(pa.array([x.ravel()], pa.list_(pa.float64())) for x in z)]
+                    yield pa.RecordBatch.from_arrays([*(row.column(k) for k in keys), pa.array([r], pa.int32()), *lists, pa.array([sum(x.size for x in z)], pa.int64())], names=[*keys, "degree", "patch_ids", *flats, "n"])
 
-    return unpack_images(packed.mapInArrow(run, schema), [*keys, "degree"])
+    return packed.select(*keys, "patch_ids", *flats).mapInArrow(run, schema)
+
+
+def local_aggregate_multi(patches: DataFrame, r_list: list[int], keys: list[str], out_dim: int | None = None, normalize: bool = True, side: int | None = None) -> DataFrame:
+    """Aggregated vectors at every degree of ``r_list`` in one job: ``keys..., degree, patch_id, gy, gx, feat``. One shuffle, to bring an image's patches together."""
+    return unpack_images(aggregate_packed(pack_images(patches, keys), r_list, keys, out_dim, normalize, side), [*keys, "degree"])
 
 
 def local_aggregate(patches: DataFrame, r: int, keys: list[str], out_dim: int | None = None, normalize: bool = True, side: int | None = None) -> DataFrame:
@@ -158,14 +173,28 @@ def _resized(df: DataFrame, keys: list[str], side: int, sources: list[tuple[int,
 
 
 def resample_grid(patches: DataFrame, in_side: int, out_side: int, keys: list[str]) -> DataFrame:
-    """Bilinear resampling of vectors onto another grid, half-pixel centres: ``keys..., y, x, feat``."""
+    """Bilinear resampling of vectors onto another grid, half-pixel centres: ``keys..., y, x, feat``.
 
-    def weighted(met: DataFrame, by: list[str]) -> DataFrame:
-        each = met.select(*by, (F.col("wy") * F.col("wx")).alias("w"), F.posexplode("feat").alias("c", "v"))
-        sums = each.groupBy(*by, "c").agg(F.sum(F.col("w") * F.col("v")).alias("v"))
-        return sums.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "v"))), lambda s: s["v"]).alias("feat"))
+    One shuffle packs an image's grid; two small matrices resample it there. Missing cells count as zero, and an output cell with no cell of its own under it is left out.
+    """
+    grid = patches.groupBy(*keys).agg(F.collect_list(F.struct(F.col("gy").cast("int").alias("gy"), F.col("gx").cast("int").alias("gx"), F.col("feat").cast("array<double>").alias("feat"))).alias("__p"))
+    packed = grid.select(*keys, F.col("__p.gy").alias("gy"), F.col("__p.gx").alias("gx"), F.flatten(F.col("__p.feat")).alias("flat"))
+    schema = ", ".join([*(f"`{k}` {patches.schema[k].dataType.simpleString()}" for k in keys), "y int, x int, feat array<double>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = _weights(in_side, half_pixel_sources(in_side, out_side))
+        for batch in batches:
+            for i in range(batch.num_rows):
+                gy, gx, flat = (np.asarray(batch.column(c)[i].values) for c in ("gy", "gx", "flat"))
+                cells = np.zeros((in_side, in_side, len(flat) // len(gy)))
+                there = np.zeros((in_side, in_side))
+                cells[gy, gx], there[gy, gx] = flat.reshape(len(gy), -1), 1.0
+                out = np.einsum("yg,gkc,xk->yxc", a, cells, a, optimize=True)
+                y, x = np.nonzero(a @ there @ a.T)
+                ends = pa.array(np.arange(len(y) + 1, dtype=np.int32) * cells.shape[2])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(np.full(len(y), i))) for k in keys), pa.array(y, pa.int32()), pa.array(x, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(out[y, x].ravel()))], names=[*keys, "y", "x", "feat"])
 
-    return _resized(patches, keys, in_side, half_pixel_sources(in_side, out_side), weighted)
+    return packed.mapInArrow(run, schema)
 
 
 def corner_sources(side: int, size: int) -> list[tuple[int, float]]:
@@ -201,6 +230,32 @@ def upsample_packed(scores: DataFrame, size: int, keys: list[str]) -> DataFrame:
     return packed.mapInArrow(run, schema)
 
 
+def upsample_scores(scores: DataFrame, size: int, keys: list[str], parts: list[str]) -> DataFrame:
+    """``keys..., map, peak`` from ``keys..., parts..., patch_ids, score``, arrays per image: the mean over the last column of ``parts``, then over the one before, and so on, as a map of ``size`` x ``size`` and its largest pixel.
+
+    An image's few arrays meet in one row (a hash shuffle of scores, no row per patch or pixel).
+    """
+    packed = scores.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*parts, "score"))).alias("__s"))
+    schema = ", ".join([*(f"`{k}` {scores.schema[k].dataType.simpleString()}" for k in keys), "map array<double>", "peak double"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                each = {tuple(x[p].as_py() for p in parts): np.asarray(x["score"].values) for x in batch.column("__s")[i].values}
+                while len(next(iter(each))):
+                    groups: dict[tuple, list] = {}
+                    for at, v in each.items():
+                        groups.setdefault(at[:-1], []).append(v)
+                    each = {at: sum(v[1:], v[0]) / len(v) for at, v in groups.items()}
+                s = each[()]
+                side = int(np.sqrt(len(s)))
+                a = _weights(side, corner_sources(side, size))
+                full = (a @ s.reshape(side, side) @ a.T).ravel()
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, 1) for k in keys), pa.array([full], pa.list_(pa.float64())), pa.array([full.max()])], names=[*keys, "map", "peak"])
+
+    return packed.mapInArrow(run, schema)
+
+
 def map_pixels(maps: DataFrame, size: int, keys: list[str]) -> DataFrame:
     """A row per pixel of packed maps: ``keys..., y, x, score``."""
     at = maps.select(*keys, F.posexplode("map").alias("__p", "score"))

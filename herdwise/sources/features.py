@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,27 +18,38 @@ PREFIXES = {"mvtec": "mvtec_ad_", "visa": "visa_"}
 STORE_SCHEMA = "image_id long, vec array<double>, dataset string, category string"
 
 
+def _lists(values: pa.Array, each: int, n: int) -> pa.ListArray:
+    """``n`` lists of ``each`` neighbouring values, on the same buffer."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * each), values)
+
+
 def extract(images: DataFrame, make_extractor: Callable[[], Extractor], layers: list[int], input_col: str, id_cols: list[str], backbone: int = 1, batch: int = 64) -> DataFrame:
     """One row per image: the id columns, ``backbone``, ``tokens`` (its patch vectors at the chosen layers) and ``vec``, its image vector (null without one).
 
     ``make_extractor`` is called once per task, so a model is loaded once; images are handed over
-    ``batch`` at a time and leave one by one. Store the result: the patch and vector tables both come
+    ``batch`` at a time and leave one by one, as lists on the model's own numbers (as doubles). Store the result: the patch and vector tables both come
     from it, and everything later restarts there.
     """
     schema = ", ".join([*(f"`{c}` {images.schema[c].dataType.simpleString()}" for c in id_cols), "backbone int", "tokens array<struct<layer:int,patches:array<array<double>>>>", "vec array<double>"])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tokens(own: list[np.ndarray]) -> pa.ListArray:
+        """One image's layers as one list."""
+        patches = [_lists(pa.array(np.asarray(x, np.float64).ravel()), x.shape[1], x.shape[0]) for x in own]
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int32)
+        by_layer = pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(patches) if patches else pa.array([], pa.list_(pa.float64())))
+        return _lists(pa.StructArray.from_arrays([pa.array(layers, pa.int32()), by_layer], names=["layer", "patches"]), len(layers), 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make_extractor()
-        for frame in frames:
-            for at in range(0, len(frame), batch):
-                part = frame.iloc[at : at + batch]
-                got = model(list(part[input_col]))
-                for i in range(len(part)):
-                    tokens = [{"layer": layer, "patches": got[layer][i].astype(float).tolist()} for layer in layers]
-                    vec = got[IMAGE][i].astype(float).tolist() if IMAGE in got else None
-                    yield part.iloc[[i]][id_cols].assign(backbone=backbone, tokens=[tokens], vec=[vec])
-
-    return images.select(*id_cols, input_col).mapInPandas(run, schema)
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch):
+                part = whole.slice(at, batch)
+                got = model(part.column(input_col).to_pylist())
+                for i in range(part.num_rows):
+                    vec = pa.array([np.asarray(got[IMAGE][i], np.float64) if IMAGE in got else None], pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([*(part.column(c).slice(i, 1) for c in id_cols), pa.array([backbone], pa.int32()), tokens([np.asarray(got[layer][i]) for layer in layers]), vec], names=[*id_cols, "backbone", "tokens", "vec"])
+
+    return images.select(*id_cols, input_col).mapInArrow(run, schema)
 
 
 def patch_features(extracted: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stage(spark: SparkSession, folder: str | None, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A stage of a long job: ``stored``, or, with a ``folder``, written there once under its name and only read by whoever runs the job again.
+
+    The folder is the caller's to choose, one for each job and its input, and to delete.
+    """
+    if not folder:
+        return stored(make(), name)
+    path = f"{folder}/{name}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def mark() -> int:
     """A point in time for ``release``."""
     return len(_WRITTEN.paths)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from herdwise.jobs import pipelines
-from herdwise.operators import graph, metrics
+from herdwise.operators import graph, local, maps, metrics, scoring
 from herdwise.sources import features, images, scratch, sinks
 
 
@@ -117,6 +117,75 @@ def test_scores_of_both_detectors_are_smoothed_over_the_image_graph(spark):
     assert run(v, k_list=[0]) == pytest.approx(plain) and run(v) != pytest.approx(plain)
 
 
+def test_a_restarted_detector_reads_what_is_finished(spark, tmp_path):
+    p = planted(spark)
+    at = f"{tmp_path}/job"
+    run = lambda rows: {(r["category"], r["image_id"]): r["score"] for r in pipelines.pipeline_fused(rows.where("backbone = 1"), rows.where("backbone = 2"), None, 4, [1], restart=at)[1].collect()}
+    first = run(p)
+    names = {x.name for x in (tmp_path / "job").iterdir()}
+    assert {"aggregated", "first-maps", "pseudo-normal", "references", "weights", "maps"} <= names
+    assert run(p.where("image_id < 0")) == first  # nothing was computed again
+    for name in ("maps", "weights"):  # a driver that failed there
+        (tmp_path / "job" / name / "_SUCCESS").unlink()
+    assert run(p) == pytest.approx(first)
+
+
+def test_features_of_a_fused_detector_are_shuffled_once(spark, tmp_path):
+    p = planted(spark)
+    p.write.parquet(f"{tmp_path}/patches")
+    p = spark.read.parquet(f"{tmp_path}/patches")
+    packed = local.pack_images([p.where("backbone = 1"), p.where("backbone = 2")], ["category", "subset", "layer", "image_id"])
+    z = local.aggregate_packed(packed, [1, 3], ["category", "subset", "layer", "image_id"])
+    plan = z._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("Exchange") == 1
+    z.write.parquet(f"{tmp_path}/z")
+    z = spark.read.parquet(f"{tmp_path}/z")
+    assert z.count() == 2 * 40 and {r["n"] for r in z.select("n").collect()} == {2 * 4 * 6}
+    w = spark.createDataFrame([("a", 0, 0, 1, 0.5, 0.5)], "category string, subset int, layer int, degree int, w1 double, w2 double")
+    fused = scoring.fused_packed(z, z.where("image_id > 15"), w, ["category", "subset", "layer", "degree"], ["category", "subset", "layer", "degree"])
+    plan = fused._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert all("flat" not in line for line in plan.splitlines() if "Exchange" in line)
+
+
+def cut_bytes(shift):
+    """A stand-in for a backbone that reads a file: its first 36 bytes, as patches of four numbers."""
+
+    def extract(contents):
+        x = np.stack([np.roll(np.frombuffer(c[:36], np.uint8).astype(float), shift) for c in contents]).reshape(len(contents), 9, 4)
+        return {0: x, 2: x[:, ::-1], "image": x.mean(1)}
+
+    return lambda: extract
+
+
+def test_from_a_tree_to_a_report(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    masks = []
+    for cat in ("a", "b"):
+        base = rng.integers(60, 200, 36)
+        for i in range(24):
+            kind = "good" if i >= 6 else "broken"
+            x = base + rng.integers(-3, 4, 36)
+            mask = np.zeros((6, 6), int)
+            if kind == "broken":
+                x[12:16] = rng.integers(0, 50, 4)  # the patch in the middle row, left
+                mask[2:4, 0:2] = 1
+            path = tmp_path / "tree" / cat / "test" / kind / f"{i}.png"
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_bytes(x.astype(np.uint8).tobytes())
+            masks.append((f"file:{path}", mask.ravel().tolist()))
+    known = spark.createDataFrame(masks, "path string, mask array<int>")
+    found = pipelines.detect_tree(spark, f"{tmp_path}/tree", (cut_bytes(0), cut_bytes(1)), [0, 2], 6, f"{tmp_path}/report", known, restart=f"{tmp_path}/job", r_list=[1], k_list=[0])
+    assert found.count() == 48 and found.where("is_anomaly = 1").count() == 12
+    report = {r["category"]: r for r in spark.read.option("header", "true").option("inferSchema", "true").csv(f"{tmp_path}/report").collect()}
+    assert set(report) == {"a", "b", "mean"}
+    assert all(r["auroc_sp"] > 95 and 0 < r["ap_px"] <= 100 for r in report.values())
+    packed = found.select("image_id", "map")
+    rows = packed.select("image_id", F.posexplode("map").alias("x", "score")).withColumn("y", F.lit(0))
+    for a, b, c in ((maps.binary_mask_packed(packed), maps.binary_mask(rows, ["image_id"]), "binary"), (maps.heat_levels_packed(packed), maps.heat_levels(rows, ["image_id"]), "level"), (maps.heat_levels_packed(packed, "whole_norm"), maps.heat_levels(rows, ["image_id"], "whole_norm"), "level")):
+        want = {(r["image_id"], r["x"]): r[c] for r in b.collect()}
+        assert {(r["image_id"], i): v for r in a.collect() for i, v in enumerate(r[c])} == want
+
+
 def test_the_entry_point_and_its_names(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).limit(1).count() == 1
