@@ -199,3 +199,50 @@ def manifest(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
 def op12_merkle_manifest(spark, sf_dir: str) -> DataFrame:
     """``manifest`` of all of ``documents``."""
     return manifest(common.read(spark, sf_dir, "documents"))
+
+
+def _sql_field(c: str) -> str:
+    return f"coalesce(strlen(({c})::varchar) || ':' || ({c})::varchar, '-')"
+
+
+def _sql_leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_sql_field(n_chars if c == "n_chars" else c) for c in FIELDS) + ")"
+
+
+#: Levels by recursion; crc32 bit by bit over the digits of the id.
+OP12_SQL = f"""
+with recursive rows_ as (
+  select *, coalesce('+' || lang, '-') as lk, {_sql_leaf("n_chars")} as leaf, xor(4294967295, list_reduce(
+    list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+    lambda a, c: list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end))) as crc from documents),
+d as (
+  select doc_id, lang, lk, leaf, case when crc % {TAMPER_MODULUS} = 0 and n_chars is not null then {_sql_leaf("n_chars + 1")} else leaf end as altered,
+    row_number() over (partition by lk order by doc_id nulls first, leaf) - 1 as pos from rows_),
+n as (
+  select lk, 0 as level, pos, leaf as h, count(*) over (partition by lk) as size from d
+  union all select lk, level + 1, pos // 2, sha256(string_agg(h, '' order by pos)), (any_value(size) + 1) // 2 from n where size > 1 group by lk, level, pos // 2),
+sub as (select lk, level as height, h as subroot from n where size = 1),
+t as (select lk, subroot, row_number() over (order by lang nulls first) - 1 as place from sub join (select distinct lk, lang from d) using (lk)),
+m as (
+  select 0 as level, place as pos, subroot as h, count(*) over () as size from t
+  union all select level + 1, pos // 2, sha256(string_agg(h, '' order by pos)), (any_value(size) + 1) // 2 from m where size > 1 group by level, pos // 2),
+top as (select level as top_height, h as root from m where size = 1),
+proofs as (
+  select lk, pos, sha256(coalesce(string_agg(h, '' order by step), '')) as proof_sha256 from (
+    select x.lk, x.pos, x.level as step, n.h from (select d.lk, pos, unnest(range(height)) as level from d join sub using (lk)) x
+      left join n on n.lk = x.lk and n.level = x.level and n.pos = xor(x.pos // (1 << x.level), 1)
+    union all select x.lk, x.pos, 1000 + x.level, m.h from (select d.lk, pos, place, unnest(range(top_height)) as level from d join t using (lk), top) x
+      left join m on m.level = x.level and m.pos = xor(x.place // (1 << x.level), 1)
+    union all select lk, pos, -1, null from d)
+  group by lk, pos),
+f as (
+  select lk, pos as own, 0 as level, pos as p, altered as h from d
+  union all select f.lk, own, f.level + 1, p // 2, sha256(case when n.h is null then f.h when p % 2 = 0 then f.h || n.h else n.h || f.h end)
+    from f join sub on sub.lk = f.lk and f.level < height left join n on n.lk = f.lk and n.level = f.level and n.pos = xor(p, 1)),
+g as (
+  select f.lk, own, 0 as level, place as p, h from f join sub on sub.lk = f.lk and f.level = height join t on t.lk = f.lk
+  union all select g.lk, own, g.level + 1, p // 2, sha256(case when m.h is null then g.h when p % 2 = 0 then g.h || m.h else m.h || g.h end)
+    from g join top on g.level < top_height left join m on m.level = g.level and m.pos = xor(p, 1))
+select doc_id, leaf, subroot, root, proof_sha256, g.h as folded_root, g.h = root as verified
+from d join sub using (lk) join proofs using (lk, pos) cross join top join g on g.lk = d.lk and g.own = d.pos and g.level = top_height
+"""

@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": decontaminate.OP2_SQL, "op3_chat_format": chat.OP3_SQL, "op10_mix_sources": mixing.OP10_SQL}
+    return {"op2_benchmark_decontamination": decontaminate.OP2_SQL, "op3_chat_format": chat.OP3_SQL, "op10_mix_sources": mixing.OP10_SQL, "op11_jaccard_join": jaccard.OP11_SQL, "op12_merkle_manifest": merkle.OP12_SQL}
