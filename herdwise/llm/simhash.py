@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, verify
 from .components import connected_components
 
 SEED = 42
@@ -263,10 +263,10 @@ def nominating(n: int) -> Covering:
 
 #: A second nomination, which needs no long text: bands of so many minima each. A pair at a similarity of 0.8 shares one with probability 0.9999, one at 0.5 with 0.4.
 BANDS, ROWS = 32, 6
-#: Exact similarity is worked out in groups of two blocks of about so many bytes of shingles.
-BLOCK_BYTES = 8 << 20
-#: ... and of about so many rows, as a piece costs up to the square of its rows; for their sake alone a group is cut into at most so many blocks, each of which is sent once for every other one.
-BLOCK_ROWS, ROW_BLOCKS = 256, 6
+#: Documents link from this similarity on, in hundredths, counted exactly.
+PERCENT = 80
+#: Fingerprints of an anchor are compared with one another up to so many; more of them are a long list (``verify``).
+ANCHOR_LIST = 64
 _RNG = np.random.default_rng(SEED)
 _MUL, _ADD, _MIX = (_RNG.integers(0, 1 << 64, n, dtype=np.uint64) | np.uint64(1) for n in (BANDS * ROWS, BANDS * ROWS, ROWS))
 
@@ -291,24 +291,26 @@ def _ranked(docs: DataFrame, mine: str = "") -> list:
 
 
 def _marked(docs: DataFrame, words: int, width: int) -> DataFrame:
-    """One row per document, without its text: ``RANK``, ``node`` (a hash of the set of shingles), the fingerprint's words and ``bands``."""
+    """One row per document, without its text: ``RANK``, ``node`` (a hash of the set of shingles), the fingerprint's words, ``bands``, and the set's size ``n`` and parity ``bits``."""
     names = _words(width)
-    schema = "none boolean, id long, row long, node long, " + ", ".join(f"{x} long" for x in names) + ", bands array<long>"
+    schema = "none boolean, id long, row long, node long, " + ", ".join(f"{x} long" for x in names) + ", bands array<long>, n int, bits binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.chunks(batch, "text"):
-                node, prints, keys = [], [], []
+                node, prints, keys, sizes, bits = [], [], [], [], []
                 for t in part.column("text").to_pylist():
                     h = shingles(t, words)
                     own = np.unique(h)
                     node.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
                     prints.append(_majority(h, width))
                     keys.append(bands(own))
+                    sizes.append(len(own))
+                    bits.append(verify.parity(own))
                 flat = pa.array(np.concatenate(keys).view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), flat)
                 words_of = np.stack(prints).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in RANK), pa.array(np.array(node, np.uint64).view(np.int64)), *(pa.array(np.ascontiguousarray(c)) for c in words_of.T), lists], names=[*RANK, "node", *names, "bands"])
+                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in RANK), pa.array(np.array(node, np.uint64).view(np.int64)), *(pa.array(np.ascontiguousarray(c)) for c in words_of.T), lists, pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())], names=[*RANK, "node", *names, "bands", "n", "bits"])
 
     return docs.select(*_ranked(docs), common.text_bytes().alias("text")).mapInArrow(run, schema)
 
@@ -319,65 +321,81 @@ def _rows_of(docs: DataFrame, columns: list[str], named: DataFrame, mine: str) -
     return docs.select(*(F.col(f"`{x}`") for x in columns), *_ranked(docs, mine)).join(named, keys).dropDuplicates(keys)
 
 
-def _similar_roots(sets: list[np.ndarray]) -> np.ndarray:
-    """Like ``_local_roots``, where two sets link at a Jaccard similarity of 0.8 or more, counted exactly."""
-    root = np.arange(len(sets))
-    sizes = np.array([len(x) for x in sets])
-    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    each = np.split(ids, np.cumsum(sizes)[:-1])
-    mark = np.zeros(len(ids), bool)
-    left = np.arange(len(sets))
-    rows, flat = left, ids  # what is compared with: rows already reached are dropped from it once they are half
-    while len(left):
-        first, frontier, left = left[0], left[:1], left[1:]
-        while len(frontier) and len(left):
-            at, frontier = frontier[0], frontier[1:]
-            if 2 * len(left) <= len(rows):
-                rows, flat = left, np.concatenate([each[i] for i in left])
-            mark[each[at]] = True
-            common_ = np.add.reduceat(mark[flat].astype(np.int64), np.cumsum(sizes[rows]) - sizes[rows])[np.searchsorted(rows, left)]
-            mark[each[at]] = False
-            near = 9 * common_ >= 4 * (sizes[at] + sizes[left])  # common / (a + b - common) >= 0.8
-            root[left[near]] = first
-            frontier = np.concatenate([frontier, left[near]])
-            left = left[~near]
-    return root
+def anchor_pairs(met: DataFrame, c: Covering) -> DataFrame:
+    """``a, b`` of all nodes within the threshold of each other at an anchor, from ``replicate``'s rows; an anchor's rows are few."""
+    names = ["node", *_words(c.width)]
+    dealt = met.repartition("block", "anchor").sortWithinPartitions("block", "anchor", "node")
+
+    def found(key: np.ndarray, node: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
+        sizes = np.diff(np.append(starts, len(node)))
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for n in np.unique(sizes[sizes > 1]):  # all groups of one size at once
+            rows = starts[sizes == n][:, None] + np.arange(n)
+            i, j = np.triu_indices(n, 1)
+            for at in range(0, len(rows), max(1, 200_000 // len(i))):
+                part = rows[at : at + max(1, 200_000 // len(i))]
+                left, right = part[:, i].ravel(), part[:, j].ravel()
+                near = np.bitwise_count(prints[left] ^ prints[right]).sum(1, dtype=np.int64) <= c.threshold
+                a.append(node[left[near]])
+                b.append(node[right[near]])
+        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, node, prints = np.empty((0, 2), np.int64), np.empty(0, np.int64), np.empty((0, c.width), np.uint64)
+        for batch in batches:
+            key = np.concatenate([key, np.stack([np.asarray(batch.column("block")).astype(np.int64), np.asarray(batch.column("anchor"))], 1)])
+            node = np.concatenate([node, np.asarray(batch.column("node"))])
+            prints = np.concatenate([prints, np.stack([np.asarray(batch.column(x)).view(np.uint64) for x in names[1:]], 1)])
+            changes = np.flatnonzero((key[1:] != key[:-1]).any(1))
+            if len(changes):  # the last group may go on in the next batch
+                cut = changes[-1] + 1
+                yield found(key[:cut], node[:cut], prints[:cut])
+                key, node, prints = key[cut:], node[cut:], prints[cut:]
+        if len(node):
+            yield found(key, node, prints)
 
+    return dealt.mapInArrow(run, "a long, b long")
 
-def verified_links(texts: DataFrame, words: int) -> DataFrame:
-    """Edges ``a, b`` that connect what all pairs of a similarity of 0.8 or more would, from ``group, node, text``: one row per node, pairs within a group only.
 
-    Groups are cut into blocks, by their bytes and by their rows, and every two blocks are compared as one piece of bounded size, so a large group is many tasks. (Two blocks are one piece.)
-    """
+def _nominated(nodes: DataFrame, c: Covering) -> tuple[DataFrame, DataFrame]:
+    """(Pairs of nodes that share a short band or a nearby fingerprint at an anchor, nodes of long lists with their heads)."""
+    met = nodes.select("node", "n", F.posexplode("bands").alias("slot", "key"))
+    # written, so that its size is known when it is joined
+    counts = common.stored(met.groupBy("slot", "key").agg(F.count("*").alias("m")).where("m > 1"), "bands")
+    shared = met.join(counts, ["slot", "key"])
+    members = shared.where(F.col("m") <= verify.SHORT_LIST).groupBy("slot", "key").agg(F.collect_list(F.struct("node", "n")).alias("s"))
+    later = F.filter("s", lambda b: (b["node"] > F.col("a.node")) & verify.close(b["n"], F.col("a.n"), PERCENT))
+    banded = members.select("s", F.explode("s").alias("a")).select("a", F.explode(later).alias("b")).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    at = replicate(nodes, c)
+    hot = common.stored(at.groupBy("block", "anchor").agg(F.count("*").alias("m")).where(F.col("m") > ANCHOR_LIST).drop("m"), "anchors")
+    pairs = banded.unionByName(anchor_pairs(at.join(hot, ["block", "anchor"], "left_anti"), c)).distinct()
+    long = shared.where(F.col("m") > verify.SHORT_LIST).select("slot", "key", "node")
+    crowded = at.join(hot, ["block", "anchor"]).select((F.col("block") + BANDS).alias("slot"), F.col("anchor").alias("key"), "node")
+    return pairs, verify.headed(long.unionByName(crowded), ["slot", "key"])
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _whole_sets(texts: DataFrame, words: int) -> DataFrame:
+    """``node, class, own, l, n`` of texts with words: whole sets in the order of their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.chunks(batch, "text"):
-                own = [np.unique(shingles((t or "").encode("utf-8", "surrogatepass"), words)).tobytes() for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("group"), part.column("node"), pa.array(own, pa.binary())], names=["group", "node", "own"])
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("node")
-        node = table.column("node").to_numpy()
-        root = _similar_roots([np.frombuffer(x, np.uint64) for x in table.column("own").to_pylist()])
-        other = np.flatnonzero(root != np.arange(len(node)))
-        return pa.table({"a": pa.array(node[other]), "b": pa.array(node[root[other]])})
-
-    found = common.stored(texts.select("group", "node", "text").mapInArrow(sets, "group long, node long, own binary").where("length(own) > 0"), "shingles")
-    # written, as only groups of several blocks are in it: its size is known when the join is planned
-    by_bytes, by_rows = F.ceil(F.sum(F.length("own")) / BLOCK_BYTES), F.least(F.lit(ROW_BLOCKS), F.ceil(F.count("*") / BLOCK_ROWS))
-    blocks = common.stored(found.groupBy("group").agg(F.greatest(by_bytes, by_rows).cast("int").alias("n")).where("n > 1"), "blocks")
-    dealt = found.join(blocks, "group", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("node", F.lit(1)), F.col("n")).cast("int"))
-    others = F.when(F.col("n") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: i != F.col("mine")))
-    paired = dealt.withColumn("other", F.explode(others)).select("group", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "own")
-    # dealt by all three: a join by group alone would leave all pieces of a group in its task
-    return paired.repartition("group", "i", "j").groupBy("group", "i", "j").applyInArrow(run, "a long, b long").distinct()
+                made = [np.unique(shingles(t, words)) for t in part.column("text").to_pylist()]
+                sizes = np.array([len(x) for x in made], np.int64)
+                own = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(made).view(np.int64)))
+                rows = pa.RecordBatch.from_arrays([part.column("node"), part.column("node"), own, pa.array(np.ones(len(made), np.int32)), pa.array(sizes, pa.int32())], names=["node", "class", "own", "l", "n"])
+                yield rows.filter(pa.array(sizes > 0))
+
+    return texts.select("node", common.text_bytes().alias("text")).mapInArrow(run, "node long, class long, own array<long>, l int, n int")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, covering: Covering | None = None) -> DataFrame:
     """One document of each group, all columns kept. Documents link at a similarity of 0.8 or more of their sets of five-word shingles, groups are what links connect.
 
-    Fingerprints and bands only nominate; every link is counted exactly. The document with the
+    Fingerprints at anchors and bands of minima only nominate: pairs of a list that both are in, never of what lists
+    connect; every link is counted exactly, and components are made of links alone. The document with the
     smallest id stays, one without an id only where none has one; rows that tie are ordered by a hash
     of all their columns, and of equal rows one stays. Null and empty texts, and texts without words, are one group; a shorter
     text is one shingle. Two texts under one id are two documents. An empty table gives an empty table.
@@ -388,14 +406,13 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, covering: Covering | N
     names = _words(width)
     best = [F.col(f"best.{x}").alias(mine + x) for x in RANK]
     marked = common.stored(_marked(docs, words, width), "marked")
-    nodes = common.stored(marked.groupBy("node").agg(F.min(F.struct(*RANK)).alias("best"), *(F.first(x).alias(x) for x in (*names, "bands"))), "nodes")
-    met = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    # the first node of each band's key, written, so that a key with many nodes is a skewed key that adaptive execution splits
-    heads = common.stored(met.groupBy("band", "key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "bands")
-    shared = met.join(heads, ["band", "key"]).where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    groups = common.stored(connected_components(links(nodes, covering or nominating(nodes.count())).unionByName(shared)).select("node", F.col("root").alias("group")), "nominated")
-    texts = _rows_of(docs, ["text"], nodes.join(groups, "node").select("node", "group", *best), mine)
-    roots = connected_components(verified_links(texts, words))
+    nodes = common.stored(marked.groupBy("node").agg(F.min(F.struct(*RANK)).alias("best"), *(F.first(x).alias(x) for x in (*names, "bands", "n", "bits"))), "nodes")
+    pairs, headed = _nominated(nodes, covering or nominating(nodes.count()))
+    headed = common.stored(headed, "headed")
+    pairs = common.stored(verify.possible(pairs, nodes.select(F.col("node").alias("d0"), "n", "bits"), PERCENT), "candidates")
+    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(headed.select("node")).distinct()
+    sets = common.stored(_whole_sets(_rows_of(docs, ["text"], nodes.join(needed, "node").select("node", *best), mine), words), "sets")
+    roots = connected_components(verify.pair_links(pairs, sets, PERCENT).unionByName(verify.long_links(headed, sets, PERCENT)))
     owned = common.stored(nodes.select("node", "best").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "owned")
     kept = common.stored(owned.groupBy("root").agg(F.min("best").alias("best")).select(*best), "kept")
     return _rows_of(docs, docs.columns, kept, mine).drop(*(mine + x for x in RANK))

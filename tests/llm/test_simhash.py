@@ -3,10 +3,12 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from helpers import awkward, docs, empty
 from herdwise.llm import components
 from herdwise.llm import simhash as S
+from herdwise.llm import verify
 
 
 def slow_fingerprint(text):
@@ -143,24 +145,43 @@ def test_pairs_at_the_limit_are_dropped_and_pairs_below_stay_whatever_their_leng
     assert got == want | {1000}
 
 
-def test_a_group_over_many_blocks_links_as_all_pairs_do(spark, monkeypatch):
-    monkeypatch.setattr(S, "BLOCK_BYTES", 2000)
-    rng = random.Random(8)
-    rows = [(i, t) for i, t in enumerate(t for _ in range(12) for t in pair_at(rng, 45, 40))]
-    table = spark.createDataFrame([(0, i, t) for i, t in rows], "group long, node long, text string")
-    got = {tuple(sorted(map(int, r))) for r in S.verified_links(table, 5).collect()}
-    assert got == {(2 * i, 2 * i + 1) for i in range(12)}
+@pytest.mark.parametrize(("short", "anchor", "rows"), [(16, 64, 256), (1, 1, 8), (1, 1, 3), (2, 64, 5)])
+def test_long_lists_link_as_all_pairs_do(spark, monkeypatch, short, anchor, rows):
+    """Groups of near copies, a template that half of all texts share, and links that only chain."""
+    monkeypatch.setattr(verify, "SHORT_LIST", short)
+    monkeypatch.setattr(verify, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(S, "ANCHOR_LIST", anchor)
+    rng = random.Random(21)
+    texts = [t for _ in range(10) for t in pair_at(rng, 90, 85)]
+    base = [f"b{i}" for i in range(104)]
+    for _ in range(30):
+        own = list(base)
+        for _ in range(rng.randrange(5)):
+            own[rng.randrange(104)] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    template = [f"t{i}" for i in range(40)]
+    texts += [" ".join(template + [f"x{rng.randrange(10**6)}" for _ in range(60)]) for _ in range(30)]
+    rng.shuffle(texts)
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and jaccard(texts[i], texts[j]) >= 0.8:
+                root = [root[j] if r == root[i] else r for r in root]
+    want = {min(i for i in range(len(texts)) if root[i] == r) for r in set(root)}
+    assert {r["doc_id"] for r in S.drop_near_duplicates(docs(spark, list(enumerate(texts)))).collect()} == want
 
 
 def test_pieces_of_one_group_are_dealt_to_many_tasks(spark, monkeypatch):
-    """One group of many blocks, whether its block count is joined by broadcast or by a shuffle."""
-    monkeypatch.setattr(S, "BLOCK_BYTES", 2000)
+    """One head's group of many blocks, whether its block count is joined by broadcast or by a shuffle."""
+    monkeypatch.setattr(verify, "BLOCK_ROWS", 4)
     rng = random.Random(9)
-    table = spark.createDataFrame([(0, i, t) for i, t in enumerate(t for _ in range(12) for t in pair_at(rng, 45, 40))], "group long, node long, text string")
+    sets = [[(i, i, sorted({hash(tuple(t.split()[k : k + 5])) for k in range(len(t.split()) - 4)}))] for i, t in enumerate(t for _ in range(12) for t in pair_at(rng, 45, 40))]
+    table = spark.createDataFrame([(*x[0], 1, len(x[0][2])) for x in sets], "node long, class long, own array<long>, l int, n int")
+    met = table.select(F.lit(0).cast("long").alias("head"), "node")
     for threshold in ("10MB", "-1"):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
         try:
-            found = S.verified_links(table, 5)
+            found = verify.long_links(met, table, 80)
             plan = found._jdf.queryExecution().executedPlan().toString()
             got = {tuple(sorted(map(int, r))) for r in found.collect()}
         finally:
@@ -171,20 +192,6 @@ def test_pieces_of_one_group_are_dealt_to_many_tasks(spark, monkeypatch):
         assert "i#" in dealt and "j#" in dealt, plan
 
 
-def test_a_group_of_many_short_rows_is_many_pieces(spark, monkeypatch):
-    """Far below the bytes of a block: the rows decide, up to their limit of blocks, and links stay those of all pairs."""
-    written, keep = {}, S.common.stored
-    monkeypatch.setattr(S.common, "stored", lambda df, name: written.setdefault(name, keep(df, name)))
-    rng = random.Random(10)
-    table = spark.createDataFrame([(g, 100 * g + i, t) for g in (0, 1) for i, t in enumerate(t for _ in range(12) for t in pair_at(rng, 45, 40))] + [(2, 200 + i, t) for i, t in enumerate(pair_at(rng, 45, 40))], "group long, node long, text string")
-    want = {(100 * g + 2 * i, 100 * g + 2 * i + 1) for g in (0, 1) for i in range(12)} | {(200, 201)}
-    for rows, n in ((10, 3), (2, S.ROW_BLOCKS)):
-        monkeypatch.setattr(S, "BLOCK_ROWS", rows)
-        written.clear()
-        assert {tuple(sorted(map(int, r))) for r in S.verified_links(table, 5).collect()} == want
-        assert {r["group"]: r["n"] for r in written["blocks"].collect()} == {0: n, 1: n}
-
-
 def test_a_repeated_id_loses_only_its_near_copy(spark):
     rng = random.Random(3)
     a, b = pair_at(rng, 45, 44)
