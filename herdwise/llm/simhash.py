@@ -257,8 +257,8 @@ NOMINATE_BITS = 60
 
 
 def nominating(n: int) -> Covering:
-    """The covering for ``n`` different texts: blocks of 16 bits, longer ones where anchors would have over 16 texts each on average (from a million on)."""
-    return wide_covering(threshold=NOMINATE_BITS, block=min(32, max(16, (max(1, n) - 1).bit_length() - 4)))
+    """The covering for ``n`` different texts: blocks of 16 bits, longer ones where anchors would have over 4 texts each on average (from 262,144 on), so that a long list of an anchor isn't one by chance."""
+    return wide_covering(threshold=NOMINATE_BITS, block=min(32, max(16, (max(1, n) - 1).bit_length() - 2)))
 
 
 #: A second nomination, which needs no long text: bands of so many minima each. A pair at a similarity of 0.8 shares one with probability 0.9999, one at 0.5 with 0.4.
@@ -266,7 +266,7 @@ BANDS, ROWS = 32, 6
 #: Documents link from this similarity on, in hundredths, counted exactly.
 PERCENT = 80
 #: Fingerprints of an anchor are compared with one another up to so many; more of them are a long list (``verify``).
-ANCHOR_LIST = 64
+ANCHOR_LIST = 16
 _RNG = np.random.default_rng(SEED)
 _MUL, _ADD, _MIX = (_RNG.integers(0, 1 << 64, n, dtype=np.uint64) | np.uint64(1) for n in (BANDS * ROWS, BANDS * ROWS, ROWS))
 

@@ -224,6 +224,6 @@ def test_rows_without_an_id_and_columns_of_any_name(spark):
     assert next(r for r in rows if r["doc_id"] is None)["text"] in (c, d)
 
 
-@pytest.mark.parametrize(("n", "bits"), [(0, 16), (250_000, 16), (1 << 24, 20), (10**10, 30)])
+@pytest.mark.parametrize(("n", "bits"), [(0, 16), (250_000, 16), (1 << 24, 22), (10**10, 32)])
 def test_blocks_grow_with_the_corpus(n, bits):
     assert len(S.nominating(n).blocks[0]) == bits
