@@ -24,11 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, verify
+from . import common, jaccard, verify
+from .common import RANK, ranked, rows_of
 from .components import connected_components
 
 SEED = 42
-_MASK = (1 << 64) - 1
 
 
 @dataclass(frozen=True)
@@ -257,68 +257,41 @@ NOMINATE_BITS = 60
 
 
 def nominating(n: int) -> Covering:
-    """The covering for ``n`` different texts: blocks of 16 bits, longer ones where anchors would have over 4 texts each on average (from 262,144 on), so that a long list of an anchor isn't one by chance."""
+    """The covering for ``n`` different texts: blocks of 16 bits, longer ones where anchors would have over 4 texts each on average (from 262,144 on), so that a long list of an anchor isn't one by chance. It decides what work anchors do, and no result (``drop_near_duplicates``)."""
     return wide_covering(threshold=NOMINATE_BITS, block=min(32, max(16, (max(1, n) - 1).bit_length() - 2)))
 
 
-#: A second nomination, which needs no long text: bands of so many minima each. A pair at a similarity of 0.8 shares one with probability 0.9999, one at 0.5 with 0.4.
-BANDS, ROWS = 32, 6
 #: Documents link from this similarity on, in hundredths, counted exactly.
 PERCENT = 80
-#: Fingerprints of an anchor are compared with one another up to so many; more of them are a long list (``verify``).
+#: Fingerprints of an anchor are compared with one another up to so many; more of them are left to the prefixes.
 ANCHOR_LIST = 16
-_RNG = np.random.default_rng(SEED)
-_MUL, _ADD, _MIX = (_RNG.integers(0, 1 << 64, n, dtype=np.uint64) | np.uint64(1) for n in (BANDS * ROWS, BANDS * ROWS, ROWS))
-
-
-def bands(own: np.ndarray) -> np.ndarray:
-    """One key per band from the minima of a set of hashes under ``BANDS * ROWS`` random maps."""
-    low = np.full(BANDS * ROWS, _MASK, np.uint64)
-    for i in range(0, len(own), 512):
-        low = np.minimum(low, (own[i : i + 512, None] * _MUL + _ADD).min(0))
-    return (low.reshape(BANDS, ROWS) * _MIX).sum(1, dtype=np.uint64)
-
-
-#: What orders the rows of a node and tells them apart: has it no id, the id, a hash of all columns.
-RANK = ("none", "id", "row")
-
-
-def _ranked(docs: DataFrame, mine: str = "") -> list:
-    """The columns of ``RANK``, none of them ever null, under names that begin with ``mine``."""
-    row = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns if docs.schema[c].dataType.typeName() not in ("map", "variant")))
-    own = (F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), row)
-    return [column.alias(mine + name) for column, name in zip(own, RANK, strict=True)]
 
 
 def _marked(docs: DataFrame, words: int, width: int) -> DataFrame:
-    """One row per document, without its text: ``RANK``, ``node`` (a hash of the set of shingles), the fingerprint's words, ``bands``, and the set's size ``n`` and parity ``bits``."""
+    """One pass over the texts, two kinds of rows: a row's ``RANK``, ``node`` (a hash of its set of shingles), the words of the set's fingerprint, its size ``n`` and parity ``bits``; and a task's ``jaccard.counted``."""
     names = _words(width)
-    schema = "none boolean, id long, row long, node long, " + ", ".join(f"{x} long" for x in names) + ", bands array<long>, n int, bits binary"
+    schema = "none boolean, id long, row long, node long, " + ", ".join(f"{x} long" for x in names) + ", n int, bits binary, piece int, at binary, times binary"
+    every = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros(1 << jaccard.BUCKET_BITS, np.int64), set()
         for batch in batches:
             for part in common.chunks(batch, "text"):
-                node, prints, keys, sizes, bits = [], [], [], [], []
-                for t in part.column("text").to_pylist():
-                    h = shingles(t, words)
-                    own = np.unique(h)
-                    node.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
-                    prints.append(_majority(h, width))
-                    keys.append(bands(own))
-                    sizes.append(len(own))
-                    bits.append(verify.parity(own))
-                flat = pa.array(np.concatenate(keys).view(np.int64))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), flat)
-                words_of = np.stack(prints).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in RANK), pa.array(np.array(node, np.uint64).view(np.int64)), *(pa.array(np.ascontiguousarray(c)) for c in words_of.T), lists, pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())], names=[*RANK, "node", *names, "bands", "n", "bits"])
-
-    return docs.select(*_ranked(docs), common.text_bytes().alias("text")).mapInArrow(run, schema)
-
-
-def _rows_of(docs: DataFrame, columns: list[str], named: DataFrame, mine: str) -> DataFrame:
-    """``columns`` of the rows of ``docs`` that ``named`` names by ``mine`` + ``RANK``, and its columns; of equal rows one. The key is a row's own, so copies of a text don't meet in one task."""
-    keys = [mine + x for x in RANK]
-    return docs.select(*(F.col(f"`{x}`") for x in columns), *_ranked(docs, mine)).join(named, keys).dropDuplicates(keys)
+                sets = jaccard.shingle_sets(part.column("text"), words)
+                digests = [jaccard.digest(x) for x in sets]
+                fresh = [x for x, d in zip(sets, digests, strict=True) if not (d in seen or seen.add(d))]
+                if fresh:
+                    total += jaccard.bucket_counts(fresh)
+                node = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)[:, 0]
+                prints = np.stack([_majority(x, width) for x in sets]).view(np.int64)
+                none = pa.nulls(len(sets), pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(x) for x in RANK), *(pa.array(np.ascontiguousarray(c)) for c in (node, *prints.T)), pa.array([len(x) for x in sets], pa.int32()), pa.array([verify.parity(x) for x in sets], pa.binary()), pa.nulls(len(sets), pa.int32()), none, none], names=every)
+        counts = jaccard.counted(total)
+        if len(counts[0]):
+            empty = [pa.nulls(len(counts[0]), t) for t in (pa.bool_(), *[pa.int64()] * (3 + width), pa.int32(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*empty, *counts], names=every)
+
+    return docs.select(*ranked(docs), common.text_bytes().alias("text")).mapInArrow(run, schema)
 
 
 def anchor_pairs(met: DataFrame, c: Covering) -> DataFrame:
@@ -359,63 +332,57 @@ def anchor_pairs(met: DataFrame, c: Covering) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _nominated(nodes: DataFrame, c: Covering) -> tuple[DataFrame, DataFrame]:
-    """(Pairs of nodes that share a short band or a nearby fingerprint at an anchor, nodes of long lists with their heads)."""
-    met = nodes.select("node", "n", F.posexplode("bands").alias("slot", "key"))
-    # written, so that its size is known when it is joined
-    counts = common.stored(met.groupBy("slot", "key").agg(F.count("*").alias("m")).where("m > 1"), "bands")
-    shared = met.join(counts, ["slot", "key"])
-    members = shared.where(F.col("m") <= verify.SHORT_LIST).groupBy("slot", "key").agg(F.collect_list(F.struct("node", "n")).alias("s"))
-    later = F.filter("s", lambda b: (b["node"] > F.col("a.node")) & verify.close(b["n"], F.col("a.n"), PERCENT))
-    banded = members.select("s", F.explode("s").alias("a")).select("a", F.explode(later).alias("b")).select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+def _nominated(nodes: DataFrame, c: Covering) -> DataFrame:
+    """Pairs ``a, b`` of nodes with nearby fingerprints at an anchor that few share."""
     at = replicate(nodes, c)
     hot = common.stored(at.groupBy("block", "anchor").agg(F.count("*").alias("m")).where(F.col("m") > ANCHOR_LIST).drop("m"), "anchors")
-    pairs = banded.unionByName(anchor_pairs(at.join(hot, ["block", "anchor"], "left_anti"), c)).distinct()
-    long = shared.where(F.col("m") > verify.SHORT_LIST).select("slot", "key", "node")
-    crowded = at.join(hot, ["block", "anchor"]).select((F.col("block") + BANDS).alias("slot"), F.col("anchor").alias("key"), "node")
-    return pairs, verify.headed(long.unionByName(crowded), ["slot", "key"])
+    return anchor_pairs(at.join(hot, ["block", "anchor"], "left_anti"), c).distinct()
 
 
-def _whole_sets(texts: DataFrame, words: int) -> DataFrame:
-    """``node, class, own, l, n`` of texts with words: whole sets in the order of their hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in common.chunks(batch, "text"):
-                made = [np.unique(shingles(t, words)) for t in part.column("text").to_pylist()]
-                sizes = np.array([len(x) for x in made], np.int64)
-                own = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate(made).view(np.int64)))
-                rows = pa.RecordBatch.from_arrays([part.column("node"), part.column("node"), own, pa.array(np.ones(len(made), np.int32)), pa.array(sizes, pa.int32())], names=["node", "class", "own", "l", "n"])
-                yield rows.filter(pa.array(sizes > 0))
-
-    return texts.select("node", common.text_bytes().alias("text")).mapInArrow(run, "node long, class long, own array<long>, l int, n int")
+def _left_over(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """Posting lists ``token, node, l, n, root, m`` of more than one root: what fingerprints linked already needs no list."""
+    met = common.stored(met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    spread = met.groupBy("token").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token", "m")
+    return common.stored(met.join(spread, "token"), "posting-lists")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, covering: Covering | None = None) -> DataFrame:
     """One document of each group, all columns kept. Documents link at a similarity of 0.8 or more of their sets of five-word shingles, groups are what links connect.
 
-    Fingerprints at anchors and bands of minima only nominate: pairs of a list that both are in, never of what lists
-    connect; every link is counted exactly, and components are made of links alone. The document with the
+    Fingerprints at anchors nominate pairs, which are counted exactly. Prefixes (``jaccard``), which two sets that link always share,
+    find every link between what the fingerprints left apart. So the groups are those of all pairs, and the covering, whose
+    blocks grow with the corpus, moves work from one step to the other and changes no result. The document with the
     smallest id stays, one without an id only where none has one; rows that tie are ordered by a hash
     of all their columns, and of equal rows one stays. Null and empty texts, and texts without words, are one group; a shorter
     text is one shingle. Two texts under one id are two documents. An empty table gives an empty table.
-    ``docs`` is read three times and must read alike each time.
+    ``docs`` is read several times and must read alike each time.
     """
     width = covering.width if covering else 4
     mine = common.prefix(docs)
-    names = _words(width)
+    most = jaccard.MOST_MATCHES
     best = [F.col(f"best.{x}").alias(mine + x) for x in RANK]
     marked = common.stored(_marked(docs, words, width), "marked")
-    nodes = common.stored(marked.groupBy("node").agg(F.min(F.struct(*RANK)).alias("best"), *(F.first(x).alias(x) for x in (*names, "bands", "n", "bits"))), "nodes")
-    pairs, headed = _nominated(nodes, covering or nominating(nodes.count()))
-    headed = common.stored(headed, "headed")
-    pairs = common.stored(verify.possible(pairs, nodes.select(F.col("node").alias("d0"), "n", "bits"), PERCENT), "candidates")
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(headed.select("node")).distinct()
-    sets = common.stored(_whole_sets(_rows_of(docs, ["text"], nodes.join(needed, "node").select("node", *best), mine), words), "sets")
-    roots = connected_components(verify.pair_links(pairs, sets, PERCENT).unionByName(verify.long_links(headed, sets, PERCENT)))
+    often = docs.sparkSession.sparkContext.broadcast(jaccard._frequencies(marked))
+    rows = marked.where("piece is null")
+    nodes = common.stored(rows.groupBy("node").agg(F.min(F.struct(*RANK)).alias("best"), *(F.first(x).alias(x) for x in (*_words(width), "n", "bits"))), "nodes")
+    classes = nodes.select(F.col("node").alias("d0"), "n", "bits")
+    ends = lambda pairs: pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+
+    def sets(needed: DataFrame) -> DataFrame:
+        named = nodes.join(needed.distinct(), "node").select("node", F.col("node").alias("class"), *best)
+        return common.stored(jaccard.ordered_sets(rows_of(docs, ["text"], named, mine), often, words, most, PERCENT), "sets")
+
+    near = common.stored(verify.possible(_nominated(nodes.where("n > 0"), covering or nominating(nodes.count())), classes, PERCENT), "nominated")
+    roots = connected_components(verify.pair_links(near, sets(ends(near)), PERCENT))
+    lists = _left_over(jaccard.shared_postings(docs, often, words, most, PERCENT), roots)
+    pairs = common.stored(verify.possible(jaccard._short_candidates(lists, PERCENT), classes, PERCENT), "candidates")
+    headed = common.stored(verify.headed(lists.where(F.col("m") > verify.SHORT_LIST), ["token"]), "headed")
+    whole = sets(ends(pairs).unionByName(headed.select("node")))
+    links = verify.pair_links(pairs, whole, PERCENT).unionByName(verify.long_links(headed, whole, PERCENT))
+    roots = connected_components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     owned = common.stored(nodes.select("node", "best").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "owned")
     kept = common.stored(owned.groupBy("root").agg(F.min("best").alias("best")).select(*best), "kept")
-    return _rows_of(docs, docs.columns, kept, mine).drop(*(mine + x for x in RANK))
+    return rows_of(docs, docs.columns, kept, mine).drop(*(mine + x for x in RANK))
 
 
 def hex64(column):

@@ -227,3 +227,31 @@ def test_rows_without_an_id_and_columns_of_any_name(spark):
 @pytest.mark.parametrize(("n", "bits"), [(0, 16), (250_000, 16), (1 << 24, 22), (10**10, 32)])
 def test_blocks_grow_with_the_corpus(n, bits):
     assert len(S.nominating(n).blocks[0]) == bits
+
+
+@pytest.mark.parametrize("n", [0, 300_000, 1 << 24, 10**10])
+def test_what_links_does_not_depend_on_the_size_that_the_covering_is_for(spark, n):
+    """Pairs at exactly 0.8 that share none of 32 bands of six minima: blocks of one length or another miss each of them."""
+    rows = []
+    for i, (seed, size) in enumerate([(5908, 18), (42189, 9), (52797, 9), (89832, 18)]):
+        a, b = pair_at(random.Random(seed), size, 8 * size // 9)
+        assert jaccard(a, b) == 0.8
+        rows += [(2 * i, a), (2 * i + 1, b)]
+    assert {r["doc_id"] for r in S.drop_near_duplicates(docs(spark, rows), covering=S.nominating(n)).collect()} == {0, 2, 4, 6}
+
+
+@pytest.mark.parametrize("blocks", [(), S.nominating(0).blocks])
+def test_prefixes_complete_what_fingerprints_linked(spark, blocks):
+    """Chains whose steps are at 0.8 or just below, with and without any anchors."""
+    rng, rows, want = random.Random(33), [], set()
+    for i in range(12):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(49)]
+        for step in range(6):  # each text goes on from the last one
+            rows.append((10 * i + step, " ".join(words)))
+            n = 5 if i % 2 else 6
+            words = words[n:] + [f"v{rng.randrange(10**6)}" for _ in range(n)]
+        linked = jaccard(rows[-2][1], rows[-1][1]) >= 0.8
+        assert linked == bool(i % 2)
+        want |= {10 * i} if linked else {10 * i + step for step in range(6)}
+    got = S.drop_near_duplicates(docs(spark, rows), covering=S.Covering(S.NOMINATE_BITS, 0, blocks, 4)).collect()
+    assert {r["doc_id"] for r in got} == want
