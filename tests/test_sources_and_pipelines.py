@@ -189,3 +189,16 @@ def test_from_a_tree_to_a_report(spark, tmp_path):
 def test_the_entry_point_and_its_names(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def shuffle_bytes(spark):
+    """Of shuffle files on the disk of this (local) session."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_"))
+
+
+def test_a_written_table_leaves_no_shuffle_behind(spark):
+    before, set_ = shuffle_bytes(spark), spark.conf.get(scratch.CLEANUP, None)
+    made = scratch.stored(spark.range(100_000).groupBy((F.col("id") % 30_000).alias("k")).agg(F.count("*").alias("n")), "counted")
+    assert shuffle_bytes(spark) <= before and spark.conf.get(scratch.CLEANUP, None) == set_
+    assert made.where("n >= 3").count() == 30_000
