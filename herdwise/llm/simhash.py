@@ -372,14 +372,22 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, covering: Covering | N
         named = nodes.join(needed.distinct(), "node").select("node", F.col("node").alias("class"), *best)
         return common.stored(jaccard.ordered_sets(rows_of(docs, ["text"], named, mine), often, words, most, PERCENT), "sets")
 
+    # what later steps don't read goes as soon as that is certain, so that the disk holds a step's tables and not all of them
+    spark, since = docs.sparkSession, common.mark()
     near = common.stored(verify.possible(_nominated(nodes.where("n > 0"), covering or nominating(nodes.count())), classes, PERCENT), "nominated")
+    common.release(spark, since, keep=1)
     roots = connected_components(verify.pair_links(near, sets(ends(near)), PERCENT))
+    common.release(spark, since, keep=1)
+    lists_since = common.mark()
     lists = _left_over(jaccard.shared_postings(docs, often, words, most, PERCENT), roots)
-    pairs = common.stored(verify.possible(jaccard._short_candidates(lists, PERCENT), classes, PERCENT), "candidates")
+    common.release(spark, lists_since, keep=1)
     headed = common.stored(verify.headed(lists.where(F.col("m") > verify.SHORT_LIST), ["token"]), "headed")
+    pairs = common.stored(verify.possible(jaccard._short_candidates(lists, PERCENT), classes, PERCENT), "candidates")
+    common.release(spark, lists_since, keep=2)
     whole = sets(ends(pairs).unionByName(headed.select("node")))
     links = verify.pair_links(pairs, whole, PERCENT).unionByName(verify.long_links(headed, whole, PERCENT))
     roots = connected_components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    common.release(spark, since, keep=1)
     owned = common.stored(nodes.select("node", "best").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "owned")
     kept = common.stored(owned.groupBy("root").agg(F.min("best").alias("best")).select(*best), "kept")
     return rows_of(docs, docs.columns, kept, mine).drop(*(mine + x for x in RANK))
