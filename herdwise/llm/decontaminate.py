@@ -31,6 +31,8 @@ WINDOW = 10
 BROADCAST_BYTES = 8 << 20
 #: Bytes of text in a segment of the index (one document at least): a row of some 200 KB, which Java's heap holds without ado.
 SEGMENT_BYTES = 256 << 10
+#: A writer holds a row group in memory, a reader all rows of one (up to 4,096 rows, a segment each) at once: groups of a few segments, whose size is looked at from the first row on.
+INDEX_OPTIONS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.block.size.row.check.min": "1"}
 #: Candidate starts that a task looks at together.
 CANDIDATES = 1 << 20
 
@@ -297,7 +299,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, s
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > broadcast_bytes:
         return match_by_joins(docs, benchmark.withColumn("text", F.col("text").cast("string")), n, slop)
-    return look_up(common.stored(build_index(docs), "postings"), benchmark, n, slop)
+    return look_up(common.stored(build_index(docs), "postings", INDEX_OPTIONS), benchmark, n, slop)
 
 
 def look_up(index: DataFrame, benchmark: DataFrame, n: int = WINDOW, slop: int | None = None) -> DataFrame:

@@ -1,7 +1,10 @@
 import random
 import re
+from urllib.parse import urlparse
 
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from helpers import awkward, docs, empty
 from herdwise.llm import common
@@ -116,3 +119,15 @@ def test_the_query_against_its_sql(spark, tmp_path):
         con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
     got = D.op2_benchmark_decontamination(spark, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == sorted(con.execute(D.OP2_SQL).fetchall())
+
+
+def test_the_index_is_written_in_row_groups_of_a_few_segments(spark):
+    """A reader holds all rows of a row group at once: 100 segments in one would be some 40 MB."""
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(35_000)), lambda i: F.format_string("%x", F.pmod(F.xxhash64("id", i), F.lit(1_000_003)))), " ")
+    df = common.stored(spark.range(100, numPartitions=1).select(F.col("id").alias("doc_id"), text.alias("text")), "texts")
+    since = common.mark()
+    found = D.find_contamination(df, df.where("doc_id = 7").select(F.lit("x").alias("item_id"), F.substring("text", 1, 200).alias("text")))
+    assert [r.doc_id for r in found.where("n_hit > 0").collect()] == [7]
+    assert common.mark() == since + 1
+    groups = [meta.row_group(i).num_rows for path in found.inputFiles() for meta in [pq.ParquetFile(urlparse(path).path).metadata] for i in range(meta.num_row_groups)]
+    assert sum(groups) == 100 and max(groups) < 50
